@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
 from tessera.operators import chunking, compact, dialog, embed, lexical, prompts, retrieve, route, sections, store
+from tessera.plans import ask as ask_plan
 from tessera.session import spread
 from tessera.sources import derived
 from tessera.sources.tables import load
@@ -20,8 +21,7 @@ HASH_DIMS = 256
 TRIM_TOKENS = 200
 SPLIT_LIMIT = 4000
 FALLBACK_THRESHOLD = 0.3
-# Chunk ids: doc_id * stride + chunk_no (a document has far fewer chunks).
-CHUNK_ID_STRIDE = 1_000_000
+CHUNK_ID_STRIDE = ask_plan.CHUNK_ID_STRIDE
 
 
 def _docs(spark, d, *cols):
@@ -169,26 +169,23 @@ def q_route_questions(spark, d):
     return r.select("qid", "agent", "score", "temperature", F.col("max_tokens").cast("bigint").alias("max_tokens"))
 
 
-def chunk_store(spark, d) -> DataFrame:
-    """Document chunks with hashed dense embeddings (the "homework" namespace)."""
-    ch = q_chunk_words(spark, d).withColumn("id", F.col("doc_id") * CHUNK_ID_STRIDE + F.col("chunk_no"))
-    vec = embed.hashed_dense(ch.select("id", "chunk"), "id", "chunk", HASH_DIMS)
-    return ch.join(vec, "id")
+def q_assemble_prompts(spark, d):
+    qs = ask_plan.question_table(spark, d)
+    qv = embed.hashed_dense(qs, "qid", "text", HASH_DIMS)
+    hits = retrieve.namespace_topk(ask_plan.ingest_documents(spark, d), qv, "homework", payload="context")
+    return prompts.assemble_prompts(qs, hits, route.route(qs, "qid", "text", HASH_DIMS))
 
 
-def _ask_parts(spark, d):
-    qs = derived.questions(load(spark, d, "conversations"))
-    qv = embed.hashed_dense(qs, "qid", "text", HASH_DIMS).withColumnRenamed("qid", "qid")
-    cs = chunk_store(spark, d)
-    hits = retrieve.vector_topk(cs.select("id", "embedding"), qv, "id", "embedding", "qid", "embedding")
-    hits = hits.join(cs.select("id", F.col("chunk").alias("context")), "id")
-    routed = route.route(qs, "qid", "text", HASH_DIMS)
-    return qs, hits, routed
+def q_ask(spark, d):
+    return ask_plan.ask(spark, d)
 
 
-def q_assemble_prompts(spark, d):
-    qs, hits, routed = _ask_parts(spark, d)
-    return prompts.assemble_prompts(qs, hits, routed)
+def q_web_assist(spark, d):
+    return ask_plan.web_assist(spark, d)
+
+
+def q_ask_with_fallback(spark, d):
+    return ask_plan.ask_with_fallback(spark, d)
 
 
 def q_prompt_budget(spark, d):
@@ -279,4 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "assemble_prompts": q_assemble_prompts,
     "flatten_join": q_flatten_join,
     "mode_in_effect": q_mode_in_effect,
+    "ask": q_ask,
+    "web_assist": q_web_assist,
+    "ask_with_fallback": q_ask_with_fallback,
 }

@@ -264,6 +264,27 @@ _fs AS (SELECT file, rs, {fold_starts('list_transform(rs, lambda x: x.n)', 1000,
 _fp AS (SELECT file, {pieces('list_transform(rs, lambda x: x.r)', 'st', NL)} AS cs FROM _fs)"""
 
 
+def prompts_ctes() -> str:
+    """Question prompts as in ``assemble_prompts``; ends with ``_x(qid, agent, pos, m)``."""
+    return f"""{chunk_store_cte()}, {route_ctes()}, {agent_dim_cte()},
+_cn AS (SELECT id, sqrt(sum(weight * weight)) AS nv FROM _cv GROUP BY id),
+_qn AS (SELECT id, sqrt(sum(weight * weight)) AS nv FROM _qv GROUP BY id),
+_sc AS (SELECT q.id AS qid, c.id AS cid, round(sum(q.weight * c.weight) / (any_value(qn.nv) * any_value(cn.nv)), 9) AS s
+        FROM _qv q JOIN _cv c USING (bucket) JOIN _qn qn ON qn.id = q.id JOIN _cn cn ON cn.id = c.id GROUP BY q.id, c.id),
+_all AS (SELECT q.id AS qid, c.id AS cid, coalesce(s.s, 0) AS s FROM _qn q CROSS JOIN _cn c LEFT JOIN _sc s ON s.qid = q.id AND s.cid = c.id),
+_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, cid) AS rank FROM _all) WHERE rank <= 3),
+_ctx AS (SELECT t.qid, list(cs.chunk ORDER BY t.rank) AS contexts FROM _top t JOIN _cs cs ON cs.id = t.cid GROUP BY t.qid),
+_pq AS (SELECT q.qid, q.text, coalesce(x.contexts, []::VARCHAR[]) AS contexts, coalesce(r.agent, 'DocAgent') AS agent
+        FROM _q q LEFT JOIN _ctx x USING (qid) LEFT JOIN _routed r USING (qid)),
+_msgs AS (SELECT p.qid, p.agent,
+  [{{'role': 'system', 'content': {lit(RT.SYSTEM_LINE)}}}, {{'role': 'user', 'content': d.instruction}}]
+  || CASE WHEN d.layout = 'joined' THEN [{{'role': 'user', 'content': 'Comma seperated value text:' || {NL} || array_to_string(p.contexts, {NL})}}]
+          ELSE list_transform(p.contexts, lambda c_: {{'role': 'user', 'content': 'Context: ' || c_}}) END
+  || [{{'role': 'user', 'content': d.q_prefix || p.text || d.q_suffix}}] AS ms
+  FROM _pq p JOIN _dim d USING (agent)),
+_x AS (SELECT qid, agent, (generate_subscripts(ms, 1) - 1)::BIGINT AS pos, unnest(ms) AS m FROM _msgs)"""
+
+
 SQL: dict[str, str] = {
     "chunk_words": f"WITH {chunk_cte()} SELECT doc_id, chunk_no::BIGINT AS chunk_no, chunk FROM _chunks",
     "chunk_fixed": (
@@ -356,24 +377,13 @@ _r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS
 SELECT qid, rank::BIGINT AS rank, id, round(score, 4) AS score, (1 + 10 * floor((rank - 1) / 10))::BIGINT AS page FROM _r WHERE rank <= 3""",
     "route_questions": f"""WITH {questions_cte()}, {hashed_cte('_q', 'qid', 'text', '_qv')}, {route_ctes()}, {agent_dim_cte()}
 SELECT r.qid, r.agent, r.score, d.temperature, d.max_tokens::BIGINT AS max_tokens FROM _routed r LEFT JOIN _dim d USING (agent)""",
-    "assemble_prompts": f"""WITH {chunk_store_cte()}, {route_ctes()}, {agent_dim_cte()},
-_cn AS (SELECT id, sqrt(sum(weight * weight)) AS nv FROM _cv GROUP BY id),
-_qn AS (SELECT id, sqrt(sum(weight * weight)) AS nv FROM _qv GROUP BY id),
-_sc AS (SELECT q.id AS qid, c.id AS cid, round(sum(q.weight * c.weight) / (any_value(qn.nv) * any_value(cn.nv)), 9) AS s
-        FROM _qv q JOIN _cv c USING (bucket) JOIN _qn qn ON qn.id = q.id JOIN _cn cn ON cn.id = c.id GROUP BY q.id, c.id),
-_all AS (SELECT q.id AS qid, c.id AS cid, coalesce(s.s, 0) AS s FROM _qn q CROSS JOIN _cn c LEFT JOIN _sc s ON s.qid = q.id AND s.cid = c.id),
-_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, cid) AS rank FROM _all) WHERE rank <= 3),
-_ctx AS (SELECT t.qid, list(cs.chunk ORDER BY t.rank) AS contexts FROM _top t JOIN _cs cs ON cs.id = t.cid GROUP BY t.qid),
-_pq AS (SELECT q.qid, q.text, coalesce(x.contexts, []::VARCHAR[]) AS contexts, coalesce(r.agent, 'DocAgent') AS agent
-        FROM _q q LEFT JOIN _ctx x USING (qid) LEFT JOIN _routed r USING (qid)),
-_msgs AS (SELECT p.qid, p.agent,
-  [{{'role': 'system', 'content': {lit(RT.SYSTEM_LINE)}}}, {{'role': 'user', 'content': d.instruction}}]
-  || CASE WHEN d.layout = 'joined' THEN [{{'role': 'user', 'content': 'Comma seperated value text:' || {NL} || array_to_string(p.contexts, {NL})}}]
-          ELSE list_transform(p.contexts, lambda c_: {{'role': 'user', 'content': 'Context: ' || c_}}) END
-  || [{{'role': 'user', 'content': d.q_prefix || p.text || d.q_suffix}}] AS ms
-  FROM _pq p JOIN _dim d USING (agent)),
-_x AS (SELECT qid, agent, (generate_subscripts(ms, 1) - 1)::BIGINT AS pos, unnest(ms) AS m FROM _msgs)
-SELECT qid, agent, pos, m.role AS role, m.content AS content FROM _x""",
+    "assemble_prompts": f"WITH {prompts_ctes()} SELECT qid, agent, pos, m.role AS role, m.content AS content FROM _x",
+    "ask": f"""WITH {prompts_ctes()},
+_used AS (SELECT qid, any_value(agent) AS agent, count(*) AS n_messages, sum({tok('m.content')}) AS used FROM _x GROUP BY qid)
+SELECT u.qid, u.agent, 'fast' AS model, u.n_messages::BIGINT AS n_messages, u.used::BIGINT AS used,
+       greatest(1, least(d.max_tokens, 4096 - u.used - 100))::BIGINT AS max_tokens, u.used >= 4096 AS overflow,
+       round(t.s, 6) AS best_score
+FROM _used u JOIN _dim d USING (agent) LEFT JOIN (SELECT qid, s FROM _top WHERE rank = 1) t USING (qid)""",
     "prompt_budget": f"""WITH _u AS (SELECT conv_id, sum({tok('text')})::BIGINT AS used FROM conversations GROUP BY conv_id),
 _m AS (SELECT * FROM (VALUES ('fast', 4096, NULL), ('smart', 8000, 8000)) t(model, ceiling, forced))
 SELECT conv_id, model, used, greatest(1, least(coalesce(forced, 1000), ceiling - used - 100))::BIGINT AS max_tokens,
