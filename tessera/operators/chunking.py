@@ -56,22 +56,40 @@ def _pieces(items: Column, starts: Column, joiner: str) -> Column:
 
 
 def pack_words(text: Column, limit: int = TEXT_CHUNK_CHARS) -> Column:
-    """C1 as a column: array of greedy word chunks of at most ``limit`` chars.
+    """C1 as a single column expression (for use inside other expressions).
 
-    A word longer than the limit is a chunk of its own; an empty chunk the
-    rule may produce before an over-long first word is dropped.
+    Prefer ``word_chunks`` on a DataFrame: it stages the word array in its own
+    projection so the chunk lambda reads a column instead of re-splitting the
+    text for every chunk.
     """
     ws = split_words(text)
     starts = _starts_by_fold(F.transform(ws, lambda w: F.length(w).cast("bigint")), limit, True, False)
     return F.filter(_pieces(ws, starts, " "), lambda c: c != "")
 
 
+def word_chunks(df: DataFrame, text_col: str, limit: int = TEXT_CHUNK_CHARS, keep: list | None = None,
+                out: str = "chunk") -> DataFrame:
+    """Greedy word chunks of at most ``limit`` characters; rows
+    ``(*keep, chunk_no, out)`` with ``chunk_no`` from 0.
+
+    A word longer than the limit is a chunk of its own; the empty chunk the
+    rule produces before an over-long first word is dropped (D3).  Three
+    projections: words, chunk starts (integer fold), chunk texts.
+    """
+    keep = keep or []
+    ws = df.select(*keep, split_words(F.col(text_col)).alias("_ws"))
+    st = ws.select(
+        *keep, "_ws",
+        _starts_by_fold(F.transform("_ws", lambda w: F.length(w).cast("bigint")), limit, True, False).alias("_st"),
+    )
+    pieces = F.filter(_pieces(F.col("_ws"), F.col("_st"), " "), lambda c: c != "")
+    return st.select(*keep, F.posexplode(pieces).alias("chunk_no", out))
+
+
 def chunk_words(df: DataFrame, id_col: str, text_col: str, limit: int = TEXT_CHUNK_CHARS,
                 out: str = "chunk") -> DataFrame:
     """``(id, chunk_no, chunk)`` rows; ``chunk_no`` from 0."""
-    return df.select(
-        F.col(id_col), F.posexplode(pack_words(F.col(text_col), limit)).alias("chunk_no", out)
-    )
+    return word_chunks(df, text_col, limit, [id_col], out)
 
 
 def chunk_fixed(df: DataFrame, id_col: str, text_col: str, width: int = PAGE_SLICE_CHARS,
@@ -128,11 +146,14 @@ _END = 1 << 62
 
 def _pack_small(tok: DataFrame, limit: int) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("row_no", "row", "n")))
-    return (
-        tok.groupBy("file")
-        .agg(rows.alias("_rows"))
-        .select("file", F.posexplode(pack_rows_column(F.col("_rows"), limit)).alias("chunk_no", "body"))
+    g = tok.groupBy("file").agg(rows.alias("_rows"))
+    st = g.select(
+        "file",
+        F.transform("_rows", lambda r: r["row"]).alias("_texts"),
+        _starts_by_fold(F.transform("_rows", lambda r: r["n"].cast("bigint")), limit, False, True).alias("_st"),
     )
+    bodies = F.filter(_pieces(F.col("_texts"), F.col("_st"), "\n"), lambda c: c != "")
+    return st.select("file", F.posexplode(bodies).alias("chunk_no", "body"))
 
 
 def _pack_large(tok: DataFrame, limit: int) -> DataFrame:

@@ -209,8 +209,8 @@ def q_mode_in_effect(spark, d):
 
 def _doc_chunks(spark, d, src: DataFrame) -> DataFrame:
     """Chunk rows of the store: ``(namespace, source_id, chunk_no, context[, batch_id])``."""
-    extra = [F.col("batch_id")] if "batch_id" in src.columns else []
-    c = src.select("doc_id", *extra, F.posexplode(chunking.pack_words(F.col("text"))).alias("chunk_no", "context"))
+    extra = ["batch_id"] if "batch_id" in src.columns else []
+    c = chunking.word_chunks(src, "text", keep=["doc_id", *extra], out="context")
     return c.select(F.lit("homework").alias("namespace"), F.col("doc_id").alias("source_id"),
                     F.col("chunk_no").cast("bigint").alias("chunk_no"), "context", *extra)
 
