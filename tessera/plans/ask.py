@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
 from tessera.operators import chunking, compact, embed, lexical, prompts, retrieve, route
-from tessera.session import spread
+from tessera.session import materialize, spread
 from tessera.sources import derived
 from tessera.sources.tables import load
 
@@ -30,8 +30,7 @@ def ingest_documents(spark: SparkSession, sf_dir: str, namespace: str = "homewor
     ch = chunking.chunk_words(docs, "doc_id", "text", out="context").withColumn(
         "id", F.col("doc_id") * CHUNK_ID_STRIDE + F.col("chunk_no")
     )
-    vec = embed.hashed_dense(ch.select("id", "context"), "id", "context", HASH_DIMS)
-    return ch.join(vec, "id").select(
+    return embed.with_hashed_vector(ch, "context", HASH_DIMS).select(
         F.lit(namespace).alias("namespace"), "id", F.col("doc_id").alias("source_id"),
         F.col("chunk_no").cast("bigint").alias("chunk_no"), "context", "embedding",
     )
@@ -43,15 +42,17 @@ def question_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _answer(questions: DataFrame, store: DataFrame, namespace: str, model: str = "fast") -> DataFrame:
     qv = embed.hashed_dense(questions, "qid", "text", HASH_DIMS)
-    hits = retrieve.namespace_topk(store, qv, namespace, payload="context")
+    # k rows per question: written once, read by the prompt and score branches.
+    hits = materialize(retrieve.namespace_topk(store, qv, namespace, payload="context"), "hits")
     routed = route.route(questions, "qid", "text", HASH_DIMS)
     msgs = prompts.assemble_prompts(questions, hits, routed)
-    used = prompts.prompt_tokens(msgs, "qid", "content")
-    per_q = msgs.groupBy("qid").agg(F.first("agent").alias("agent"), F.count(F.lit(1)).alias("n_messages"))
-    dim = route.agents(questions.sparkSession).select("agent", F.col("max_tokens").alias("requested"))
-    b = prompts.completion_budget(
-        per_q.join(used, "qid").join(F.broadcast(dim), "agent").withColumn("model", F.lit(model))
+    per_q = msgs.groupBy("qid").agg(
+        F.first("agent").alias("agent"),
+        F.count(F.lit(1)).alias("n_messages"),
+        F.sum(TX.token_count(F.col("content"))).cast("bigint").alias("used"),
     )
+    dim = route.agents(questions.sparkSession).select("agent", F.col("max_tokens").alias("requested"))
+    b = prompts.completion_budget(per_q.join(F.broadcast(dim), "agent").withColumn("model", F.lit(model)))
     best = hits.where(F.col("rank") == 1).select("qid", F.col("score").alias("best_score"))
     return b.join(best, "qid", "left").select(
         "qid", "agent", "model", F.col("n_messages").cast("bigint").alias("n_messages"), "used", "max_tokens",
@@ -59,9 +60,20 @@ def _answer(questions: DataFrame, store: DataFrame, namespace: str, model: str =
     )
 
 
+def write_store(chunks: DataFrame, name: str = "store") -> DataFrame:
+    """A8 for a fresh store: write the namespace-partitioned chunk table to
+    the shared scratch folder and read it back (queries prune on
+    ``namespace``)."""
+    from tessera.session import work_dir
+
+    path = work_dir(chunks.sparkSession, name)
+    chunks.write.partitionBy("namespace").parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
 def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: every question's routed profile, prompt size and completion budget."""
-    return _answer(question_table(spark, sf_dir), ingest_documents(spark, sf_dir), "homework")
+    return _answer(question_table(spark, sf_dir), write_store(ingest_documents(spark, sf_dir)), "homework")
 
 
 def web_namespace(spark: SparkSession, sf_dir: str, questions: DataFrame, namespace: str = "googlestuff") -> DataFrame:
@@ -81,8 +93,7 @@ def web_namespace(spark: SparkSession, sf_dir: str, questions: DataFrame, namesp
     sl = chunking.chunk_fixed(text.join(used_pages, "page_id", "left_semi"), "page_id", "text")
     sl = sl.select("page_id", "slice_no", compact.compact(F.col("slice")).alias("context")).where(F.col("context") != "")
     sl = sl.withColumn("id", F.col("page_id") * CHUNK_ID_STRIDE + F.col("slice_no"))
-    vec = embed.hashed_dense(sl.select("id", "context"), "id", "context", HASH_DIMS)
-    return sl.join(vec, "id").select(
+    return embed.with_hashed_vector(sl, "context", HASH_DIMS).select(
         F.lit(namespace).alias("namespace"), "id", F.col("page_id").alias("source_id"),
         F.col("slice_no").cast("bigint").alias("chunk_no"), "context", "embedding",
     )
@@ -91,15 +102,15 @@ def web_namespace(spark: SparkSession, sf_dir: str, questions: DataFrame, namesp
 def web_assist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3 end to end: answers for every question from the web namespace."""
     qs = question_table(spark, sf_dir)
-    return _answer(qs, web_namespace(spark, sf_dir, qs), "googlestuff")
+    return _answer(qs, write_store(web_namespace(spark, sf_dir, qs)), "googlestuff")
 
 
 def ask_with_fallback(spark: SparkSession, sf_dir: str, threshold: float = FALLBACK_THRESHOLD) -> DataFrame:
     """K4: questions whose best document context scores below ``threshold``
     are answered again from the web namespace; ``tier`` 1 or 2."""
     qs = question_table(spark, sf_dir)
-    first = _answer(qs, ingest_documents(spark, sf_dir), "homework")
+    first = _answer(qs, write_store(ingest_documents(spark, sf_dir)), "homework")
     ok = first.where(F.col("best_score") >= threshold)
     rest = qs.join(ok.select("qid"), "qid", "left_anti")
-    second = _answer(rest, web_namespace(spark, sf_dir, rest), "googlestuff")
+    second = _answer(rest, write_store(web_namespace(spark, sf_dir, rest)), "googlestuff")
     return ok.withColumn("tier", F.lit(1).cast("bigint")).unionByName(second.withColumn("tier", F.lit(2).cast("bigint")))
