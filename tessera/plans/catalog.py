@@ -244,6 +244,56 @@ def q_chunk_table_rows(spark, d):
     return chunking.pack_table_rows(rows, supplier_file_name)
 
 
+def q_folder_ingest(spark, d):
+    """A1-A6 + K1: the documents laid out as a folder of files named by the
+    file-name derivation, then scanned, dispatched, decoded and chunked."""
+    from tessera.plans import ingest
+
+    docs = load(spark, d, "documents")
+    named = docs.join(derived.file_names(docs), "doc_id").select("f", "text")
+    folder = ingest.write_documents_as_files(named)
+    chunks, _rejects = ingest.folder_chunks(spark, folder, recursive=True)
+    return chunks
+
+
+def q_stream_ingest(spark, d):
+    """The upsert log arrives as two parquet drops; each is processed by
+    an ``availableNow`` run of the ingest stream; the final store version."""
+    from tessera.session import work_dir
+    from tessera.streaming import ingest as SI
+
+    log = derived.upsert_log(load(spark, d, "documents"), load(spark, d, "labels"))
+    src, ck, root = work_dir(spark, "drops"), work_dir(spark, "ingest-ck"), work_dir(spark, "ingest-store")
+    for b in (1, 2):
+        log.where(F.col("batch_id") == b).select(F.col("doc_id").alias("source_id"), "text").write.mode(
+            "append"
+        ).parquet(src)
+        stream = spark.readStream.schema("source_id long, text string").parquet(src)
+        SI.run_ingest_stream(stream, root, ck)
+    final = SI.latest_version(spark, root)
+    return final.select("namespace", "source_id", "chunk_no", "batch_id", "context")
+
+
+def q_stream_mode(spark, d):
+    """R2: utterances arrive in two time-ordered drops (split at the middle
+    of the time range); session state carries the model across them."""
+    from tessera.session import work_dir
+    from tessera.streaming import session_state as SS
+
+    utter = derived.utterances(load(spark, d, "events"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = utter.agg(F.min(micros), F.max(micros)).first()
+    cut = (lo + hi) // 2
+    src, ck, out = work_dir(spark, "utter"), work_dir(spark, "mode-ck"), work_dir(spark, "mode-out")
+    for part in (micros < cut, micros >= cut):
+        utter.where(part).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(utter.schema).parquet(src)
+        q = (SS.session_modes(stream).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_words": q_chunk_words,
     "chunk_fixed": q_chunk_fixed,
@@ -279,4 +329,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ask": q_ask,
     "web_assist": q_web_assist,
     "ask_with_fallback": q_ask_with_fallback,
+    "folder_ingest": q_folder_ingest,
+    "stream_ingest": q_stream_ingest,
+    "stream_mode": q_stream_mode,
 }

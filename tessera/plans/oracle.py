@@ -285,6 +285,25 @@ _msgs AS (SELECT p.qid, p.agent,
 _x AS (SELECT qid, agent, (generate_subscripts(ms, 1) - 1)::BIGINT AS pos, unnest(ms) AS m FROM _msgs)"""
 
 
+def folder_sql() -> str:
+    exts = arr(D.FILE_EXTENSIONS)
+    sizes = "list_transform(rs, lambda x: x.n)"
+    return f"""WITH _k AS (SELECT doc_id, 'doc_' || doc_id::VARCHAR || '.' || {exts}[1 + doc_id % 8] AS f,
+                      text || {NL} AS content FROM documents),
+_k2 AS (SELECT *, lower(string_split(f, '.')[-1]) AS ext FROM _k),
+_txt AS (SELECT doc_id, content AS text FROM _k2 WHERE ext = 'txt'),
+{chunk_cte('_txt')},
+_tl AS (SELECT f, string_split_regex(content, '\r?\n') AS ls FROM _k2 WHERE ext = 'csv'),
+_tr AS (SELECT f, CASE WHEN ls[-1] = '' THEN ls[1 : len(ls) - 1] ELSE ls END AS lines FROM _tl),
+_tt2 AS (SELECT f, list_transform(lines, lambda r_: {{'r': r_, 'n': {tok('r_')}}}) AS rs FROM _tr),
+_ts AS (SELECT f, rs, {fold_starts(sizes, 1000, False, True)} AS st FROM _tt2),
+_tp AS (SELECT f, {pieces('list_transform(rs, lambda x: x.r)', 'st', NL)} AS cs FROM _ts),
+_tc AS (SELECT f, (generate_subscripts(cs, 1) - 1)::BIGINT AS chunk_no, unnest(cs) AS body FROM _tp)
+SELECT k.f AS name, 'text' AS kind, c.chunk_no::BIGINT AS chunk_no, c.chunk FROM _chunks c JOIN _k2 k USING (doc_id)
+UNION ALL
+SELECT f AS name, 'table' AS kind, chunk_no, f || {NL} || {NL} || body AS chunk FROM _tc"""
+
+
 SQL: dict[str, str] = {
     "chunk_words": f"WITH {chunk_cte()} SELECT doc_id, chunk_no::BIGINT AS chunk_no, chunk FROM _chunks",
     "chunk_fixed": (
@@ -398,7 +417,10 @@ _r AS (SELECT *, row_number() OVER w AS seq,
          max(CASE WHEN kind = 'exit' THEN 1 ELSE 0 END) OVER w AS exited
        FROM _k WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT session_id, seq::BIGINT AS seq, text, coalesce(model, 'fast') AS model FROM _r WHERE kind = 'question' AND exited = 0""",
+    "folder_ingest": folder_sql(),
     "chunk_table_rows": f"""WITH {table_rows_cte()},
 _x AS (SELECT file, (generate_subscripts(cs, 1) - 1)::BIGINT AS chunk_no, unnest(cs) AS body FROM _fp)
 SELECT file, chunk_no, 'supplier_' || file::VARCHAR || '.csv' || {NL} || {NL} || body AS chunk FROM _x""",
 }
+SQL["stream_ingest"] = SQL["upsert_latest"]
+SQL["stream_mode"] = SQL["mode_in_effect"]
