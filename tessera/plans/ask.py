@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
-from tessera.operators import chunking, compact, embed, lexical, prompts, retrieve, route
+from tessera.operators import chunking, compact, embed, lexical, prompts, retrieve, route, store
 from tessera.session import materialize, spread
 from tessera.sources import derived
 from tessera.sources.tables import load
@@ -66,9 +66,13 @@ def write_store(chunks: DataFrame, name: str = "store") -> DataFrame:
     ``namespace``)."""
     from tessera.session import work_dir
 
-    path = work_dir(chunks.sparkSession, name)
+    spark = chunks.sparkSession
+    path = work_dir(spark, name)
     chunks.write.partitionBy("namespace").parquet(path)
-    return chunks.sparkSession.read.parquet(path)
+    if not store.versions_exist(spark, path):
+        # an empty partitioned write leaves no data file to read a schema from
+        return spark.createDataFrame([], chunks.schema)
+    return spark.read.parquet(path)
 
 
 def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
