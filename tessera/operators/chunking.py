@@ -145,7 +145,7 @@ _END = 1 << 62
 
 
 def _pack_small(tok: DataFrame, limit: int) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("row_no", "row", "n")))
+    rows = F.sort_array(F.collect_list(F.struct("_ord", "row", "n")))
     g = tok.groupBy("file").agg(rows.alias("_rows"))
     st = g.select(
         "file",
@@ -172,7 +172,10 @@ def _pack_large(tok: DataFrame, limit: int) -> DataFrame:
     from tessera.operators.scan import keyed_running
     from tessera.session import materialize
 
-    pre = keyed_running(tok, "file", [F.col("row_no")], [("P", "sum", "n")])
+    # 0-based positions and prefix token sums in one keyed scan
+    pos = keyed_running(tok, "file", [F.col("_ord")], [("_c", "count", None), ("P", "sum", "n")])
+    pre = materialize(pos.select("file", (F.col("_c") - 1).alias("row_no"), "row", "n", "P"), "pack-rows")
+    tok = pre.select("file", "row_no", "row", "n")
     data = pre.select("file", F.col("P").alias("v"), F.lit(1).alias("kind"), "row_no", F.col("row_no").alias("jr"))
     qry = pre.select(
         "file", (F.col("P") - F.col("n") + F.lit(limit)).alias("v"), F.lit(0).alias("kind"), "row_no",
@@ -206,15 +209,17 @@ def _pack_large(tok: DataFrame, limit: int) -> DataFrame:
                        "left").select(tok["*"], F.coalesce(F.col("_st"), F.lit(0)).alias("_st"))
     numbered = keyed_running(flagged, "file", [F.col("row_no")], [("_cn", "sum", "_st")])
     return numbered.groupBy("file", "_cn").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]), "\n").alias("body")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]), "\n").alias("body")
     ).select("file", (F.col("_cn") - 1).cast("int").alias("chunk_no"), "body")
 
 
 def pack_table_rows(rows: DataFrame, name_of, limit: int = TABLE_CHUNK_TOKENS,
-                    max_rows_one_task: int = MAX_FILE_ROWS_ONE_TASK) -> DataFrame:
-    """``rows(file, row_no, row)`` (row 0 the header) to
-    ``(file, chunk_no, chunk)``; each chunk is ``name + "\\n\\n" + rows``.
+                    max_rows_one_task: int = MAX_FILE_ROWS_ONE_TASK, order: str = "row_no") -> DataFrame:
+    """``rows(file, <order>, row)`` to ``(file, chunk_no, chunk)``; each
+    chunk is ``name + "\\n\\n" + rows``.
 
+    ``order`` names a sortable column (a number or a struct of the order
+    columns) that puts the header first and is unique within a file.
     ``name_of(file_col) -> Column`` gives the file name.  Files up to
     ``max_rows_one_task`` rows are packed by one array fold each; the few
     larger files (at most total/threshold of them, so the list is bounded)
@@ -222,8 +227,7 @@ def pack_table_rows(rows: DataFrame, name_of, limit: int = TABLE_CHUNK_TOKENS,
     """
     from tessera.functions.text import token_count
 
-    tok = rows.select("file", F.col("row_no").cast("bigint").alias("row_no"), "row",
-                      token_count(F.col("row")).alias("n"))
+    tok = rows.select("file", F.col(order).alias("_ord"), "row", token_count(F.col("row")).alias("n"))
     big = [r["file"] for r in tok.groupBy("file").count().where(F.col("count") > max_rows_one_task).collect()]
     if big:
         small = _pack_small(tok.where(~F.col("file").isin(big)), limit)

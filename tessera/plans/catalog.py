@@ -226,7 +226,9 @@ def _upsert_log_chunks(spark, d):
 
 
 def q_upsert_latest(spark, d):
-    merged = store.merge(None, _upsert_log_chunks(spark, d), "by_source")
+    log = derived.upsert_log(load(spark, d, "documents"), load(spark, d, "labels"))
+    versions = log.select(F.lit("homework").alias("namespace"), F.col("doc_id").alias("source_id"), "batch_id")
+    merged = store.merge(None, _upsert_log_chunks(spark, d), "by_source", versions)
     return merged.select("namespace", "source_id", "chunk_no", F.col("batch_id").cast("bigint").alias("batch_id"), "context")
 
 
@@ -241,7 +243,7 @@ def supplier_file_name(file_col):
 
 def q_chunk_table_rows(spark, d):
     rows = derived.table_rows(load(spark, d, "lineitem"))
-    return chunking.pack_table_rows(rows, supplier_file_name)
+    return chunking.pack_table_rows(rows, supplier_file_name, order="ord")
 
 
 def q_folder_ingest(spark, d):

@@ -369,7 +369,7 @@ SQL: dict[str, str] = {
     ),
     "upsert_latest": (
         f"WITH {upsert_log_cte()}, {chunk_cte('_log', ', batch_id')}, "
-        "_new AS (SELECT doc_id, max(batch_id) AS batch_id FROM _chunks GROUP BY doc_id) "
+        "_new AS (SELECT doc_id, max(batch_id) AS batch_id FROM _log GROUP BY doc_id) "
         "SELECT 'homework' AS namespace, c.doc_id AS source_id, c.chunk_no::BIGINT AS chunk_no, c.batch_id::BIGINT AS batch_id, "
         "c.chunk AS context FROM _chunks c JOIN _new USING (doc_id, batch_id)"
     ),

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.compact import compact
-from tessera.operators.scan import keyed_running
 
 # Fixed values (fixture design): heading names and file extensions.
 WIKI_HEADINGS = ["History", "See also", "Overview", "References", "Usage", "Notes"]
@@ -127,29 +126,25 @@ def pods(conv: DataFrame) -> DataFrame:
     sub = F.array(F.struct(F.when(F.col("turn") % 3 == 2, F.lit(None).cast("string")).otherwise(F.col("text")).alias("plaintext")))
     return conv.groupBy("conv_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col("turn"), sub.alias("subpods")))),
+            F.sort_array(F.collect_list(F.struct(F.col("turn"), sub.alias("subpods")))),
             lambda x: F.struct(x["subpods"].alias("subpods")),
         ).alias("pods")
     )
 
 
 def table_rows(lineitem: DataFrame) -> DataFrame:
-    """``(file, row_no, row)``: one CSV "file" per supplier, header at row 0,
-    rows ordered by ``(l_orderkey, l_linenumber, l_partkey, l_shipdate)``.
-
-    Row numbers come from the keyed running count, so a supplier with a large
-    share of all rows is numbered by many tasks.
-    """
+    """``(file, ord, row)``: one CSV "file" per supplier, the header first,
+    rows ordered by ``ord = (0 | 1, l_orderkey, l_linenumber, l_partkey,
+    l_shipdate)`` (unique within a supplier)."""
     body = lineitem.select(
         F.col("l_suppkey").alias("file"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
+        F.struct(F.lit(1).alias("h"), "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").alias("ord"),
         F.concat_ws(",", "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus").alias("row"),
     )
-    numbered = keyed_running(
-        body, "file", [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_shipdate")],
-        [("row_no", "count", None)],
-    ).select("file", "row_no", "row")
     header = lineitem.select(F.col("l_suppkey").alias("file")).distinct().select(
-        "file", F.lit(0).cast("bigint").alias("row_no"), F.lit(TABLE_HEADER).alias("row")
+        "file",
+        F.struct(F.lit(0).alias("h"), *[F.lit(None).cast(lineitem.schema[c].dataType).alias(c)
+                                        for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")]).alias("ord"),
+        F.lit(TABLE_HEADER).alias("row"),
     )
-    return header.unionByName(numbered)
+    return header.unionByName(body)

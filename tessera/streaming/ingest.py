@@ -47,7 +47,9 @@ def make_batch_writer(store_root: str, namespace: str = "homework", mode: str =
         prev = f"{store_root}/v={epoch_id}"
         current = spark.read.parquet(prev) if epoch_id > 0 and _complete(spark, prev) else None
         new = chunk_batch(batch, epoch_id + 1, namespace, dims, with_vectors)
-        merged = store.merge(current, new, mode)
+        versions = batch.select(F.lit(namespace).alias("namespace"), "source_id",
+                                F.lit(epoch_id + 1).cast("bigint").alias("batch_id"))
+        merged = store.merge(current, new, mode, versions)
         merged.write.mode("overwrite").partitionBy("namespace").parquet(f"{store_root}/v={epoch_id + 1}")
 
     return write
