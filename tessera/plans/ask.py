@@ -89,9 +89,9 @@ def web_namespace(spark: SparkSession, sf_dir: str, questions: DataFrame, namesp
     text = pages.select(
         "page_id", TX.canonical_url("url").alias("url"), TX.html_to_text("html").alias("text")
     ).where(F.coalesce(F.col("text"), F.lit("")) != "")
-    tt = lexical.term_table(text, "page_id", "text")
+    tt = materialize(lexical.term_table(text, "page_id", "text"), "page-terms")
     n, avgdl = lexical.corpus_scalars(tt)
-    qterms = lexical.search_terms(questions, "qid", "text", lexical.doc_freq(tt), n)
+    qterms = lexical.search_terms(questions, "qid", "text", None, n, tt=tt)
     links = lexical.bm25_topk(tt, qterms, avgdl, k=LINKS_PER_QUESTION)
     used_pages = links.select(F.col("id").alias("page_id")).distinct()
     sl = chunking.chunk_fixed(text.join(used_pages, "page_id", "left_semi"), "page_id", "text")

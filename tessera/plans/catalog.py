@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as TX
 from tessera.operators import chunking, compact, dialog, embed, lexical, prompts, retrieve, route, sections, store
 from tessera.plans import ask as ask_plan
-from tessera.session import spread
+from tessera.session import materialize, spread
 from tessera.sources import derived
 from tessera.sources.tables import load
 
@@ -143,11 +143,11 @@ def q_fallback_retrieve(spark, d):
 
 
 def _lexical_inputs(spark, d):
-    tt = lexical.term_table(_docs(spark, d, "text"), "doc_id", "text")
-    dfreq = lexical.doc_freq(tt)
+    # the term table feeds three jobs (scalars, document frequency, scoring): built once
+    tt = materialize(lexical.term_table(_docs(spark, d, "text"), "doc_id", "text"), "terms")
     n, avgdl = lexical.corpus_scalars(tt)
     qs = derived.questions(load(spark, d, "conversations"))
-    qterms = lexical.search_terms(qs, "qid", "text", dfreq, n)
+    qterms = lexical.search_terms(qs, "qid", "text", None, n, tt=tt)
     return tt, qterms, avgdl
 
 
