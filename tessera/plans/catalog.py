@@ -176,6 +176,17 @@ def q_assemble_prompts(spark, d):
     return prompts.assemble_prompts(qs, hits, route.route(qs, "qid", "text", HASH_DIMS))
 
 
+def q_router_prompts(spark, d):
+    return prompts.router_prompts(ask_plan.question_table(spark, d))
+
+
+def q_judge_prompts(spark, d):
+    qs = ask_plan.question_table(spark, d)
+    qv = embed.hashed_dense(qs, "qid", "text", HASH_DIMS)
+    hits = retrieve.namespace_topk(ask_plan.ingest_documents(spark, d), qv, "homework", payload="context")
+    return prompts.judge_prompts(qs, hits, derived.first_answers(load(spark, d, "conversations")))
+
+
 def q_ask(spark, d):
     return ask_plan.ask(spark, d)
 
@@ -328,6 +339,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "assemble_prompts": q_assemble_prompts,
     "flatten_join": q_flatten_join,
     "mode_in_effect": q_mode_in_effect,
+    "router_prompts": q_router_prompts,
+    "judge_prompts": q_judge_prompts,
     "ask": q_ask,
     "web_assist": q_web_assist,
     "ask_with_fallback": q_ask_with_fallback,

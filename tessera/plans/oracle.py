@@ -166,9 +166,14 @@ def hashed_cte(src: str, id_expr: str, text_expr: str, name: str) -> str:
 {name} AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM {name}_c)"""
 
 
-def questions_cte() -> str:
-    return ("_q AS (SELECT conv_id AS qid, arg_min(text, turn) AS text FROM conversations "
-            "WHERE role = 'user' GROUP BY conv_id)")
+def questions_cte(only: str = "") -> str:
+    """``_q(qid, text)``; ``only`` is an optional condition on ``qid``."""
+    q = ("_q AS (SELECT conv_id AS qid, arg_min(text, turn) AS text FROM conversations "
+         "WHERE role = 'user' GROUP BY conv_id)")
+    if only:
+        q = ("_q AS (SELECT * FROM (SELECT conv_id AS qid, arg_min(text, turn) AS text FROM conversations "
+             f"WHERE role = 'user' GROUP BY conv_id) WHERE {only})")
+    return q
 
 
 def vec_cte() -> str:
@@ -264,9 +269,38 @@ _fs AS (SELECT file, rs, {fold_starts('list_transform(rs, lambda x: x.n)', 1000,
 _fp AS (SELECT file, {pieces('list_transform(rs, lambda x: x.r)', 'st', NL)} AS cs FROM _fs)"""
 
 
-def prompts_ctes() -> str:
+def web_store_cte(only: str = "") -> str:
+    """K3's store: pages linked by the questions' BM25 search (3 each), their
+    visible text in 4,000-character slices, compacted; defines ``_q``,
+    ``_cs(id, chunk)``, ``_cv`` and ``_qv`` like ``chunk_store_cte``."""
+    stop = arr(LX.STOP_WORDS)
+    return f"""{questions_cte(only)},
+_pg AS (SELECT page_id, {html_text('html')} AS text FROM pages),
+_pgt AS (SELECT * FROM _pg WHERE coalesce(text, '') <> ''),
+_tt AS (SELECT page_id AS id, {terms('text')} AS t FROM _pgt),
+_dl AS (SELECT id, len(t)::DOUBLE AS dl FROM _tt),
+_stats AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM _dl),
+_df AS (SELECT term, count(*)::DOUBLE AS df FROM (SELECT DISTINCT id, unnest(t) AS term FROM _tt) GROUP BY term),
+_qt0 AS (SELECT DISTINCT qid, unnest({terms('text')}) AS term FROM _q),
+_qt1 AS (SELECT q.qid, q.term, ln(1.0::DOUBLE + (s.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) AS idf
+         FROM _qt0 q JOIN _df d USING (term), _stats s WHERE NOT list_contains({stop}, q.term)),
+_qt AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY idf DESC, term) AS term_rank FROM _qt1),
+_sel AS (SELECT * FROM _qt WHERE term_rank <= {LX.MAX_SEARCH_TERMS}),
+_post AS (SELECT id, term, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(t) AS term FROM _tt) GROUP BY id, term),
+_lsc AS (SELECT s.qid, p.id, round(sum(s.idf * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / st.avgdl))), 9) AS score
+         FROM _sel s JOIN _post p USING (term) JOIN _dl l ON l.id = p.id, _stats st GROUP BY s.qid, p.id),
+_lr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM _lsc WHERE score > 0),
+_usedp AS (SELECT DISTINCT id AS page_id FROM _lr WHERE rank <= 3),
+_sl AS (SELECT p.page_id, p.text, unnest(generate_series(0, length(p.text) - 1, 4000)) AS s FROM _pgt p JOIN _usedp USING (page_id)),
+_sl2 AS (SELECT page_id, s // 4000 AS slice_no, {compact_sql('substring(text, s + 1, 4000)')} AS context FROM _sl),
+_cs AS (SELECT page_id * {C.CHUNK_ID_STRIDE} + slice_no AS id, context AS chunk FROM _sl2 WHERE context <> ''),
+{hashed_cte('_cs', 'id', 'chunk', '_cv')},
+{hashed_cte('_q', 'qid', 'text', '_qv')}"""
+
+
+def prompts_ctes(store: str | None = None) -> str:
     """Question prompts as in ``assemble_prompts``; ends with ``_x(qid, agent, pos, m)``."""
-    return f"""{chunk_store_cte()}, {route_ctes()}, {agent_dim_cte()},
+    return f"""{store or chunk_store_cte()}, {route_ctes()}, {agent_dim_cte()},
 _cn AS (SELECT id, sqrt(sum(weight * weight)) AS nv FROM _cv GROUP BY id),
 _qn AS (SELECT id, sqrt(sum(weight * weight)) AS nv FROM _qv GROUP BY id),
 _sc AS (SELECT q.id AS qid, c.id AS cid, round(sum(q.weight * c.weight) / (any_value(qn.nv) * any_value(cn.nv)), 9) AS s
@@ -304,6 +338,30 @@ UNION ALL
 SELECT f AS name, 'table' AS kind, chunk_no, f || {NL} || {NL} || body AS chunk FROM _tc"""
 
 
+def answer_sql(store: str | None = None) -> str:
+    """K2 (and K3 with the web store): per question profile, prompt size,
+    completion budget and best context score."""
+    return f"""WITH {prompts_ctes(store)},
+_used AS (SELECT qid, any_value(agent) AS agent, count(*) AS n_messages, sum({tok('m.content')}) AS used FROM _x GROUP BY qid)
+SELECT u.qid, u.agent, 'fast' AS model, u.n_messages::BIGINT AS n_messages, u.used::BIGINT AS used,
+       greatest(1, least(d.max_tokens, 4096 - u.used - 100))::BIGINT AS max_tokens, u.used >= 4096 AS overflow,
+       round(t.s, 6) AS best_score
+FROM _used u JOIN _dim d USING (agent) LEFT JOIN (SELECT qid, s FROM _top WHERE rank = 1) t USING (qid)"""
+
+
+def fallback_sql() -> str:
+    """K4: tier 1 keeps questions whose best document context reaches the
+    threshold; the rest are answered from a web store built for them."""
+    from tessera.plans.ask import FALLBACK_THRESHOLD
+
+    ask = answer_sql()
+    rest = f"qid NOT IN (SELECT qid FROM ({ask}) a WHERE best_score >= {FALLBACK_THRESHOLD})"
+    return (
+        f"SELECT *, 1::BIGINT AS tier FROM ({ask}) t1 WHERE best_score >= {FALLBACK_THRESHOLD} "
+        f"UNION ALL SELECT *, 2::BIGINT AS tier FROM ({answer_sql(web_store_cte(rest))}) t2"
+    )
+
+
 SQL: dict[str, str] = {
     "chunk_words": f"WITH {chunk_cte()} SELECT doc_id, chunk_no::BIGINT AS chunk_no, chunk FROM _chunks",
     "chunk_fixed": (
@@ -397,12 +455,23 @@ SELECT qid, rank::BIGINT AS rank, id, round(score, 4) AS score, (1 + 10 * floor(
     "route_questions": f"""WITH {questions_cte()}, {hashed_cte('_q', 'qid', 'text', '_qv')}, {route_ctes()}, {agent_dim_cte()}
 SELECT r.qid, r.agent, r.score, d.temperature, d.max_tokens::BIGINT AS max_tokens FROM _routed r LEFT JOIN _dim d USING (agent)""",
     "assemble_prompts": f"WITH {prompts_ctes()} SELECT qid, agent, pos, m.role AS role, m.content AS content FROM _x",
-    "ask": f"""WITH {prompts_ctes()},
-_used AS (SELECT qid, any_value(agent) AS agent, count(*) AS n_messages, sum({tok('m.content')}) AS used FROM _x GROUP BY qid)
-SELECT u.qid, u.agent, 'fast' AS model, u.n_messages::BIGINT AS n_messages, u.used::BIGINT AS used,
-       greatest(1, least(d.max_tokens, 4096 - u.used - 100))::BIGINT AS max_tokens, u.used >= 4096 AS overflow,
-       round(t.s, 6) AS best_score
-FROM _used u JOIN _dim d USING (agent) LEFT JOIN (SELECT qid, s FROM _top WHERE rank = 1) t USING (qid)""",
+    "router_prompts": f"""WITH {questions_cte()},
+_m AS (SELECT qid, [{{'role': 'system', 'content': {lit(RT.SYSTEM_LINE)}}}, {{'role': 'user', 'content': {lit(RT.ROUTER_INSTRUCTION)}}},
+                    {{'role': 'user', 'content': 'Question:' || {NL} || text}}, {{'role': 'user', 'content': {lit(RT.AGENT_LIST_TEXT)}}}] AS ms FROM _q),
+_x AS (SELECT qid, (generate_subscripts(ms, 1) - 1)::BIGINT AS pos, unnest(ms) AS m FROM _m)
+SELECT qid, pos, m.role AS role, m.content AS content FROM _x""",
+    "judge_prompts": f"""WITH {prompts_ctes()},
+_ans AS (SELECT conv_id AS qid, arg_min(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+_jc AS (SELECT t.qid, string_agg(cs.chunk, {NL} ORDER BY t.rank) AS contexts FROM _top t JOIN _cs cs ON cs.id = t.cid GROUP BY t.qid),
+_jm AS (SELECT q.qid, [{{'role': 'system', 'content': {lit(RT.SYSTEM_LINE)}}}, {{'role': 'user', 'content': {lit(RT.JUDGE_INSTRUCTION)}}},
+                      {{'role': 'user', 'content': 'Query: ' || q.text}}, {{'role': 'user', 'content': 'Context: ' || coalesce(c.contexts, '')}},
+                      {{'role': 'user', 'content': 'Answer: ' || coalesce(a.answer, '')}}] AS ms
+        FROM _q q LEFT JOIN _jc c USING (qid) LEFT JOIN _ans a USING (qid)),
+_jx AS (SELECT qid, (generate_subscripts(ms, 1) - 1)::BIGINT AS pos, unnest(ms) AS m FROM _jm)
+SELECT qid, pos, m.role AS role, m.content AS content FROM _jx""",
+    "ask": answer_sql(),
+    "web_assist": answer_sql(web_store_cte()),
+    "ask_with_fallback": fallback_sql(),
     "prompt_budget": f"""WITH _u AS (SELECT conv_id, sum({tok('text')})::BIGINT AS used FROM conversations GROUP BY conv_id),
 _m AS (SELECT * FROM (VALUES ('fast', 4096, NULL), ('smart', 8000, 8000)) t(model, ceiling, forced))
 SELECT conv_id, model, used, greatest(1, least(coalesce(forced, 1000), ceiling - used - 100))::BIGINT AS max_tokens,

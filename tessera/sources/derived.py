@@ -109,6 +109,16 @@ def questions(conv: DataFrame) -> DataFrame:
     )
 
 
+def first_answers(conv: DataFrame) -> DataFrame:
+    """``(qid, answer)``: the earliest assistant turn of each conversation."""
+    return (
+        conv.where(F.col("role") == "assistant")
+        .groupBy("conv_id")
+        .agg(F.min_by("text", "turn").alias("answer"))
+        .select(F.col("conv_id").alias("qid"), "answer")
+    )
+
+
 def upsert_log(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, batch_id, text)``: batch 1 ingests every document; batch 2
     re-ingests the labelled documents in compacted (shorter) form, so stale

@@ -5,8 +5,8 @@ import pytest
 
 from conftest import ROOT, SF_SMALL
 
-# Registered without a DuckDB twin: compositions whose parts all have twins.
-ROWS_ONLY = {"web_assist", "ask_with_fallback"}
+# Registered without a DuckDB twin.
+ROWS_ONLY = set()
 
 
 def _load(path, name):
