@@ -47,6 +47,10 @@ def chunk_files(scanned: DataFrame, decoders: dict | None = None) -> tuple[DataF
 def write_documents_as_files(docs: DataFrame, name_col: str = "f", text_col: str = "text") -> str:
     """Lay a document table out as a folder of files (one file per name,
     under ``f=<name>/``) in the shared scratch folder; returns the folder."""
-    path = work_dir(docs.sparkSession, "files")
-    docs.select(name_col, text_col).write.partitionBy(name_col).text(path)
+    spark = docs.sparkSession
+    path = work_dir(spark, "files")
+    # one row per name, hashed by name: every file is written by exactly one
+    # task, and the tasks write in parallel
+    n = spark.sparkContext.defaultParallelism
+    docs.select(name_col, text_col).repartition(n, name_col).write.partitionBy(name_col).text(path)
     return path
