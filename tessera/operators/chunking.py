@@ -222,19 +222,23 @@ def pack_table_rows(rows: DataFrame, name_of, limit: int = TABLE_CHUNK_TOKENS,
     columns) that puts the header first and is unique within a file.
     ``name_of(file_col) -> Column`` gives the file name.  Files up to
     ``max_rows_one_task`` rows are packed by one array fold each; the few
-    larger files (at most total/threshold of them, so the list is bounded)
-    take the distributed path.
+    larger files (at most total/threshold of them) take the distributed
+    path; the driver only learns whether there are any.
     """
     from tessera.functions.text import token_count
 
+    from tessera.session import materialize
+
     tok = rows.select("file", F.col(order).alias("_ord"), "row", token_count(F.col("row")).alias("n"))
-    big = [r["file"] for r in tok.groupBy("file").count().where(F.col("count") > max_rows_one_task).collect()]
-    if big:
-        small = _pack_small(tok.where(~F.col("file").isin(big)), limit)
-        large = _pack_large(tok.where(F.col("file").isin(big)), limit)
-        packed = small.unionByName(large)
-    else:
+    big = tok.groupBy("file").count().where(F.col("count") > max_rows_one_task).select("file")
+    if big.isEmpty():
         packed = _pack_small(tok, limit)
+    else:
+        # the large-file list is a table (never collected): anti/semi joins
+        big = materialize(big, "pack-big")
+        small = _pack_small(tok.join(big, "file", "left_anti"), limit)
+        large = _pack_large(tok.join(big, "file", "left_semi"), limit)
+        packed = small.unionByName(large)
     return packed.select(
         "file", F.col("chunk_no").cast("bigint").alias("chunk_no"),
         F.concat(name_of(F.col("file")), F.lit("\n\n"), F.col("body")).alias("chunk"),
