@@ -209,7 +209,7 @@ def q_prompt_budget(spark, d):
 
 def q_flatten_join(spark, d):
     p = derived.pods(load(spark, d, "conversations"))
-    return p.select("conv_id", prompts.flatten_answer(F.col("pods")).alias("answer"))
+    return p.select("conv_id", "turn", prompts.flatten_answer(F.col("pods")).alias("answer"))
 
 
 def q_mode_in_effect(spark, d):

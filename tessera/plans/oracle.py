@@ -476,8 +476,9 @@ SELECT qid, pos, m.role AS role, m.content AS content FROM _jx""",
 _m AS (SELECT * FROM (VALUES ('fast', 4096, NULL), ('smart', 8000, 8000)) t(model, ceiling, forced))
 SELECT conv_id, model, used, greatest(1, least(coalesce(forced, 1000), ceiling - used - 100))::BIGINT AS max_tokens,
        used >= ceiling AS overflow FROM _u, _m""",
-    "flatten_join": f"""WITH _p AS (SELECT conv_id, list(CASE WHEN turn % 3 = 2 THEN NULL ELSE text END ORDER BY turn) AS xs FROM conversations GROUP BY conv_id)
-SELECT conv_id, CASE WHEN len(list_filter(xs, lambda x: x IS NOT NULL)) > 0
+    "flatten_join": f"""WITH _p AS (SELECT conv_id, turn, list_transform(string_split(text, {NL}),
+                   lambda l_, i_: CASE WHEN (i_ - 1) % 3 = 2 THEN NULL ELSE l_ END) AS xs FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(list_filter(xs, lambda x: x IS NOT NULL)) > 0
   THEN array_to_string(list_filter(xs, lambda x: x IS NOT NULL), {NL}) END AS answer FROM _p""",
     "mode_in_effect": f"""WITH _u AS (SELECT user_id AS session_id, ts, event_id, {utter_text()} AS text FROM events),
 _k AS (SELECT *, {command_sql('text')} AS kind FROM _u),

@@ -131,15 +131,16 @@ def upsert_log(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pods(conv: DataFrame) -> DataFrame:
-    """``(conv_id, pods)``: each turn a pod with one sub-pod whose plaintext is
-    null on every third turn."""
-    sub = F.array(F.struct(F.when(F.col("turn") % 3 == 2, F.lit(None).cast("string")).otherwise(F.col("text")).alias("plaintext")))
-    return conv.groupBy("conv_id").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(F.col("turn"), sub.alias("subpods")))),
-            lambda x: F.struct(x["subpods"].alias("subpods")),
-        ).alias("pods")
+    """``(conv_id, turn, pods)``: a solver-style result per turn -- each line
+    of the turn is a pod with one sub-pod whose plaintext is null on every
+    third line.  Row-local: no grouping."""
+    lines = F.split(F.col("text"), "\n")
+    pod = F.transform(
+        lines,
+        lambda ln, i: F.struct(F.array(F.struct(
+            F.when(i % 3 == 2, F.lit(None).cast("string")).otherwise(ln).alias("plaintext"))).alias("subpods")),
     )
+    return conv.select("conv_id", "turn", pod.alias("pods"))
 
 
 def table_rows(lineitem: DataFrame) -> DataFrame:
