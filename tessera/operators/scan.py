@@ -83,8 +83,6 @@ def keyed_running(df: DataFrame, key: str, order: list, aggs: list[tuple[str, st
     for ``count``.  ``order`` must make rows of a key totally ordered.
     Output keeps all input columns plus the outputs.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     specs = []
     base = df
     for i, (out, kind, col) in enumerate(aggs):
@@ -105,7 +103,12 @@ def keyed_running(df: DataFrame, key: str, order: list, aggs: list[tuple[str, st
     fields += [T.StructField("_blk", T.IntegerType()), T.StructField("_pos", T.LongType())]
     schema = T.StructType(fields)
 
-    ordered = base.repartitionByRange(n, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
+    # Without an explicit count AQE may coalesce adjacent range partitions
+    # (order is kept) so small inputs do not start one Python task per
+    # shuffle partition; large inputs get spark.sql.shuffle.partitions.
+    ranged = (base.repartitionByRange(partitions, F.col(key), *order) if partitions
+              else base.repartitionByRange(F.col(key), *order))
+    ordered = ranged.sortWithinPartitions(F.col(key), *order)
     local = materialize(ordered.mapInPandas(_local_scan(key, specs), schema), "scan")
 
     ends = local.groupBy("_blk").agg(F.min(key).alias("_k1"), F.max(key).alias("_k2"))

@@ -298,12 +298,18 @@ def q_stream_mode(spark, d):
     lo, hi = utter.agg(F.min(micros), F.max(micros)).first()
     cut = (lo + hi) // 2
     src, ck, out = work_dir(spark, "utter"), work_dir(spark, "mode-ck"), work_dir(spark, "mode-out")
-    for part in (micros < cut, micros >= cut):
-        utter.where(part).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(utter.schema).parquet(src)
-        q = (SS.session_modes(stream).writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
-        q.awaitTermination()
+    # state partitions are fixed when the query first starts: one per core
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        for part in (micros < cut, micros >= cut):
+            utter.where(part).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(utter.schema).parquet(src)
+            q = (SS.session_modes(stream).writeStream.format("parquet").option("path", out)
+                 .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+            q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
     return spark.read.parquet(out)
 
 
