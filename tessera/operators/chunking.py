@@ -55,18 +55,6 @@ def _pieces(items: Column, starts: Column, joiner: str) -> Column:
     )
 
 
-def pack_words(text: Column, limit: int = TEXT_CHUNK_CHARS) -> Column:
-    """C1 as a single column expression (for use inside other expressions).
-
-    Prefer ``word_chunks`` on a DataFrame: it stages the word array in its own
-    projection so the chunk lambda reads a column instead of re-splitting the
-    text for every chunk.
-    """
-    ws = split_words(text)
-    starts = _starts_by_fold(F.transform(ws, lambda w: F.length(w).cast("bigint")), limit, True, False)
-    return F.filter(_pieces(ws, starts, " "), lambda c: c != "")
-
-
 def word_chunks(df: DataFrame, text_col: str, limit: int = TEXT_CHUNK_CHARS, keep: list | None = None,
                 out: str = "chunk") -> DataFrame:
     """Greedy word chunks of at most ``limit`` characters; rows
@@ -125,19 +113,6 @@ def even_split(df: DataFrame, id_col: str, size_col: str, limit: int) -> DataFra
     )
 
 
-def pack_rows_column(rows: Column, limit: int = TABLE_CHUNK_TOKENS) -> Column:
-    """C2 on one file's ``array<struct<row_no, row, n>>`` sorted by ``row_no``.
-
-    Walk rows adding their tokens; when the total *including* the row reaches
-    ``limit`` the chunk closes before it.  Returns the chunk bodies (rows
-    joined by newline); an empty body before an over-large first row is
-    dropped.
-    """
-    starts = _starts_by_fold(F.transform(rows, lambda r: r["n"].cast("bigint")), limit, False, True)
-    texts = F.transform(rows, lambda r: r["row"])
-    return F.filter(_pieces(texts, starts, "\n"), lambda c: c != "")
-
-
 # Files with more rows than this are packed by the distributed path below
 # instead of one task per file.
 MAX_FILE_ROWS_ONE_TASK = 200_000
