@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
-from tessera.operators import chunking, compact, embed, lexical, prompts, retrieve, route, store
+from tessera.operators import chunking, compact, embed, lexical, prompts, retrieve, route, sections, store
 from tessera.session import materialize, spread
 from tessera.sources import derived
 from tessera.sources.tables import load
@@ -86,9 +86,14 @@ def web_namespace(spark: SparkSession, sf_dir: str, questions: DataFrame, namesp
     character slices, compaction, embedding.  Each page is processed once
     however many questions link to it."""
     pages = spread(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    text = pages.select(
-        "page_id", TX.canonical_url("url").alias("url"), TX.html_to_text("html").alias("text")
-    ).where(F.coalesce(F.col("text"), F.lit("")) != "")
+    parsed = pages.select("page_id", TX.canonical_url("url").alias("url"), TX.html_to_text("html").alias("text"))
+    # Encyclopedia pages keep their surviving sections (C5-C9); others the visible text (B1)
+    wiki = TX.is_wikipedia(F.col("url"))
+    sectioned = sections.assemble_sections(parsed.where(wiki).select("page_id", "text"), "page_id", "text")
+    text = (
+        parsed.where(~wiki).select("page_id", "text").unionByName(sectioned)
+        .where(F.coalesce(F.col("text"), F.lit("")) != "")
+    )
     tt = materialize(lexical.term_table(text, "page_id", "text"), "page-terms")
     n, avgdl = lexical.corpus_scalars(tt)
     qterms = lexical.search_terms(questions, "qid", "text", None, n, tt=tt)

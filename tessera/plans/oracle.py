@@ -116,11 +116,13 @@ def wikitext_cte() -> str:
     return f"_wiki AS (SELECT doc_id, array_to_string(list_transform(string_split(text, {NL}), lambda p, i: {para}), {NL}) AS w FROM documents)"
 
 
-def sections_cte() -> str:
-    """``_secs(doc_id, pos, level, heading, middle, content)``."""
-    return f"""{wikitext_cte()},
+def sections_cte(src: str | None = None) -> str:
+    """``_secs(doc_id, pos, level, heading, middle, content)`` over
+    ``src(doc_id, w)`` (default: the wiki text derived from documents)."""
+    head = f"{wikitext_cte()}," if src is None else ""
+    return f"""{head}
 _pc AS (SELECT doc_id, w, string_split_regex(w, {lit(P.HEADING)}) AS pcs,
-               regexp_extract_all(w, {lit(P.HEADING)}) AS hds FROM _wiki),
+               regexp_extract_all(w, {lit(P.HEADING)}) AS hds FROM {src or '_wiki'}),
 _h AS (SELECT doc_id, pcs, unnest(hds) AS h, generate_subscripts(hds, 1) AS pos FROM _pc),
 _secs AS (
   SELECT doc_id, 0::BIGINT AS pos, 0::BIGINT AS level, 'Summary' AS heading, '' AS middle,
@@ -133,12 +135,12 @@ _secs AS (
   FROM _h)"""
 
 
-def prune_cte() -> str:
+def prune_cte(src: str | None = None) -> str:
     """``_kept(doc_id, pos, level, heading, n_tokens, content)`` via the
     ancestor rule: drop a section when it, or an enclosing section, has a
     discarded heading."""
     stop = arr(P.DISCARD_SECTIONS)
-    return f"""{sections_cte()},
+    return f"""{sections_cte(src)},
 _enc AS (
   -- enclosing sections of s: preceding t with t.level < every level between t and s
   SELECT s.doc_id, s.pos, bool_or(list_contains({stop}, t.heading)) AS anc_drop
@@ -274,8 +276,14 @@ def web_store_cte(only: str = "") -> str:
     visible text in 4,000-character slices, compacted; defines ``_q``,
     ``_cs(id, chunk)``, ``_cv`` and ``_qv`` like ``chunk_store_cte``."""
     stop = arr(LX.STOP_WORDS)
+    wiki = f"contains(regexp_extract(url, {lit(P.URL_AUTHORITY)}, 1), 'wikipedia.org')"
     return f"""{questions_cte(only)},
-_pg AS (SELECT page_id, {html_text('html')} AS text FROM pages),
+_pg0 AS (SELECT page_id, {canonical('url')} AS url, {html_text('html')} AS text FROM pages),
+_pw AS (SELECT page_id AS doc_id, text AS w FROM _pg0 WHERE {wiki}),
+{prune_cte('_pw')},
+_pwa AS (SELECT w.doc_id AS page_id, CASE WHEN length(w.w) = 0 THEN '' ELSE string_agg(k.content, {NL} ORDER BY k.pos) END AS text
+         FROM _pw w JOIN _kept k USING (doc_id) GROUP BY w.doc_id, w.w),
+_pg AS (SELECT page_id, text FROM _pg0 WHERE NOT {wiki} UNION ALL SELECT page_id, text FROM _pwa),
 _pgt AS (SELECT * FROM _pg WHERE coalesce(text, '') <> ''),
 _tt AS (SELECT page_id AS id, {terms('text')} AS t FROM _pgt),
 _dl AS (SELECT id, len(t)::DOUBLE AS dl FROM _tt),
