@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import SPACES, partitions, pick
+from tessera.llm.common import SPACES, pick, with_row_ids
 from tessera.session import materialize
 
 #: Offsets are multiples of this part.
@@ -47,18 +47,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), epochs: floa
         .select("source", "source_size", "weight", "target")
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), epochs: float = 1.5, most: int = 2, seed: str = "mix",
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row of ``df``: doc_id, source, size, source_size, target, copies, taken.
-
-    A null text has no words; a null source is a source of its own, the last;
-    repeated rows are documents of their own (equal ones may change places, so
-    their ``copies`` may, but not their number); null ids come first; a source
-    without words has target 0 and takes none; an empty table gives no rows."""
-    docs = pick(df, doc_id=id_col, text=text_col, source=source_col)
+def _copies(docs: DataFrame, weights: tuple[int, ...], epochs: float, most: int, seed: str) -> DataFrame:
+    """``docs`` (doc_id, text, source and any others) with size, source_size,
+    target, copies and taken in the text's place."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), f"[{SPACES}]+"), lambda w: w != "")).cast("long")
     salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    rows = materialize(docs.select("doc_id", "source", words.alias("size"), salt.alias("salt")), "mix-sizes")
+    rows = materialize(docs.select(*others, "doc_id", "source", words.alias("size"), salt.alias("salt")), "mix-sizes")
     rows = rows.withColumn("salt", F.pmod("salt", F.lit(256))).withColumn("class", F.floor(8 * F.log2(F.col("size") + 1)))
     cells = materialize(rows.groupBy("source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-cells")
     aim = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs, most)
@@ -72,13 +67,34 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), epochs: float = 1.5
     place = F.row_number().over(Window.partitionBy("source", "class", "salt").orderBy("size", "doc_id"))
     rows = rows.withColumn("place", place)
     rows = rows.join(cells, _same(rows, cells, "class", "salt")).select(
-        rows["doc_id"], rows["source"], "size", "source_size", "target", (F.col("before") + F.col("place")).alias("place"))
+        *others, rows["doc_id"], rows["source"], "size", "source_size", "target", (F.col("before") + F.col("place")).alias("place"))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce("source", F.lit("\0")))), 1, 8), 16, 10).cast("long")
     offset = F.pmod(draw, F.lit(GRAIN)) / GRAIN
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor(F.col("place") * each + offset) - F.floor((F.col("place") - 1) * each + offset)
     return rows.withColumn("copies", F.least(crossed, F.lit(most)).cast("long")).withColumn("taken", F.col("copies") * F.col("size")) \
-        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+        .select(*others, "doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), epochs: float = 1.5, most: int = 2, seed: str = "mix",
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per row of ``df``: doc_id, source, size, source_size, target, copies, taken.
+
+    A null text has no words; a null source is a source of its own, the last;
+    repeated rows are documents of their own (equal ones may change places, so
+    their ``copies`` may, but not their number); null ids come first; a source
+    without words has target 0 and takes none; an empty table gives no rows."""
+    return _copies(pick(df, doc_id=id_col, text=text_col, source=source_col), weights, epochs, most, seed)
+
+
+def mixed(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), epochs: float = 1.5, most: int = 2, seed: str = "mix",
+          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``df``, each as often as :func:`mix` takes it (0 to ``most``
+    times), with all their columns; the cases are those of :func:`mix`."""
+    rows = with_row_ids(df.select(F.struct(*[df[c] for c in df.columns]).alias("row")), "mix-rows")
+    docs = rows.select("rid", *[F.col("row")[c].alias(n) for n, c in (("doc_id", id_col), ("text", text_col), ("source", source_col))])
+    times = _copies(docs, weights, epochs, most, seed).where("copies > 0").select("rid", "copies")
+    return rows.join(times, "rid").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def _same(a: DataFrame, b: DataFrame, *keys: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.session import work_dir
 
@@ -48,6 +49,18 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_quality_rules, op4_pack, op6_mix)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import simhash
+
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, bits=3)
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import topk
+
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_quality_rules, op4_pack, op6_mix, op8_simhash, op9_topk)}
 
 SQL: dict[str, str] = {}

@@ -106,15 +106,28 @@ def cascade(df: DataFrame, rules: Sequence[Rule], sample_of: DataFrame | None =
     return df.withColumn("rejected_by", first)
 
 
+def judged(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``docs`` (with ``text``, and no column named like those that are added)
+    with the base figures, base_failed, rejected_by and kept."""
+    rows = docs.count()
+    few = docs if rows <= sample_rows else docs.sample(fraction=sample_rows / rows, seed=7)
+    sample = word_counts(materialize(few.select("text"), "rule-docs"))
+    out = cascade(word_counts(docs), verdict_rules(), sample, sample_rows).withColumn("base_failed", base_failed())
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+
+
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row: doc_id, the base figures, base_failed, rejected_by, kept.
 
     A null text has no words and fails the base; null and repeated ids are kept
     row by row; an empty table gives no rows; other columns aren't read."""
-    docs = pick(df, doc_id=id_col, text=text_col)
-    counted = word_counts(docs)
-    rows = docs.count()
-    few = docs if rows <= sample_rows else docs.sample(fraction=sample_rows / rows, seed=7)
-    sample = word_counts(materialize(few, "rule-docs"))
-    judged = cascade(counted, verdict_rules(), sample, sample_rows).withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("text")
+    return judged(pick(df, doc_id=id_col, text=text_col), sample_rows).drop("text")
+
+
+def keep_good(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``df`` whose text is kept, with all their columns.
+
+    Columns are carried as one struct, so none can clash; null texts fail the
+    base and go; repeated rows stay or go alike; an empty table stays empty."""
+    docs = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text_col].alias("text"))
+    return judged(docs, sample_rows).where("kept").select("row.*")
