@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, packing, rules, simhash
+from tessera.llm import mixing, packing, repeats, rules, simhash
 from tessera.session import materialize, ship_package
 
 
@@ -24,6 +24,12 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.deduplicate(docs, shingle=3, bits=3)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes or more that occur at another place too go from the texts."""
+    ship_package(spark)
+    return repeats.strip(docs, length=400)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks."""
     return mixing.mixed(docs)
@@ -40,6 +46,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality_rules", quality_rules),
     ("simhash_dedup", simhash_dedup),
+    ("repeated_passages", repeated_passages),
     ("mix_sources", mix_sources),
     ("pack_sequences", pack_sequences),
 ]

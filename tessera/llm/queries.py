@@ -43,6 +43,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import repeats
+
+    return repeats.digest(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import mixing
 
@@ -61,6 +67,6 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_quality_rules, op4_pack, op6_mix, op8_simhash, op9_topk)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_quality_rules, op4_pack, op5_repeats, op6_mix, op8_simhash, op9_topk)}
 
 SQL: dict[str, str] = {}
