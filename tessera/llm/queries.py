@@ -75,7 +75,16 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_quality_rules, op4_pack, op5_repeats, op6_mix, op7_warc, op8_simhash, op9_topk)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import toxicity
+
+    docs, fold = _table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~fold)
+    return toxicity.score(docs, model).select(
+        "doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_quality_rules, op4_pack, op5_repeats, op6_mix, op7_warc, op8_simhash, op9_topk, op10_toxicity)}
 
 SQL: dict[str, str] = {
     "op7_warc": """
