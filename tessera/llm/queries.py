@@ -87,6 +87,66 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_quality_rules, op4_pack, op5_repeats, op6_mix, op7_warc, op8_simhash, op9_topk, op10_toxicity)}
 
 SQL: dict[str, str] = {
+    "op3_quality_rules": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+        ), w AS (
+            SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM d
+        ), windows AS (
+            SELECT r, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 2
+        ), twice AS (
+            SELECT r, i, count(*) OVER (PARTITION BY r, words[i:i + 2]) AS n FROM windows
+        ), covered AS (
+            SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY r
+        ), f AS (
+            SELECT d.doc_id, d.t, CAST(len(words) AS BIGINT) AS n_words,
+                   CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                   CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines
+            FROM d JOIN w USING (r) LEFT JOIN covered USING (r)
+        ), b AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines
+                    OR 2 * length(regexp_replace(t, '\PL', '', 'g')) < word_chars
+                    OR 2 * length(regexp_replace(t, '\P{Lu}', '', 'g')) > word_chars
+                    OR word_chars > 60 * n_words
+                    OR 10 * (1 + len(regexp_extract_all(t, '(?:\.\.\.|…)(?:\n|\z)'))) > 10 + 5 * n_lines) AS kept
+        FROM b""",
+    "op6_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS UBIGINT) % 256 AS salt
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size) AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+            FROM d GROUP BY source
+        ), o AS (
+            SELECT *, 2 * source_size / weight AS ratio, row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS k FROM s
+        ), l AS (  -- the level at which the first k - 1 sources are full and the others share the rest
+            SELECT a.k, a.ratio, (1.5 * (SELECT sum(source_size) FROM s) - coalesce(sum(2 * b.source_size) FILTER (b.k < a.k), 0))
+                   / sum(b.weight) FILTER (b.k >= a.k) AS level
+            FROM o a, o b GROUP BY a.k, a.ratio
+        ), level AS (
+            SELECT arg_min(level, k) AS level FROM l WHERE ratio > level
+        ), t AS (
+            SELECT source, CAST(source_size AS BIGINT) AS source_size,
+                   CASE WHEN ratio > level THEN weight * level ELSE CAST(2 * source_size AS DOUBLE) END AS target,
+                   CAST('0x' || substr(md5('mix/' || coalesce(source, chr(0))), 1, 8) AS UBIGINT) % 1048576 / 1048576 AS start
+            FROM o LEFT JOIN level ON true
+        ), p AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY floor(8 * (ln(size + 1) / ln(2))), salt, size, doc_id NULLS FIRST) AS place FROM d
+        ), e AS (
+            SELECT p.*, source_size, target, start, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each
+            FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+               CAST(size * least(2, floor(place * each + start) - floor((place - 1) * each + start)) AS BIGINT) AS taken
+        FROM e""",
     "op7_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html FROM pages
@@ -99,4 +159,15 @@ SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
         FROM r""",
+    "op9_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }

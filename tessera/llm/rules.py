@@ -78,7 +78,7 @@ def verdict_rules(text: str = "text") -> list[Rule]:
         Rule("few_letters", 2 * F.length(F.regexp_replace(t, r"\P{L}", "")) < chars),
         Rule("shouting", 2 * F.length(F.regexp_replace(t, r"\P{Lu}", "")) > chars),
         Rule("long_words", chars > 60 * n),
-        Rule("ellipsis_lines", 10 * F.size(F.split(t, r"(?:\.\.\.|…)(?:\n|$)")) > 10 + 5 * F.col("n_lines")),
+        Rule("ellipsis_lines", 10 * F.size(F.split(t, r"(?:\.\.\.|…)(?:\n|\z)")) > 10 + 5 * F.col("n_lines")),
     ]
 
 
