@@ -111,7 +111,7 @@ SQL: dict[str, str] = {
             SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT (base_failed OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines
+               NOT (base_failed OR 10 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines
                     OR 2 * length(regexp_replace(t, '\PL', '', 'g')) < word_chars
                     OR 2 * length(regexp_replace(t, '\P{Lu}', '', 'g')) > word_chars
                     OR word_chars > 60 * n_words

@@ -74,7 +74,7 @@ def verdict_rules(text: str = "text") -> list[Rule]:
     n, chars = F.col("n_words"), F.col("word_chars")
     return [
         Rule("symbols", 10 * F.col("n_symbols") > chars),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
         Rule("few_letters", 2 * F.length(F.regexp_replace(t, r"\P{L}", "")) < chars),
         Rule("shouting", 2 * F.length(F.regexp_replace(t, r"\P{Lu}", "")) > chars),
         Rule("long_words", chars > 60 * n),
