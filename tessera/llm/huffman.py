@@ -154,7 +154,9 @@ def _tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield close()
 
     n = partitions(docs)
-    return docs.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(
+    # the hash lets a range end between rows that share an id or have none
+    docs = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie")
+    return docs.select("id", "text").mapInArrow(
         run, f"part int, block int, start long, ids_of array<{kind}>, sizes array<int>, ids binary")
 
 

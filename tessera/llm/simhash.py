@@ -137,8 +137,8 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the smallest node
-    (as a signed number) of the node's component."""
+    """(node, root) for every node of ``edges`` (a, b) but the roots themselves:
+    root is the smallest node (as a signed number) of the node's component."""
     edges = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     while True:
@@ -183,7 +183,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """The rows of ``df``, one of each component: the smallest id (null last);
     among repeated rows with that id, one."""
-    rows = with_row_ids(df, "simhash-rows")
-    docs = materialize(fingerprints(rows.select("rid", F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text", shingle), "fingerprints")
+    rows = with_row_ids(df.select(F.struct(*[df[c] for c in df.columns]).alias("row")), "simhash-rows")
+    docs = rows.select("rid", F.col("row")[id_col].alias("doc_id"), F.col("row")[text_col].alias("_text"))
+    docs = materialize(fingerprints(docs, "_text", shingle), "fingerprints")
     best = with_components(docs, bits).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x"))
-    return rows.join(best.select(F.col("x.rid").alias("rid")), "rid", "left_semi").drop("rid")
+    return rows.join(best.select(F.col("x.rid").alias("rid")), "rid", "left_semi").select("row.*")

@@ -39,13 +39,13 @@ class Lists:
         self.sorted = np.take_along_axis(x, order, axis=0)
         self.rank = np.empty_like(order)  # 0: smallest
         np.put_along_axis(self.rank, order, np.arange(n)[:, None], axis=0)
-        self.top = np.abs(x).max(initial=0)
+        self.top = np.abs(x.astype(np.float64)).max(initial=0)
 
     def search(self, queries: np.ndarray, k: int, barred: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, rows, scores): a set that holds the k best rows of each query,
         all that tie with the k-th included; ``barred`` rows (a mask per query) are out."""
         n, d = self.x.shape
-        exact = float(self.top) * float(np.abs(queries).max(initial=0)) * max(d, 1) < 2.0**52
+        exact = float(self.top) * float(np.abs(queries.astype(np.float64)).max(initial=0)) * max(d, 1) < 2.0**52
         number = np.float64 if exact else object  # products of doubles are exact below 2^53
         up, down = np.maximum(queries, 0).T.astype(number), np.minimum(queries, 0).T.astype(number)
         floor = self.sorted[0].astype(number) @ up + self.sorted[-1].astype(number) @ down
@@ -66,12 +66,19 @@ class Lists:
                     kth = np.partition(least, len(least) - k)[len(least) - k] if exact else sorted(least)[len(least) - k]
                     inside = inside[upper[inside, c] >= kth]
                 if depth == n or len(inside) <= max(4 * k, n // 64):
-                    yield int(q), inside, self.x[inside] @ queries[q]
+                    yield int(q), inside, _scores(self.x[inside], queries[q], exact)
                 else:
                     still.append(q)
             open_, depth = np.array(still, np.int64), depth * 2
 
 
+def _scores(x: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products, held within 64 bits."""
+    if exact:
+        return x @ query
+    return np.clip(x.astype(object) @ query.astype(object), -(2**63 - 1), 2**63 - 1).astype(np.int64)
+
+
 def _packed(vectors: DataFrame, rows: int) -> DataFrame:
     """Vectors of equal length side by side: (size, ids, data)."""
 
@@ -109,7 +116,8 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     but those with its own id being candidates; ties go to the smaller id.
 
     ``is_query``: over ``vec_id``.  Vectors are compared with those of their own
-    length.  Repeated query rows are queries of their own; an empty table or no
+    length; components and scores beyond 64 bits stand at the largest such number.
+    Repeated query rows are queries of their own; an empty table or no
     query gives no rows; other columns aren't read."""
     vectors = quantised(pick(df, vec_id=id_col, embedding=vector_col).withColumn("vec_id", F.col("vec_id").cast("long")))
     shards = materialize(_packed(vectors, SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards")
