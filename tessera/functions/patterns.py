@@ -6,6 +6,8 @@ RE2 (DuckDB): no ``\\s`` / ``\\w`` (their members differ between the two
 engines), explicit code-point classes instead.
 """
 
+from html.entities import html5
+
 # Characters Python's str.isspace() accepts: ASCII controls \t..\r,
 # the file/group/record/unit separators \x1c-\x1f, NEL and Unicode Z*.
 WS_CLASS = r"[\t\n\x0b\x0c\r\x1c-\x1f\x{85}\p{Z}]"
@@ -24,25 +26,23 @@ TOKEN_PIECES = (
 )
 
 # Markup removed before entity decoding: comments, doctype, script and style
-# elements, and tags (quoted attributes bounded at 100 so one huge tag cannot
-# exhaust the regex engine's stack).
+# elements (to the end of the page if they aren't closed), tags with quoted
+# attributes, and tags whose quotes don't pair up.  The possessive quantifiers
+# keep a tag with thousands of attributes off the regex engine's stack.
 HTML_MARKUP = (
-    r"(?is)<!--.*?-->|<!doctype[^>]*>|<script\b[^>]*>.*?</script\s*>"
-    r"|<style\b[^>]*>.*?</style\s*>"
-    r"|</?[a-z][^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*){0,100}>"
+    r"(?is)<!--.*?(?:-->|\z)|<!doctype[^>]*+>|<script\b[^>]*+>.*?(?:</script\s*>|\z)"
+    r"|<style\b[^>]*+>.*?(?:</style\s*>|\z)"
+    r"|</?[a-z][^<>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^<>\"']*+)*+>|</?[a-z][^<>]*+>"
 )
+# The same for RE2, which has no possessive quantifiers and needs none.
+HTML_MARKUP_RE2 = HTML_MARKUP.replace("*+", "*")
 
-# HTML entities decoded, in application order (&amp; last).
-HTML_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&middot;", "·"),
-    ("&copy;", "©"),
-    ("&amp;", "&"),
-]
+# A character reference without its ``&``; group 1 is the name or number.
+HTML_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# Named references and their text: the HTML standard's set, from Python's own table.
+HTML_NAMES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+# Numbers 128 to 159 stand for the windows-1252 characters there.
+HTML_NUMBERS = {str(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
 
 # Sentence pieces for the rule-based splitter.
 SENTENCE = r"[^.!?]+[.!?]*"

@@ -4,6 +4,8 @@ most inside whole-stage codegen; the array forms use higher-order functions.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,17 +46,46 @@ def token_count(col) -> Column:
     return F.coalesce(F.regexp_count(_c(col), F.lit(P.TOKEN_PIECES)), F.lit(0)).cast("bigint")
 
 
+def _constant_map(entries: dict[str, str]) -> Column:
+    """A map literal (folded once by the optimizer)."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point; U+FFFD for what isn't one."""
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    raw = F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(F.lit(0xFFFD))), 8, "0"))
+    return F.decode(raw, "UTF-32")
+
+
+def decode_references(col) -> Column:
+    """HTML character references as characters, in one pass: the standard names
+    and decimal or hexadecimal numbers, closed by ``;``.  Others stay as written."""
+    pieces = F.split(_c(col), "&")
+    names, numbers = _constant_map(P.HTML_NAMES), _constant_map(P.HTML_NUMBERS)
+
+    def decoded(piece, ref):
+        number = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2)))
+        text = F.when(ref.startswith("#"), F.coalesce(F.try_element_at(numbers, F.ltrim(number, F.lit("0"))), _character(number.cast("long")))).otherwise(
+            F.try_element_at(names, ref))
+        return F.coalesce(F.concat(text, F.substr(piece, F.length(ref) + 2)), F.concat(F.lit("&"), piece))
+
+    def each(piece, i):
+        ref = F.regexp_extract(piece, P.HTML_REFERENCE, 1)
+        return F.when(i == 0, piece).otherwise(F.element_at(F.transform(F.array(ref), lambda r: decoded(piece, r)), 1))
+
+    return F.when(F.instr(_c(col), "&") > 0, F.array_join(F.transform(pieces, each), "")).otherwise(_c(col))
+
+
 def html_to_text(col) -> Column:
     """Visible text of an HTML page (B1).
 
     Markup, comments, scripts and styles are removed with one left-to-right
-    alternation (tags vanish without inserting a blank); entities are decoded
-    with ``&amp;`` last; each line is stripped, split on double blanks,
-    stripped again; empty pieces dropped; pieces joined with newlines.
+    alternation (tags vanish without inserting a blank); character references
+    are decoded once; each line is stripped, split on double blanks, stripped
+    again; empty pieces dropped; pieces joined with newlines.
     """
-    s = F.regexp_replace(_c(col), P.HTML_MARKUP, "")
-    for ent, ch in P.HTML_ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
+    s = decode_references(F.regexp_replace(_c(col), P.HTML_MARKUP, ""))
     pieces = F.flatten(F.transform(lines(s), lambda ln: F.split(py_strip(ln), "  ")))
     kept = F.filter(F.transform(pieces, py_strip), lambda p: p != "")
     return F.array_join(kept, "\n")
@@ -64,14 +95,14 @@ def canonical_url(col) -> Column:
     """URL without ``;params`` of the last segment, ``?query`` and ``#fragment`` (B2).
 
     Dot segments are resolved only when ``/.`` occurs, by a fold over the
-    path segments.
+    path segments.  A host with one square bracket but not the other gives null.
     """
     base = F.regexp_replace(F.regexp_replace(_c(col), r"[?#].*$", ""), r";[^/]*$", "")
     prefix = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
-    path = F.substring(base, F.length(prefix) + 1, F.lit(1 << 30))
+    path = F.substr(base, F.length(prefix) + 1)
     segs = F.split(path, "/")
     resolved = F.aggregate(
-        F.slice(segs, 2, F.lit(1 << 20)),
+        F.slice(segs, 2, F.size(segs)),
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == ".", acc)
         .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
@@ -80,7 +111,9 @@ def canonical_url(col) -> Column:
     last = F.element_at(segs, -1)
     tail = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
     dotted = F.concat(prefix, F.lit("/"), F.array_join(resolved, "/"), tail)
-    return F.when(F.instr(path, "/.") > 0, dotted).otherwise(base)
+    host = url_authority(col)
+    odd = (F.instr(host, "[") > 0) != (F.instr(host, "]") > 0)
+    return F.when(~odd, F.when(F.instr(path, "/.") > 0, dotted).otherwise(base))
 
 
 def url_authority(col) -> Column:

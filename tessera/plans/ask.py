@@ -18,20 +18,18 @@ from tessera.sources import derived
 from tessera.sources.tables import load
 
 HASH_DIMS = 256
-CHUNK_ID_STRIDE = 1_000_000
+CHUNK_KEY = ["source_id", "chunk_no"]
 FALLBACK_THRESHOLD = 0.2
 LINKS_PER_QUESTION = 3
 
 
 def ingest_documents(spark: SparkSession, sf_dir: str, namespace: str = "homework") -> DataFrame:
     """K1: documents -> word chunks -> hashed embeddings:
-    ``(namespace, id, source_id, chunk_no, context, embedding)``."""
+    ``(namespace, source_id, chunk_no, context, embedding)``."""
     docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    ch = chunking.chunk_words(docs, "doc_id", "text", out="context").withColumn(
-        "id", F.col("doc_id") * CHUNK_ID_STRIDE + F.col("chunk_no")
-    )
+    ch = chunking.chunk_words(docs, "doc_id", "text", out="context")
     return embed.with_hashed_vector(ch, "context", HASH_DIMS).select(
-        F.lit(namespace).alias("namespace"), "id", F.col("doc_id").alias("source_id"),
+        F.lit(namespace).alias("namespace"), F.col("doc_id").alias("source_id"),
         F.col("chunk_no").cast("bigint").alias("chunk_no"), "context", "embedding",
     )
 
@@ -43,7 +41,7 @@ def question_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answer(questions: DataFrame, store: DataFrame, namespace: str, model: str = "fast") -> DataFrame:
     qv = embed.hashed_dense(questions, "qid", "text", HASH_DIMS)
     # k rows per question: written once, read by the prompt and score branches.
-    hits = materialize(retrieve.namespace_topk(store, qv, namespace, payload="context"), "hits")
+    hits = materialize(retrieve.namespace_topk(store, qv, namespace, id_col=CHUNK_KEY, payload="context"), "hits")
     routed = route.route(questions, "qid", "text", HASH_DIMS)
     msgs = prompts.assemble_prompts(questions, hits, routed)
     per_q = msgs.groupBy("qid").agg(
@@ -101,9 +99,8 @@ def web_namespace(spark: SparkSession, sf_dir: str, questions: DataFrame, namesp
     used_pages = links.select(F.col("id").alias("page_id")).distinct()
     sl = chunking.chunk_fixed(text.join(used_pages, "page_id", "left_semi"), "page_id", "text")
     sl = sl.select("page_id", "slice_no", compact.compact(F.col("slice")).alias("context")).where(F.col("context") != "")
-    sl = sl.withColumn("id", F.col("page_id") * CHUNK_ID_STRIDE + F.col("slice_no"))
     return embed.with_hashed_vector(sl, "context", HASH_DIMS).select(
-        F.lit(namespace).alias("namespace"), "id", F.col("page_id").alias("source_id"),
+        F.lit(namespace).alias("namespace"), F.col("page_id").alias("source_id"),
         F.col("slice_no").cast("bigint").alias("chunk_no"), "context", "embedding",
     )
 

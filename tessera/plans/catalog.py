@@ -21,7 +21,6 @@ HASH_DIMS = 256
 TRIM_TOKENS = 200
 SPLIT_LIMIT = 4000
 FALLBACK_THRESHOLD = 0.3
-CHUNK_ID_STRIDE = ask_plan.CHUNK_ID_STRIDE
 
 
 def _docs(spark, d, *cols):
@@ -172,7 +171,7 @@ def q_route_questions(spark, d):
 def q_assemble_prompts(spark, d):
     qs = ask_plan.question_table(spark, d)
     qv = embed.hashed_dense(qs, "qid", "text", HASH_DIMS)
-    hits = retrieve.namespace_topk(ask_plan.ingest_documents(spark, d), qv, "homework", payload="context")
+    hits = retrieve.namespace_topk(ask_plan.ingest_documents(spark, d), qv, "homework", id_col=ask_plan.CHUNK_KEY, payload="context")
     return prompts.assemble_prompts(qs, hits, route.route(qs, "qid", "text", HASH_DIMS))
 
 
@@ -183,8 +182,8 @@ def q_router_prompts(spark, d):
 def q_judge_prompts(spark, d):
     qs = ask_plan.question_table(spark, d)
     qv = embed.hashed_dense(qs, "qid", "text", HASH_DIMS)
-    hits = retrieve.namespace_topk(ask_plan.ingest_documents(spark, d), qv, "homework", payload="context")
-    return prompts.judge_prompts(qs, hits, derived.first_answers(load(spark, d, "conversations")))
+    hits = retrieve.namespace_topk(ask_plan.ingest_documents(spark, d), qv, "homework", id_col=ask_plan.CHUNK_KEY, payload="context")
+    return prompts.judge_prompts(qs, hits, derived.answers(load(spark, d, "conversations")))
 
 
 def q_ask(spark, d):

