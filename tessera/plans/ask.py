@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
 from tessera.operators import chunking, compact, embed, lexical, prompts, retrieve, route, sections, store
-from tessera.session import materialize, spread
+from tessera.session import materialize, source_partitions
 from tessera.sources import derived
 from tessera.sources.tables import load
 
@@ -26,7 +26,7 @@ LINKS_PER_QUESTION = 3
 def ingest_documents(spark: SparkSession, sf_dir: str, namespace: str = "homework") -> DataFrame:
     """K1: documents -> word chunks -> hashed embeddings:
     ``(namespace, source_id, chunk_no, context, embedding)``."""
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", partitions=source_partitions(spark))
     ch = chunking.chunk_words(docs, "doc_id", "text", out="context")
     return embed.with_hashed_vector(ch, "context", HASH_DIMS).select(
         F.lit(namespace).alias("namespace"), F.col("doc_id").alias("source_id"),
@@ -83,7 +83,7 @@ def web_namespace(spark: SparkSession, sf_dir: str, questions: DataFrame, namesp
     question), canonical URL, visible text (wiki pages by section), 4,000
     character slices, compaction, embedding.  Each page is processed once
     however many questions link to it."""
-    pages = spread(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = load(spark, sf_dir, "pages", "page_id", "url", "html", partitions=source_partitions(spark))
     parsed = pages.select("page_id", TX.canonical_url("url").alias("url"), TX.html_to_text("html").alias("text"))
     # Encyclopedia pages keep their surviving sections (C5-C9); others the visible text (B1)
     wiki = TX.is_wikipedia(F.col("url"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as TX
 from tessera.operators import chunking, compact, dialog, embed, lexical, prompts, retrieve, route, sections, store
 from tessera.plans import ask as ask_plan
-from tessera.session import materialize, spread
+from tessera.session import materialize, source_partitions
 from tessera.sources import derived
 from tessera.sources.tables import load
 
@@ -24,7 +24,7 @@ FALLBACK_THRESHOLD = 0.3
 
 
 def _docs(spark, d, *cols):
-    return spread(load(spark, d, "documents").select("doc_id", *cols))
+    return load(spark, d, "documents", "doc_id", *cols, partitions=source_partitions(spark))
 
 
 def q_chunk_words(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ def q_token_count(spark, d):
 
 
 def q_html_to_text(spark, d):
-    pages = spread(load(spark, d, "pages").select("page_id", "html"))
+    pages = load(spark, d, "pages", "page_id", "html", partitions=source_partitions(spark))
     return pages.select("page_id", TX.html_to_text("html").alias("text"))
 
 
@@ -90,7 +90,7 @@ def q_sentence_trim(spark, d):
 
 
 def _wiki(spark, d):
-    return spread(derived.wikitext(load(spark, d, "documents")))
+    return derived.wikitext(load(spark, d, "documents", "doc_id", "text", partitions=source_partitions(spark)))
 
 
 def q_section_split(spark, d):
@@ -226,24 +226,23 @@ def _doc_chunks(spark, d, src: DataFrame) -> DataFrame:
 
 
 def q_upsert_batches(spark, d):
-    ch = _doc_chunks(spark, d, _docs(spark, d, "text"))
-    return store.upsert_batches(ch).select("source_id", "chunk_no", "batch_no", "n_batches")
-
-
-def _upsert_log_chunks(spark, d):
-    log = derived.upsert_log(load(spark, d, "documents"), load(spark, d, "labels"))
-    return _doc_chunks(spark, d, spread(log))
+    ch = _doc_chunks(spark, d, _docs(spark, d, "text")).drop("context")
+    return store.upsert_batches(materialize(ch, "chunk-keys")).select("source_id", "chunk_no", "batch_no", "n_batches")
 
 
 def q_upsert_latest(spark, d):
+    """by_source: the newest version of each document is found on keys, and only
+    that version is chunked."""
     log = derived.upsert_log(load(spark, d, "documents"), load(spark, d, "labels"))
-    versions = log.select(F.lit("homework").alias("namespace"), F.col("doc_id").alias("source_id"), "batch_id")
-    merged = store.merge(None, _upsert_log_chunks(spark, d), "by_source", versions)
+    last = store.newest(log.select("doc_id", "batch_id"), ["doc_id"], "batch_id")
+    merged = _doc_chunks(spark, d, log.join(last, ["doc_id", "batch_id"], "left_semi"))
     return merged.select("namespace", "source_id", "chunk_no", F.col("batch_id").cast("bigint").alias("batch_id"), "context")
 
 
 def q_upsert_by_id(spark, d):
-    merged = store.merge(None, _upsert_log_chunks(spark, d), "by_id")
+    log = derived.upsert_log(load(spark, d, "documents"), load(spark, d, "labels"))
+    chunks = materialize(_doc_chunks(spark, d, log), "log-chunks")
+    merged = store.merge(None, chunks, "by_id")
     return merged.select("namespace", "source_id", "chunk_no", F.col("batch_id").cast("bigint").alias("batch_id"), "context")
 
 
@@ -297,19 +296,36 @@ def q_stream_mode(spark, d):
     lo, hi = utter.agg(F.min(micros), F.max(micros)).first()
     cut = (lo + hi) // 2
     src, ck, out = work_dir(spark, "utter"), work_dir(spark, "mode-ck"), work_dir(spark, "mode-out")
-    # state partitions are fixed when the query first starts: one per core
-    prev = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    try:
-        for part in (micros < cut, micros >= cut):
-            utter.where(part).write.mode("append").parquet(src)
-            stream = spark.readStream.schema(utter.schema).parquet(src)
-            q = (SS.session_modes(stream).writeStream.format("parquet").option("path", out)
-                 .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
-            q.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prev)
-    return spark.read.parquet(out)
+    # state partitions are fixed when the query first starts: one per core, in a session of the stream's own
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    for part in (micros < cut, micros >= cut):
+        utter.where(part).write.mode("append").parquet(src)
+        stream = own.readStream.schema(utter.schema).parquet(src)
+        q = (SS.session_modes(stream).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(out).where("not late").drop("late")
+
+
+def q_stream_two_feeds(spark, d):
+    """R1 + R3: documents and page texts feed one store, each with a checkpoint
+    of its own, in turns; the final version of both namespaces."""
+    from tessera.session import work_dir
+    from tessera.streaming import ingest as SI
+
+    log = derived.upsert_log(load(spark, d, "documents"), load(spark, d, "labels"))
+    pages = load(spark, d, "pages").select(F.col("page_id").alias("source_id"), TX.html_to_text("html").alias("text"))
+    root = work_dir(spark, "two-feeds")
+    src, web = work_dir(spark, "drops"), work_dir(spark, "web-drops")
+    checkpoints = work_dir(spark, "homework-ck"), work_dir(spark, "web-ck")
+    schema = "source_id long, text string"
+    pages.write.parquet(web)
+    for b in (1, 2):
+        log.where(F.col("batch_id") == b).select(F.col("doc_id").alias("source_id"), "text").write.mode("append").parquet(src)
+        SI.run_ingest_stream(spark.readStream.schema(schema).parquet(src), root, checkpoints[0], with_vectors=False)
+        SI.run_ingest_stream(spark.readStream.schema(schema).parquet(web), root, checkpoints[1], "googlestuff", with_vectors=False)
+    return SI.latest_version(spark, root).select("namespace", "source_id", "chunk_no", "context")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -352,4 +368,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "folder_ingest": q_folder_ingest,
     "stream_ingest": q_stream_ingest,
     "stream_mode": q_stream_mode,
+    "stream_two_feeds": q_stream_two_feeds,
 }

@@ -429,9 +429,9 @@ SQL: dict[str, str] = {
     ),
     "embed_hash": f"WITH {hashed_cte('documents', 'doc_id', 'text', '_h')} SELECT id AS doc_id, bucket::BIGINT AS bucket, round(weight, 6) AS weight FROM _h",
     "upsert_batches": (
-        f"WITH {chunk_cte()}, _n AS (SELECT doc_id, count(*) AS n FROM _chunks GROUP BY doc_id) "
-        "SELECT c.doc_id AS source_id, c.chunk_no::BIGINT AS chunk_no, (c.chunk_no // 80)::BIGINT AS batch_no, "
-        "ceil(n / 80)::BIGINT AS n_batches FROM _chunks c JOIN _n USING (doc_id)"
+        f"WITH {chunk_cte()} SELECT doc_id AS source_id, chunk_no::BIGINT AS chunk_no, "
+        "((row_number() OVER (ORDER BY doc_id, chunk_no) - 1) // 80)::BIGINT AS batch_no, "
+        "ceil(count(*) OVER () / 80)::BIGINT AS n_batches FROM _chunks"
     ),
     "upsert_latest": (
         f"WITH {upsert_log_cte()}, {chunk_cte('_log', ', batch_id')}, "
@@ -501,4 +501,9 @@ _x AS (SELECT file, (generate_subscripts(cs, 1) - 1)::BIGINT AS chunk_no, unnest
 SELECT file, chunk_no, 'supplier_' || file::VARCHAR || '.csv' || {NL} || {NL} || body AS chunk FROM _x""",
 }
 SQL["stream_ingest"] = SQL["upsert_latest"]
+SQL["stream_two_feeds"] = (
+    f"WITH _pt AS (SELECT page_id AS doc_id, {html_text('html')} AS text FROM pages), {chunk_cte('_pt')} "
+    f"SELECT namespace, source_id, chunk_no, context FROM ({SQL['upsert_latest']}) "
+    "UNION ALL SELECT 'googlestuff', doc_id, chunk_no::BIGINT, chunk FROM _chunks"
+)
 SQL["stream_mode"] = SQL["mode_in_effect"]

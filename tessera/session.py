@@ -9,9 +9,11 @@ registered as the checkpoint directory.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,16 +74,44 @@ def _checkpoint_base(spark: SparkSession) -> str:
         return base
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        # Unset only in local runs and tests: register a private folder.
+        if not re.match(r"local($|\[)", sc.master):
+            # a folder of one machine would hold only that machine's part of a table
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # local runs and tests: a private folder, registered
         base = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path``, and ``path`` as it wants it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+_scratch: list[list[str]] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the session's checkpoint directory."""
     base = _checkpoint_base(spark)
-    return os.path.join(base, "tessera", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(base, "tessera", f"{name}-{uuid.uuid4().hex[:12]}")
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Scratch folders made inside are deleted at the end: use up a query's
+    result (write or collect it) within the block."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            fs, p = file_system(spark, path)
+            fs.delete(p, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -95,14 +125,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster when its scan yields too few tasks.
-
-    Fixture files hold one row group, so a scan is one task; heavy per-row
-    work (chunking, HTML stripping, hashing) then runs serially.  At scale the
-    scan already has many splits and this is a no-op.
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
+def source_partitions(spark: SparkSession) -> int:
+    """``tessera.source.partitions``: tasks that a source's rows are dealt to
+    before heavy row-local work; 0 (the default) keeps the scan's own splits."""
+    return int(spark.conf.get("tessera.source.partitions", "0"))

@@ -2,11 +2,12 @@
 Streaming.
 
 Each micro-batch of new documents (a parquet drop, or files from a
-``binaryFile`` stream) is chunked, embedded and merged into the store in
-``foreachBatch``.  The store version written by epoch ``e`` is ``v=e+1`` and
-is computed from ``v=e`` only, so a replayed epoch rewrites the same version
-with the same content: replays are idempotent.  Checkpoint and store live in
-the shared scratch folder.
+``binaryFile`` stream) is reduced to one version per source, chunked, embedded
+and merged into the store in ``foreachBatch``; only the store's buckets that hold
+a source of the batch are read and written.  The version's manifest records the
+stream and its epoch, so a replayed epoch changes nothing, several streams can
+feed one store, and a new checkpoint on an old store goes on from its newest
+version.
 """
 
 from __future__ import annotations
@@ -18,49 +19,35 @@ from tessera.operators import chunking, embed, store
 from tessera.operators.embed import DEFAULT_DIMS
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-
-
-def chunk_batch(batch: DataFrame, batch_id: int, namespace: str, dims: int, with_vectors: bool) -> DataFrame:
+def chunk_batch(batch: DataFrame, namespace: str, dims: int, with_vectors: bool) -> DataFrame:
     """Documents ``(source_id, text)`` of one micro-batch to store rows."""
     c = chunking.word_chunks(batch, "text", keep=["source_id"], out="context").select(
-        F.lit(namespace).alias("namespace"), "source_id", F.col("chunk_no").cast("bigint").alias("chunk_no"),
-        "context", F.lit(batch_id).cast("bigint").alias("batch_id"),
-    )
-    if with_vectors:
-        c = embed.with_hashed_vector(c, "context", dims)
-    return c
+        F.lit(namespace).alias("namespace"), "source_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "context")
+    return embed.with_hashed_vector(c, "context", dims) if with_vectors else c
 
 
 def make_batch_writer(store_root: str, namespace: str = "homework", mode: str = "by_source",
-                      dims: int = DEFAULT_DIMS, with_vectors: bool = True):
+                      dims: int = DEFAULT_DIMS, with_vectors: bool = True, stream: str = "", order: str | None = None):
+    """``stream`` names the feed in the manifest; ``order``: the column that tells
+    which of several versions of a source in one batch is the newest."""
+
     def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = f"{store_root}/v={epoch_id}"
-        current = spark.read.parquet(prev) if epoch_id > 0 and _complete(spark, prev) else None
-        new = chunk_batch(batch, epoch_id + 1, namespace, dims, with_vectors)
-        versions = batch.select(F.lit(namespace).alias("namespace"), "source_id",
-                                F.lit(epoch_id + 1).cast("bigint").alias("batch_id"))
-        merged = store.merge(current, new, mode, versions)
-        merged.write.mode("overwrite").partitionBy("namespace").parquet(f"{store_root}/v={epoch_id + 1}")
+        docs = store.newest_documents(batch, ["source_id"], order)
+        sources = batch.select(F.lit(namespace).alias("namespace"), "source_id")
+        store.upsert(batch.sparkSession, store_root, chunk_batch(docs, namespace, dims, with_vectors), mode, sources,
+                     f"{namespace}/{stream}", epoch_id)
 
     return write
 
 
 def run_ingest_stream(docs_stream: DataFrame, store_root: str, checkpoint: str, namespace: str = "homework",
-                      mode: str = "by_source", with_vectors: bool = True) -> None:
+                      mode: str = "by_source", with_vectors: bool = True, order: str | None = None) -> None:
     """Process everything available now (``trigger(availableNow=True)``) and
-    return when done; call again after new drops arrive."""
+    return when done; call again after new drops arrive.  The checkpoint is the
+    feed's name: epochs count within it."""
     q = (
-        docs_stream.writeStream.foreachBatch(make_batch_writer(store_root, namespace, mode, with_vectors=with_vectors))
+        docs_stream.writeStream.foreachBatch(
+            make_batch_writer(store_root, namespace, mode, with_vectors=with_vectors, stream=checkpoint, order=order))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

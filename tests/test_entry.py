@@ -45,3 +45,25 @@ def test_the_rest_works_without_the_training_data_operators(entry_mod, monkeypat
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert set(entry_mod.queries()) == set(QUERIES) and set(entry_mod.oracle_sql()) == set(SQL)
+
+
+def test_scratch_is_deleted_and_needs_a_shared_folder(spark, monkeypatch):
+    from tessera import session
+
+    with session.scratch(spark):
+        df = session.materialize(spark.range(3), "gone")
+        path = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session._checkpoint_base(Session())

@@ -1,3 +1,4 @@
+from tessera.operators import store
 from tessera.streaming import ingest as SI
 
 
@@ -12,11 +13,46 @@ def test_batch_writer_replay_is_idempotent(spark, tmp_path):
     b1 = spark.createDataFrame([(1, "new")], "source_id long, text string")
     write(b0, 0)
     write(b1, 1)
-    first = _rows(spark.read.parquet(f"{root}/v=2"))
+    first = _rows(SI.latest_version(spark, root))
     write(b1, 1)  # the epoch is replayed after a failure
-    assert _rows(spark.read.parquet(f"{root}/v=2")) == first
+    assert store.versions(spark, root) == [1, 2] and _rows(SI.latest_version(spark, root)) == first
     assert first == [(1, 0, 2, "new"), (2, 0, 1, "alpha beta")]
-    assert _rows(SI.latest_version(spark, root)) == first
+
+
+def test_two_feeds_and_a_new_checkpoint_share_a_store(spark, tmp_path):
+    root = str(tmp_path / "store")
+    doc = lambda *rows: spark.createDataFrame(rows, "source_id long, text string")
+    SI.make_batch_writer(root, with_vectors=False, stream="a")(doc((1, "home")), 0)
+    SI.make_batch_writer(root, "googlestuff", with_vectors=False, stream="b")(doc((1, "web")), 0)
+    SI.make_batch_writer(root, with_vectors=False, stream="c")(doc((2, "later")), 0)  # a new checkpoint, epoch 0 again
+    got = sorted((r["namespace"], r["source_id"], r["context"]) for r in SI.latest_version(spark, root).collect())
+    assert got == [("googlestuff", 1, "web"), ("homework", 1, "home"), ("homework", 2, "later")]
+
+
+def test_two_versions_in_one_batch_are_not_mixed(spark, tmp_path):
+    root = str(tmp_path / "store")
+    long = " ".join(["old"] * 600)
+    batch = spark.createDataFrame([(1, long, 1), (1, "new", 2)], "source_id long, text string, at int")
+    SI.make_batch_writer(root, with_vectors=False, order="at")(batch, 0)
+    assert [r[1:] for r in _rows(SI.latest_version(spark, root))] == [(0, 1, "new")]
+
+
+def test_late_rows_are_flagged_and_change_nothing(spark, tmp_path):
+    import datetime as dt
+
+    from tessera.streaming import session_state as SS
+
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "event_id long, session_id long, ts timestamp, text string"
+    row = lambda i, s, text: (i, 1, t0 + dt.timedelta(seconds=s), text)
+    src, ck, out = str(tmp_path / "src"), str(tmp_path / "ck"), str(tmp_path / "out")
+    for part in ([row(5, 5, "first")], [row(0, 0, "smart tutor"), row(1, 1, "old question"), row(6, 6, "second")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(src)
+        SS.session_modes(spark.readStream.schema(schema).parquet(src)).writeStream.format("parquet").option("path", out) \
+            .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=repr)
+    assert got == sorted([(1, 1, "first", "fast", False), (1, 2, "second", "fast", False), (1, None, "smart tutor", None, True),
+                          (1, None, "old question", None, True)], key=repr)
 
 
 def test_session_state_stream_equals_batch(spark, tmp_path):
