@@ -113,108 +113,18 @@ def even_split(df: DataFrame, id_col: str, size_col: str, limit: int) -> DataFra
     )
 
 
-# Files with more rows than this are packed by the distributed path below
-# instead of one task per file.
-MAX_FILE_ROWS_ONE_TASK = 200_000
-_END = 1 << 62
-
-
-def _pack_small(tok: DataFrame, limit: int) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct("_ord", "row", "n")))
-    g = tok.groupBy("file").agg(rows.alias("_rows"))
-    st = g.select(
-        "file",
-        F.transform("_rows", lambda r: r["row"]).alias("_texts"),
-        _starts_by_fold(F.transform("_rows", lambda r: r["n"].cast("bigint")), limit, False, True).alias("_st"),
-    )
-    bodies = F.filter(_pieces(F.col("_texts"), F.col("_st"), "\n"), lambda c: c != "")
-    return st.select("file", F.posexplode(bodies).alias("chunk_no", "body"))
-
-
-def _pack_large(tok: DataFrame, limit: int) -> DataFrame:
-    """Exact greedy packing of large files without a per-file task.
-
-    1. prefix token sums per file (keyed running sum);
-    2. ``next(i)`` -- first row ``j > i`` whose inclusive sum from ``i``
-       reaches ``limit`` -- as an as-of search: queries ``P[i] - n[i] + limit``
-       merged with the prefix sums, nearest data row found by a reverse
-       keyed forward-fill;
-    3. chunk starts = rows reachable from row 0 through ``next``, by pointer
-       doubling (``log2(chunks)`` rounds of key joins, each materialised);
-    4. rows get their chunk by a forward fill of starts; one chunk's rows
-       (fewer than ``limit`` tokens) are gathered per group.
-    """
-    from tessera.operators.scan import keyed_running
-    from tessera.session import materialize
-
-    # 0-based positions and prefix token sums in one keyed scan
-    pos = keyed_running(tok, "file", [F.col("_ord")], [("_c", "count", None), ("P", "sum", "n")])
-    pre = materialize(pos.select("file", (F.col("_c") - 1).alias("row_no"), "row", "n", "P"), "pack-rows")
-    tok = pre.select("file", "row_no", "row", "n")
-    data = pre.select("file", F.col("P").alias("v"), F.lit(1).alias("kind"), "row_no", F.col("row_no").alias("jr"))
-    qry = pre.select(
-        "file", (F.col("P") - F.col("n") + F.lit(limit)).alias("v"), F.lit(0).alias("kind"), "row_no",
-        F.lit(None).cast("bigint").alias("jr"),
-    )
-    found = keyed_running(
-        data.unionByName(qry), "file", [F.col("v").desc(), F.col("kind").desc(), F.col("row_no").desc()],
-        [("j", "last", "jr")],
-    ).where(F.col("kind") == 0)
-    jump = materialize(
-        found.select("file", F.col("row_no").alias("r"),
-                     F.greatest(F.col("row_no") + 1, F.coalesce(F.col("j"), F.lit(_END))).alias("p")),
-        "pack-next",
-    )
-    reach = materialize(tok.where(F.col("row_no") == 0).select("file", F.col("row_no").alias("s")), "pack-reach")
-    while True:
-        step = reach.join(jump, (reach["file"] == jump["file"]) & (reach["s"] == jump["r"])).select(
-            reach["file"], jump["p"].alias("s")
-        )
-        step = step.join(pre.select("file", F.col("row_no").alias("s")), ["file", "s"], "left_semi")
-        step = materialize(step, "pack-step")
-        if step.isEmpty():
-            break
-        reach = materialize(reach.unionByName(step), "pack-reach")
-        j2 = jump.alias("a").join(
-            jump.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.p") == F.col("b.r")), "left"
-        ).select(F.col("a.file").alias("file"), F.col("a.r").alias("r"),
-                 F.coalesce(F.col("b.p"), F.lit(_END)).alias("p"))
-        jump = materialize(j2, "pack-next")
-    flagged = tok.join(reach.withColumn("_st", F.lit(1)), (tok["file"] == reach["file"]) & (tok["row_no"] == reach["s"]),
-                       "left").select(tok["*"], F.coalesce(F.col("_st"), F.lit(0)).alias("_st"))
-    numbered = keyed_running(flagged, "file", [F.col("row_no")], [("_cn", "sum", "_st")])
-    return numbered.groupBy("file", "_cn").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]), "\n").alias("body")
-    ).select("file", (F.col("_cn") - 1).cast("int").alias("chunk_no"), "body")
-
-
-def pack_table_rows(rows: DataFrame, name_of, limit: int = TABLE_CHUNK_TOKENS,
-                    max_rows_one_task: int = MAX_FILE_ROWS_ONE_TASK, order: str = "row_no") -> DataFrame:
+def pack_table_rows(rows: DataFrame, name_of, limit: int = TABLE_CHUNK_TOKENS, order: str = "row_no",
+                    partitions: int | None = None) -> DataFrame:
     """``rows(file, <order>, row)`` to ``(file, chunk_no, chunk)``; each
-    chunk is ``name + "\\n\\n" + rows``.
+    chunk is ``name + "\\n\\n" + rows`` and has at least one row.
 
     ``order`` names a sortable column (a number or a struct of the order
     columns) that puts the header first and is unique within a file.
-    ``name_of(file_col) -> Column`` gives the file name.  Files up to
-    ``max_rows_one_task`` rows are packed by one array fold each; the few
-    larger files (at most total/threshold of them) take the distributed
-    path; the driver only learns whether there are any.
+    ``name_of(file_col) -> Column`` gives the file name.  One way for files of
+    all sizes (:mod:`tessera.operators.row_packing`).
     """
     from tessera.functions.text import token_count
+    from tessera.operators.row_packing import pack
 
-    from tessera.session import materialize
-
-    tok = rows.select("file", F.col(order).alias("_ord"), "row", token_count(F.col("row")).alias("n"))
-    big = tok.groupBy("file").count().where(F.col("count") > max_rows_one_task).select("file")
-    if big.isEmpty():
-        packed = _pack_small(tok, limit)
-    else:
-        # the large-file list is a table (never collected): anti/semi joins
-        big = materialize(big, "pack-big")
-        small = _pack_small(tok.join(big, "file", "left_anti"), limit)
-        large = _pack_large(tok.join(big, "file", "left_semi"), limit)
-        packed = small.unionByName(large)
-    return packed.select(
-        "file", F.col("chunk_no").cast("bigint").alias("chunk_no"),
-        F.concat(name_of(F.col("file")), F.lit("\n\n"), F.col("body")).alias("chunk"),
-    )
+    tok = rows.select("file", F.col(order).alias("ord"), "row", token_count(F.col("row")).alias("n"))
+    return pack(tok, limit, partitions).select("file", "chunk_no", F.concat(name_of(F.col("file")), F.lit("\n\n"), F.col("body")).alias("chunk"))

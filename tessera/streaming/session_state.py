@@ -58,7 +58,8 @@ def _step(key, pdfs: Iterator[pd.DataFrame], state):
             out.append((key[0], seq, text, model, False))
     if last is not None:
         state.update((model, exited, seq, *last))
-    yield pd.DataFrame(out, columns=_OUT).astype({"seq": "Int64"})
+    if out:
+        yield pd.DataFrame(out, columns=_OUT).astype({"seq": "Int64"})
 
 
 def session_modes(utterances: DataFrame) -> DataFrame:

@@ -97,22 +97,25 @@ def _rows_df(spark, files):
     return spark.createDataFrame(data, "file long, row_no long, row string")
 
 
-def test_row_packing_small_and_large_paths_agree(spark):
+@pytest.mark.parametrize("partitions", [1, 3, 40, 200])
+def test_row_packing_equals_python_however_files_are_split(spark, partitions):
     from tessera.functions.text import token_count
 
     rnd = random.Random(3)
     files = {f: ["h,e,a,d"] + [",".join(str(rnd.randint(0, 10 ** rnd.randint(1, 30))) for _ in range(rnd.randint(1, 30)))
                                for _ in range(rnd.randint(1, 300))] for f in range(6)}
     files[99] = ["x " * 1200, "a", "b"]  # first row over the limit
+    files[100] = ["", "x " * 1200, "x"]  # a row without tokens is a row
+    files[101] = [""]
+    files[102] = ["x " * 999, "", "y", "z " * 1000, "", "x " * 3000, "x " * 3000]
+    files[103] = ["w " * rnd.randint(0, 400) for _ in range(400)]
     df = _rows_df(spark, files)
     name = lambda c: F.concat(F.lit("f"), c.cast("string"))
-    small = chunking.pack_table_rows(df, name, max_rows_one_task=10 ** 9)
-    large = chunking.pack_table_rows(df, name, max_rows_one_task=0)
-    a = sorted((r["file"], r["chunk_no"], r["chunk"]) for r in small.collect())
-    b = sorted((r["file"], r["chunk_no"], r["chunk"]) for r in large.collect())
-    assert a == b
+    got = {}
+    for r in chunking.pack_table_rows(df, name, partitions=partitions).collect():
+        got.setdefault(r["file"], {})[r["chunk_no"]] = r["chunk"]
     toks = {(r["file"], r["row_no"]): r["n"] for r in df.select("file", "row_no", token_count("row").alias("n")).collect()}
     for f, rows in files.items():
         exp = [f"f{f}\n\n" + body for body in py_rows([(r, toks[(f, i)]) for i, r in enumerate(rows)])]
-        got = [c for (ff, _, c) in a if ff == f]
-        assert got == exp
+        assert got[f] == dict(enumerate(exp)), f
+    assert chunking.pack_table_rows(df.limit(0), name).collect() == []
