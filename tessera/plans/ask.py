@@ -111,12 +111,18 @@ def web_assist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answer(qs, write_store(web_namespace(spark, sf_dir, qs)), "googlestuff")
 
 
-def ask_with_fallback(spark: SparkSession, sf_dir: str, threshold: float = FALLBACK_THRESHOLD) -> DataFrame:
-    """K4: questions whose best document context scores below ``threshold``
-    are answered again from the web namespace; ``tier`` 1 or 2."""
+def ask_with_fallback(spark: SparkSession, sf_dir: str, threshold: float = FALLBACK_THRESHOLD,
+                      verdicts: DataFrame | None = None) -> DataFrame:
+    """K4: questions that the documents don't satisfy are answered again from the
+    web namespace; ``tier`` 1 or 2.  Satisfied: the best context scores at least
+    ``threshold``, or, where ``verdicts(qid, verdict)`` of a judge (B7) are given,
+    the verdict is true."""
     qs = question_table(spark, sf_dir)
-    first = _answer(qs, write_store(ingest_documents(spark, sf_dir)), "homework")
-    ok = first.where(F.col("best_score") >= threshold)
-    rest = qs.join(ok.select("qid"), "qid", "left_anti")
+    first = materialize(_answer(qs, write_store(ingest_documents(spark, sf_dir)), "homework"), "first-answers")
+    if verdicts is None:
+        ok = first.where(F.col("best_score") >= threshold)
+    else:
+        ok = first.join(verdicts.where("verdict"), "qid", "left_semi")
+    rest = materialize(qs.join(ok.select("qid"), "qid", "left_anti"), "refused")
     second = _answer(rest, write_store(web_namespace(spark, sf_dir, rest)), "googlestuff")
     return ok.withColumn("tier", F.lit(1).cast("bigint")).unionByName(second.withColumn("tier", F.lit(2).cast("bigint")))

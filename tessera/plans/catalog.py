@@ -1,6 +1,6 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per
-operator of the inventory.  Every query reads the given tables (or tables
-Spark derives from them) in full.
+operator of the inventory.  Every query reads all rows of its tables (or of
+tables that Spark derives from them) and the whole of the columns it uses.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as TX
 from tessera.operators import chunking, compact, dialog, embed, lexical, prompts, retrieve, route, sections, store
 from tessera.plans import ask as ask_plan
+from tessera.plans import hook_queries
 from tessera.session import materialize, source_partitions
 from tessera.sources import derived
 from tessera.sources.tables import load
@@ -198,6 +199,13 @@ def q_ask_with_fallback(spark, d):
     return ask_plan.ask_with_fallback(spark, d)
 
 
+def q_ask_with_verdict(spark, d):
+    """K4 by verdict: the judge's replies are the given answers with their suffix."""
+    replies = derived.replies(load(spark, d, "conversations"))
+    verdicts = replies.select(F.concat_ws(":", "conv_id", (F.col("turn") - 1).cast("string")).alias("qid"), TX.verdict("text").alias("verdict"))
+    return ask_plan.ask_with_fallback(spark, d, verdicts=verdicts)
+
+
 def q_prompt_budget(spark, d):
     conv = load(spark, d, "conversations")
     used = prompts.prompt_tokens(conv, "conv_id", "text")
@@ -255,16 +263,38 @@ def q_chunk_table_rows(spark, d):
     return chunking.pack_table_rows(rows, supplier_file_name, order="ord")
 
 
+def utf8(content: bytes) -> str:
+    """Stands in for a codec: the fixture's files of every kind hold UTF-8 text."""
+    return content.decode("utf-8")
+
+
+FOLDER_DECODERS = dict.fromkeys(("pdf", "docx", "doc", "xlsx", "png"), utf8)
+
+
+def _document_folder(spark, d):
+    from tessera.plans import ingest
+
+    return ingest.write_documents_as_files(derived.file_names(load(spark, d, "documents"), "text"))
+
+
 def q_folder_ingest(spark, d):
     """A1-A6 + K1: the documents laid out as a folder of files named by the
-    file-name derivation, then scanned, dispatched, decoded and chunked."""
+    file-name derivation, then scanned, dispatched, decoded, chunked, embedded
+    and stored; the store's rows."""
+    from tessera.plans import ingest
+    from tessera.session import work_dir
+
+    root = work_dir(spark, "folder-store")
+    ingest.ingest_folder(spark, _document_folder(spark, d), root, decoders=FOLDER_DECODERS, recursive=True)
+    rows = store.read_store(spark, root)
+    return rows.select(F.col("source_id").alias("name"), "kind", "chunk_no", F.col("context").alias("chunk"))
+
+
+def q_folder_rejects(spark, d):
+    """The files of the folder that no decoder takes."""
     from tessera.plans import ingest
 
-    docs = load(spark, d, "documents")
-    named = docs.join(derived.file_names(docs), "doc_id").select("f", "text")
-    folder = ingest.write_documents_as_files(named)
-    chunks, _rejects = ingest.folder_chunks(spark, folder, recursive=True)
-    return chunks
+    return ingest.folder_chunks(spark, _document_folder(spark, d), FOLDER_DECODERS, recursive=True)[1]
 
 
 def q_stream_ingest(spark, d):
@@ -365,8 +395,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ask": q_ask,
     "web_assist": q_web_assist,
     "ask_with_fallback": q_ask_with_fallback,
+    "ask_with_verdict": q_ask_with_verdict,
     "folder_ingest": q_folder_ingest,
+    "folder_rejects": q_folder_rejects,
     "stream_ingest": q_stream_ingest,
     "stream_mode": q_stream_mode,
     "stream_two_feeds": q_stream_two_feeds,
+    **hook_queries.QUERIES,
 }

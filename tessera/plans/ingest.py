@@ -1,5 +1,6 @@
-"""K1 from a folder: scan, dispatch, decode, chunk (text by words, CSV by
-rows), union the branches (S1).  Undecodable files form the rejects table.
+"""K1 from a folder: scan, dispatch, decode, chunk (text by words, tables by
+rows), union the branches (S1), embed and store.  Undecodable files form the
+rejects table.
 """
 
 from __future__ import annotations
@@ -9,12 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking
+from tessera.operators import chunking, embed, store
 from tessera.session import work_dir
 from tessera.sources import files as FS
 
-OUT_COLS = ["name", "kind", "chunk_no", "chunk"]
-
 
 def folder_chunks(spark: SparkSession, path: str, decoders: dict[str, Callable[[bytes], str]] | None = None,
                   recursive: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -24,33 +23,36 @@ def folder_chunks(spark: SparkSession, path: str, decoders: dict[str, Callable[[
 
 
 def chunk_files(scanned: DataFrame, decoders: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    text = FS.decode_utf8(scanned.where(F.col("kind") == "text"))
-    csv = scanned.where(F.col("ext") == "csv")
-    other = scanned.where((F.col("kind") != "text") & (F.col("ext") != "csv"))
-    decoded = FS.decode_with(other, decoders or {})
-
-    def words(df):
-        c = chunking.word_chunks(df.where(F.col("ok")), "text", keep=["name", "kind"])
-        return c.select("name", "kind", F.col("chunk_no").cast("bigint").alias("chunk_no"), "chunk")
-
-    rows = FS.csv_rows(csv).select(F.col("name").alias("file"), "row_no", "row")
-    tables = chunking.pack_table_rows(rows, lambda c: c).select(
-        F.col("file").alias("name"), F.lit("table").alias("kind"), "chunk_no", "chunk"
-    )
-    chunks = words(text).unionByName(tables).unionByName(words(decoded.drop("error")))
-    rejects = text.where(~F.col("ok")).select("name", "kind", F.lit("invalid UTF-8").alias("error")).unionByName(
-        decoded.where(~F.col("ok")).select("name", "kind", "error")
-    )
+    """Text files and CSV tables are read as UTF-8; all others go through the
+    decoder of their extension.  Decoded tables are packed by rows like CSV."""
+    plain = FS.decode_utf8(scanned.where((F.col("kind") == "text") | (F.col("ext") == "csv")))
+    decoded = FS.decode_with(scanned.where((F.col("kind") != "text") & (F.col("ext") != "csv")), decoders or {})
+    good = plain.where("ok").drop("ok").unionByName(decoded.where("ok").drop("ok", "error"))
+    words = chunking.word_chunks(good.where(F.col("kind") != "table"), "text", keep=["name", "kind"])
+    rows = FS.text_rows(good.where(F.col("kind") == "table")).select(F.col("name").alias("file"), "row_no", "row")
+    tables = chunking.pack_table_rows(rows, lambda c: c).select(F.col("file").alias("name"), F.lit("table").alias("kind"), "chunk_no", "chunk")
+    chunks = words.select("name", "kind", F.col("chunk_no").cast("bigint").alias("chunk_no"), "chunk").unionByName(tables)
+    rejects = plain.where("not ok").select("name", "kind", F.lit("invalid UTF-8").alias("error")).unionByName(
+        decoded.where("not ok").select("name", "kind", "error"))
     return chunks, rejects
 
 
+def ingest_folder(spark: SparkSession, path: str, root: str, namespace: str = "homework",
+                  decoders: dict[str, Callable[[bytes], str]] | None = None, recursive: bool = False,
+                  dims: int = embed.DEFAULT_DIMS) -> DataFrame:
+    """K1 end to end: the folder's chunks with vectors, merged into the store at
+    ``root`` under the files' names; the rejects."""
+    chunks, rejects = folder_chunks(spark, path, decoders, recursive)
+    rows = chunks.select(F.lit(namespace).alias("namespace"), F.col("name").alias("source_id"), "chunk_no", "kind", F.col("chunk").alias("context"))
+    store.upsert(spark, root, embed.with_hashed_vector(rows, "context", dims))
+    return rejects
+
+
 def write_documents_as_files(docs: DataFrame, name_col: str = "f", text_col: str = "text") -> str:
     """Lay a document table out as a folder of files (one file per name,
     under ``f=<name>/``) in the shared scratch folder; returns the folder."""
-    spark = docs.sparkSession
-    path = work_dir(spark, "files")
+    path = work_dir(docs.sparkSession, "files")
     # one row per name, hashed by name: every file is written by exactly one
     # task, and the tasks write in parallel
-    n = spark.sparkContext.defaultParallelism
-    docs.select(name_col, text_col).repartition(n, name_col).write.partitionBy(name_col).text(path)
+    docs.select(name_col, text_col).repartition(name_col).write.partitionBy(name_col).text(path)
     return path

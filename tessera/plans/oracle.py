@@ -13,6 +13,7 @@ from tessera.operators import compact as CP
 from tessera.operators import lexical as LX
 from tessera.operators import route as RT
 from tessera.plans import catalog as C
+from tessera.plans.ask import FALLBACK_THRESHOLD
 from tessera.sources import derived as D
 
 
@@ -327,21 +328,26 @@ _msgs AS (SELECT p.qid, p.agent,
 _x AS (SELECT qid, agent, (generate_subscripts(ms, 1) - 1)::BIGINT AS pos, unnest(ms) AS m FROM _msgs)"""
 
 
-def folder_sql() -> str:
-    exts = arr(D.FILE_EXTENSIONS)
-    sizes = "list_transform(rs, lambda x: x.n)"
-    return f"""WITH _k AS (SELECT doc_id, 'doc_' || doc_id::VARCHAR || '.' || {exts}[1 + doc_id % 8] AS f,
+def folder_files() -> str:
+    return f"""_k AS (SELECT doc_id, 'doc_' || doc_id::VARCHAR || '.' || {arr(D.FILE_EXTENSIONS)}[1 + doc_id % 8] AS f,
                       text || {NL} AS content FROM documents),
 _k2 AS (SELECT *, lower(string_split(f, '.')[-1]) AS ext FROM _k),
-_txt AS (SELECT doc_id, content AS text FROM _k2 WHERE ext = 'txt'),
+_k3 AS (SELECT *, CASE WHEN ext = 'pdf' THEN 'pdf' WHEN ext IN ('doc', 'docx') THEN 'docx' WHEN ext IN ('csv', 'xlsx') THEN 'table'
+                       WHEN ext = 'txt' THEN 'text' WHEN ext = 'png' THEN 'image' ELSE 'unsupported' END AS kind FROM _k2)"""
+
+
+def folder_sql() -> str:
+    sizes = "list_transform(rs, lambda x: x.n)"
+    return f"""WITH {folder_files()},
+_txt AS (SELECT doc_id, content AS text FROM _k3 WHERE kind NOT IN ('table', 'unsupported')),
 {chunk_cte('_txt')},
-_tl AS (SELECT f, string_split_regex(content, '\r?\n') AS ls FROM _k2 WHERE ext = 'csv'),
-_tr AS (SELECT f, CASE WHEN ls[-1] = '' THEN ls[1 : len(ls) - 1] ELSE ls END AS lines FROM _tl),
+_tl AS (SELECT f, string_split_regex(content, '\r?\n') AS ls FROM _k3 WHERE kind = 'table'),
+_tr AS (SELECT f, list_filter(ls, lambda l_: regexp_matches(l_, '[^ \t]')) AS lines FROM _tl),
 _tt2 AS (SELECT f, list_transform(lines, lambda r_: {{'r': r_, 'n': {tok('r_')}}}) AS rs FROM _tr),
 _ts AS (SELECT f, rs, {fold_starts(sizes, 1000, False, True)} AS st FROM _tt2),
 _tp AS (SELECT f, {pieces('list_transform(rs, lambda x: x.r)', 'st', NL)} AS cs FROM _ts),
 _tc AS (SELECT f, (generate_subscripts(cs, 1) - 1)::BIGINT AS chunk_no, unnest(cs) AS body FROM _tp)
-SELECT k.f AS name, 'text' AS kind, c.chunk_no::BIGINT AS chunk_no, c.chunk FROM _chunks c JOIN _k2 k USING (doc_id)
+SELECT k.f AS name, k.kind, c.chunk_no::BIGINT AS chunk_no, c.chunk FROM _chunks c JOIN _k3 k USING (doc_id)
 UNION ALL
 SELECT f AS name, 'table' AS kind, chunk_no, f || {NL} || {NL} || body AS chunk FROM _tc"""
 
@@ -357,19 +363,21 @@ SELECT u.qid, u.agent, 'fast' AS model, u.n_messages::BIGINT AS n_messages, u.us
 FROM _used u JOIN _dim d USING (agent) LEFT JOIN (SELECT qid, s FROM _top WHERE rank = 1) t USING (qid)"""
 
 
-def fallback_sql() -> str:
-    """K4: tier 1 keeps questions whose best document context reaches the
-    threshold; the rest are answered from a web store built for them."""
-    from tessera.plans.ask import FALLBACK_THRESHOLD
-
+def fallback_sql(ok: str) -> str:
+    """K4: tier 1 keeps questions for which ``ok`` holds; the rest are answered
+    from a web store built for them."""
     ask = answer_sql()
-    rest = f"qid NOT IN (SELECT qid FROM ({ask}) a WHERE best_score >= {FALLBACK_THRESHOLD})"
+    rest = f"qid NOT IN (SELECT qid FROM ({ask}) a WHERE {ok})"
     return (
-        f"SELECT *, 1::BIGINT AS tier FROM ({ask}) t1 WHERE best_score >= {FALLBACK_THRESHOLD} "
+        f"SELECT *, 1::BIGINT AS tier FROM ({ask}) t1 WHERE {ok} "
         f"UNION ALL SELECT *, 2::BIGINT AS tier FROM ({answer_sql(web_store_cte(rest))}) t2"
     )
 
 
+YES = ("qid IN (SELECT conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR FROM conversations WHERE role = 'assistant' "
+       "AND contains(lower(text || [' Yes.', ' No.', ' TableAgent', ''][1 + turn % 4]), 'yes'))")
+
+
 SQL: dict[str, str] = {
     "chunk_words": f"WITH {chunk_cte()} SELECT doc_id, chunk_no::BIGINT AS chunk_no, chunk FROM _chunks",
     "chunk_fixed": (
@@ -479,7 +487,8 @@ _jx AS (SELECT qid, (generate_subscripts(ms, 1) - 1)::BIGINT AS pos, unnest(ms)
 SELECT qid, pos, m.role AS role, m.content AS content FROM _jx""",
     "ask": answer_sql(),
     "web_assist": answer_sql(web_store_cte()),
-    "ask_with_fallback": fallback_sql(),
+    "ask_with_fallback": fallback_sql(f"best_score >= {FALLBACK_THRESHOLD}"),
+    "ask_with_verdict": fallback_sql(YES),
     "prompt_budget": f"""WITH _u AS (SELECT conv_id, sum({tok('text')})::BIGINT AS used FROM conversations GROUP BY conv_id),
 _m AS (SELECT * FROM (VALUES ('fast', 4096, NULL), ('smart', 8000, 8000)) t(model, ceiling, forced))
 SELECT conv_id, model, used, greatest(1, least(coalesce(forced, 1000), ceiling - used - 100))::BIGINT AS max_tokens,
@@ -496,6 +505,33 @@ _r AS (SELECT *, row_number() OVER w AS seq,
        FROM _k WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT session_id, seq::BIGINT AS seq, text, coalesce(model, 'fast') AS model FROM _r WHERE kind = 'question' AND exited = 0""",
     "folder_ingest": folder_sql(),
+    "folder_rejects": f"WITH {folder_files()} SELECT f AS name, kind, 'LookupError: no decoder for ' || ext AS error FROM _k3 WHERE kind = 'unsupported'",
+    "hook_count_tokens": "SELECT doc_id, (length(text) - length(replace(text, ' ', '')) + 1)::BIGINT AS n_tokens FROM documents",
+    "hook_transform": "SELECT doc_id, upper(replace(text, 'ß', 'ss')) AS text FROM documents",
+    "hook_embed": (
+        "SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks, "
+        "(length(text) - length(replace(text, chr(10), '')))::DOUBLE AS lines FROM documents"
+    ),
+    "hook_complete": (
+        f"WITH {questions_cte()} SELECT qid, '3/40: Question:' || {NL} || text AS reply FROM _q WHERE contains(text, ' ') "
+        "UNION ALL SELECT qid, NULL FROM _q WHERE NOT contains(text, ' ')"
+    ),
+    "hook_solve": (
+        f"WITH _p AS (SELECT conv_id, turn, list_filter(string_split(text, {NL}), lambda l_: l_ <> '') AS ls FROM conversations) "
+        f"SELECT conv_id, turn, CASE WHEN len(ls) > 0 THEN array_to_string(ls, {NL}) END AS answer FROM _p"
+    ),
+    "positional_ids": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos_id FROM documents",
+    "command_contains": (
+        "WITH _s AS (SELECT conv_id, turn, lower(text || [' please EXIT', ' Smart Tutor now', ' help', ''][1 + turn % 4]) AS s FROM conversations) "
+        "SELECT conv_id, turn, CASE WHEN contains(s, 'exit') THEN 'exit' WHEN contains(s, 'smart tutor') THEN 'smart tutor' "
+        "WHEN contains(s, 'simple tutor') THEN 'simple tutor' WHEN contains(s, 'add docs') THEN 'add docs' "
+        "WHEN contains(s, 'help') THEN 'help' ELSE 'question' END AS command FROM _s"
+    ),
+    "prompt_extend": f"""WITH {questions_cte()},
+_a AS (SELECT conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS qid, trim(text, ' ' || {NL}) AS answer FROM conversations WHERE role = 'assistant')
+SELECT qid, 0::BIGINT AS pos, 'user' AS role, text AS content FROM _q JOIN _a USING (qid)
+UNION ALL SELECT qid, 1, 'assistant', answer FROM _q JOIN _a USING (qid)
+UNION ALL SELECT qid, 2, 'user', 'Answer in one line.' FROM _q JOIN _a USING (qid)""",
     "chunk_table_rows": f"""WITH {table_rows_cte()},
 _x AS (SELECT file, (generate_subscripts(cs, 1) - 1)::BIGINT AS chunk_no, unnest(cs) AS body FROM _fp)
 SELECT file, chunk_no, 'supplier_' || file::VARCHAR || '.csv' || {NL} || {NL} || body AS chunk FROM _x""",

@@ -35,10 +35,10 @@ def wikitext(docs: DataFrame) -> DataFrame:
     return docs.select(did, F.array_join(F.transform(F.split("text", "\n"), para), "\n").alias("w"))
 
 
-def file_names(docs: DataFrame) -> DataFrame:
+def file_names(docs: DataFrame, *keep: str) -> DataFrame:
     exts = F.array(*[F.lit(e) for e in FILE_EXTENSIONS])
     return docs.select(
-        "doc_id", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit("."), F.get(exts, (F.col("doc_id") % 8).cast("int"))).alias("f")
+        "doc_id", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit("."), F.get(exts, (F.col("doc_id") % 8).cast("int"))).alias("f"), *keep
     )
 
 

@@ -77,7 +77,7 @@ def decode_with(files: DataFrame, decoders: dict[str, Callable[[bytes], str]]) -
                 fn = decoders.get(ext)
                 try:
                     if fn is None:
-                        raise KeyError(f"no decoder for {ext!r}")
+                        raise LookupError(f"no decoder for {ext}")
                     texts.append(fn(bytes(raw)) or "")
                     oks.append(True)
                     errs.append(None)
@@ -93,19 +93,22 @@ def decode_with(files: DataFrame, decoders: dict[str, Callable[[bytes], str]]) -
     return files.select("path", "name", "ext", "kind", "content").mapInPandas(run, schema)
 
 
+def text_rows(texts: DataFrame) -> DataFrame:
+    """The rows of table files given as ``(path, name, text)``, as written:
+    ``(path, name, row_no, row)``, the header at row 0.  Blank lines are no rows;
+    values are kept as text (no type inference, D4); a line break inside a quoted
+    field splits the row, as in the reference; a byte order mark is dropped."""
+    lines = F.filter(F.split(F.regexp_replace("text", "^\ufeff", ""), r"\r?\n"), lambda r: F.btrim(r, F.lit(" \t")) != "")
+    return texts.select("path", "name", F.posexplode(lines).alias("row_no", "row")).withColumn("row_no", F.col("row_no").cast("bigint"))
+
+
 def csv_rows(files: DataFrame, charset: str = "UTF-8") -> DataFrame:
-    """A5 + A6: rows of CSV files as written: ``(path, name, row_no, row)``,
-    the header at row 0.  Values are kept as text (no type inference, D4);
-    a line break inside a quoted field splits the row, as in the reference.
-    ``charset`` is given by the user (no detection); a BOM is dropped.
-    """
-    text = F.regexp_replace(F.decode(F.col("content"), charset), "^\ufeff", "")
-    lines = F.split(text, r"\r?\n")
-    return (
-        files.select("path", "name", F.posexplode(lines).alias("row_no", "row"), F.size(lines).alias("_n"))
-        .where(~((F.col("row_no") == F.col("_n") - 1) & (F.col("row") == "")))
-        .select("path", "name", F.col("row_no").cast("bigint").alias("row_no"), "row")
-    )
+    """A5 + A6: the rows of CSV files (:func:`text_rows`).  ``charset`` is given
+    by the user (no detection).  A file that isn't valid UTF-8 has no rows here:
+    :func:`decode_utf8` names it, it belongs in the rejects."""
+    if charset.upper().replace("-", "") == "UTF8":
+        return text_rows(decode_utf8(files).where("ok"))
+    return text_rows(files.withColumn("text", F.decode(F.col("content"), charset)))
 
 
 def csv_table(spark: SparkSession, path: str, encoding: str = "UTF-8", infer: bool = False) -> DataFrame:

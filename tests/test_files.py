@@ -14,14 +14,19 @@ def test_folder_scan_and_chunks(spark, tmp_path):
     (d / ".d.txt").write_text("hidden")
     (d / "bad.txt").write_bytes(b"\x61\xff")
     (d / "p.pdf").write_bytes(b"%PDF")
-    chunks, rejects = ingest.folder_chunks(spark, str(d), decoders={"pdf": lambda b: "pdf text"})
+    (d / "t.xlsx").write_bytes(b"zip")
+    (d / "bad.csv").write_bytes(b"a,b\n\xff,2\n")
+    (d / "blank.csv").write_bytes(b"\xef\xbb\xbfa,b\r\n\r\n \t\n1,2\n\n")
+    chunks, rejects = ingest.folder_chunks(spark, str(d), decoders={"pdf": lambda b: "pdf text", "xlsx": lambda b: "h1,h2\n1,2\n"})
     got = sorted((r["name"], r["kind"], r["chunk"]) for r in chunks.collect())
     assert got == [
         ("a.txt", "text", "hello world"),
+        ("blank.csv", "table", "blank.csv\n\na,b\n1,2"),
         ("c.CSV", "table", 'c.CSV\n\nh1,h2\n1,"q""t"\n2,x'),
         ("p.pdf", "pdf", "pdf text"),
+        ("t.xlsx", "table", "t.xlsx\n\nh1,h2\n1,2"),
     ]
-    assert [(r["name"], r["error"]) for r in rejects.collect()] == [("bad.txt", "invalid UTF-8")]
+    assert sorted((r["name"], r["error"]) for r in rejects.collect()) == [("bad.csv", "invalid UTF-8"), ("bad.txt", "invalid UTF-8")]
 
 
 def test_decoder_failure_is_rejected(spark, tmp_path):
