@@ -91,6 +91,16 @@ def html_to_text(col) -> Column:
     return F.array_join(kept, "\n")
 
 
+def headings_as_lines(col) -> Column:
+    """HTML headings of level 2 to 6 as wiki heading lines (``== x ==``), so that
+    an encyclopedia page can be split into sections once its markup is gone."""
+    s = _c(col)
+    for level in range(2, 7):
+        line = "=" * level
+        s = F.regexp_replace(s, rf"(?is)<h{level}\b[^>]*+>(.*?)</h{level}\s*>", f"\n{line} $1 {line}\n")
+    return s
+
+
 def canonical_url(col) -> Column:
     """URL without ``;params`` of the last segment, ``?query`` and ``#fragment`` (B2).
 

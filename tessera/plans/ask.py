@@ -84,24 +84,24 @@ def web_namespace(spark: SparkSession, sf_dir: str, questions: DataFrame, namesp
     character slices, compaction, embedding.  Each page is processed once
     however many questions link to it."""
     pages = load(spark, sf_dir, "pages", "page_id", "url", "html", partitions=source_partitions(spark))
-    parsed = pages.select("page_id", TX.canonical_url("url").alias("url"), TX.html_to_text("html").alias("text"))
-    # Encyclopedia pages keep their surviving sections (C5-C9); others the visible text (B1)
-    wiki = TX.is_wikipedia(F.col("url"))
-    sectioned = sections.assemble_sections(parsed.where(wiki).select("page_id", "text"), "page_id", "text")
-    text = (
-        parsed.where(~wiki).select("page_id", "text").unionByName(sectioned)
-        .where(F.coalesce(F.col("text"), F.lit("")) != "")
-    )
+    url = pages.select("page_id", TX.canonical_url("url").alias("url"), "html")
+    # Encyclopedia pages keep their title and surviving sections (C5-C9); others the visible text (B1)
+    wiki = F.coalesce(TX.is_wikipedia(F.col("url")), F.lit(False))
+    split = url.where(wiki).select("page_id", TX.wiki_title("url").alias("title"), TX.html_to_text(TX.headings_as_lines("html")).alias("text"))
+    sectioned = sections.assemble_sections(split.select("page_id", "text"), "page_id", "text").join(split.select("page_id", "title"), "page_id")
+    plain = url.where(~wiki).select("page_id", F.lit(None).cast("string").alias("title"), TX.html_to_text("html").alias("text"))
+    text = plain.unionByName(sectioned.select("page_id", "title", "text")).where(F.coalesce(F.col("text"), F.lit("")) != "")
     tt = materialize(lexical.term_table(text, "page_id", "text"), "page-terms")
     n, avgdl = lexical.corpus_scalars(tt)
     qterms = lexical.search_terms(questions, "qid", "text", None, n, tt=tt)
     links = lexical.bm25_topk(tt, qterms, avgdl, k=LINKS_PER_QUESTION)
     used_pages = links.select(F.col("id").alias("page_id")).distinct()
-    sl = chunking.chunk_fixed(text.join(used_pages, "page_id", "left_semi"), "page_id", "text")
-    sl = sl.select("page_id", "slice_no", compact.compact(F.col("slice")).alias("context")).where(F.col("context") != "")
+    used = text.join(used_pages, "page_id", "left_semi")
+    sl = chunking.chunk_fixed(used, "page_id", "text").join(used.select("page_id", "title"), "page_id")
+    sl = sl.select("title", "page_id", "slice_no", compact.compact(F.col("slice")).alias("context")).where(F.col("context") != "")
     return embed.with_hashed_vector(sl, "context", HASH_DIMS).select(
         F.lit(namespace).alias("namespace"), F.col("page_id").alias("source_id"),
-        F.col("slice_no").cast("bigint").alias("chunk_no"), "context", "embedding",
+        F.col("slice_no").cast("bigint").alias("chunk_no"), "title", "context", "embedding",
     )
 
 
