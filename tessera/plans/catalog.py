@@ -297,6 +297,26 @@ def q_folder_rejects(spark, d):
     return ingest.folder_chunks(spark, _document_folder(spark, d), FOLDER_DECODERS, recursive=True)[1]
 
 
+CSV_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"]
+
+
+def q_csv_table(spark, d):
+    """A5: a table written as CSV files with a header, read back as text columns."""
+    from tessera.session import work_dir
+    from tessera.sources import files
+
+    path = work_dir(spark, "csv")
+    load(spark, d, "lineitem", *CSV_COLUMNS).write.option("header", True).csv(path)
+    return files.csv_table(spark, path)
+
+
+def q_csv_render(spark, d):
+    """One CSV line per row."""
+    from tessera.sources import files
+
+    return files.csv_render(load(spark, d, "lineitem", *CSV_COLUMNS))
+
+
 def q_stream_ingest(spark, d):
     """The upsert log arrives as two parquet drops; each is processed by
     an ``availableNow`` run of the ingest stream; the final store version."""
@@ -398,6 +418,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ask_with_verdict": q_ask_with_verdict,
     "folder_ingest": q_folder_ingest,
     "folder_rejects": q_folder_rejects,
+    "csv_table": q_csv_table,
+    "csv_render": q_csv_render,
     "stream_ingest": q_stream_ingest,
     "stream_mode": q_stream_mode,
     "stream_two_feeds": q_stream_two_feeds,

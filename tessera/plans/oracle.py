@@ -506,6 +506,8 @@ _r AS (SELECT *, row_number() OVER w AS seq,
 SELECT session_id, seq::BIGINT AS seq, text, coalesce(model, 'fast') AS model FROM _r WHERE kind = 'question' AND exited = 0""",
     "folder_ingest": folder_sql(),
     "folder_rejects": f"WITH {folder_files()} SELECT f AS name, kind, 'LookupError: no decoder for ' || ext AS error FROM _k3 WHERE kind = 'unsupported'",
+    "csv_table": "SELECT " + ", ".join(f"{c}::VARCHAR AS {c}" for c in C.CSV_COLUMNS) + " FROM lineitem",
+    "csv_render": f'SELECT concat_ws(\',\', {", ".join(C.CSV_COLUMNS)}) AS "row" FROM lineitem',
     "hook_count_tokens": "SELECT doc_id, (length(text) - length(replace(text, ' ', '')) + 1)::BIGINT AS n_tokens FROM documents",
     "hook_transform": "SELECT doc_id, upper(replace(text, 'ß', 'ss')) AS text FROM documents",
     "hook_embed": (
