@@ -1,84 +1,112 @@
 """Token ids of whole texts, many texts at a time.
 
 The tokenizers library does the encoding; this helper hands it each distinct
-piece of text once per worker instead of once per place.  A piece is a run
-without spaces and line ends together with the one space or line end before it.
-Both supported pre-tokenizers cut there anyway, as long as the characters on
-both sides of the space are not white space, so the ids of a text are the ids
-of its pieces one after another.  Texts with longer runs of white space are cut
-only at the places that fulfil this.
+piece of text once per worker instead of once per place.
+
+* Plain texts (ASCII and the letters of Latin-1) are split as both supported
+  pre-tokenizers split them, and the library's model gives the ids of each
+  distinct piece.
+* Others are cut only before a space or line end between characters that aren't
+  white space, where both pre-tokenizers cut too; the whole library encodes each
+  distinct part.  So do all texts if a tokenizer turns out not to split as expected.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_LONG_GAP = re.compile(r"[ \n](?:(?<=\s[ \n])|(?=\s))")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_OTHER_THAN_PLAIN = re.compile(rf"[^\t\n\r -~{_LETTER}]")
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: How each kind splits a plain text; white space goes, or belongs to the piece behind it.
+_WORDS = re.compile(rf"{_ENDINGS}|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
+_SPACED = re.compile(rf"{_ENDINGS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+_PROBE = "It's a Mix, of 12 Wörds\n  and \t<s> o'clock!? I'll "
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as the character of that number if it
+    is printable, the others as characters from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_characters()
 
 
 class _Known(dict):
-    """Index of a piece by the piece without its first character."""
+    """Number of each piece; a new one gets the next number."""
 
-    def __init__(self, owner: PieceTokenizer, before: str):
+    def __init__(self, numbers: list, new: list):
         super().__init__()
-        self.owner, self.before = owner, before
+        self.numbers, self.new = numbers, new
 
-    def __missing__(self, word: str) -> int:
-        self[word] = at = self.owner.add(self.before + word)
+    def __missing__(self, piece: str) -> int:
+        self[piece] = at = self.numbers[0]
+        self.numbers[0] += 1
+        self.new.append((at, piece))
         return at
 
 
 class PieceTokenizer:
     """``keep``: distinct pieces remembered before the memory is emptied."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings are ordinary text
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings are ordinary text
         self.keep = keep
+        self.lower = self.library.normalizer is not None and self.library.normalizer.normalize_str("Aé") == "aé"
+        self.split = None
+        self.forget()
+        want = self.library.encode(_PROBE, add_special_tokens=False).ids
+        for self.split in (_WORDS, _SPACED, None):
+            if self.split is None or self.encode([_PROBE])[0].tolist() == want:
+                break
         self.forget()
 
     def forget(self) -> None:
-        self.at_start, self.at_space, self.at_line = (_Known(self, x) for x in ("", " ", "\n"))
-        self.new: list[str] = []
+        numbers = [0]
+        self.numbers, self.new_words, self.new_parts = numbers, [], []
+        self.words, self.parts = _Known(numbers, self.new_words), _Known(numbers, self.new_parts)
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
 
-    def add(self, piece: str) -> int:
-        self.new.append(piece)
-        return len(self.starts) + len(self.new) - 1
-
     def learn(self) -> None:
-        if not self.new:
+        """The ids of the new pieces."""
+        n = self.numbers[0] - len(self.starts)
+        if not n:
             return
-        parts = [e.ids for e in self.model.encode_batch_fast(self.new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        base, found = len(self.starts), [None] * n
+        tokenize = self.library.model.tokenize
+        for at, piece in self.new_words:
+            mapped = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(_BYTES)
+            found[at - base] = [t.id for t in tokenize(mapped)]
+        parts = self.library.encode_batch_fast([p for _, p in self.new_parts], add_special_tokens=False)
+        for (at, _), e in zip(self.new_parts, parts, strict=True):
+            found[at - base] = e.ids
+        self.new_words.clear()
+        self.new_parts.clear()
+        sizes = np.fromiter(map(len, found), np.int64, n)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for p in parts for i in p), np.uint32, int(sizes.sum()))])
-        self.new = []
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
 
     def pieces(self, text: str) -> list[int]:
-        if _LONG_GAP.search(text):
-            return [self.at_start[p] for p in _SAFE.split(text)]
-        first, *lines = text.split("\n")
-        out: list[int] = []
-        for known, line in ((self.at_start, first), *((self.at_line, x) for x in lines)):
-            word, *words = line.split(" ")
-            out.append(known[word])
-            out += map(self.at_space.__getitem__, words)
-        return out
+        if self.split is None or _OTHER_THAN_PLAIN.search(text):
+            return [self.parts[p] for p in _SAFE.split(text)]
+        return list(map(self.words.__getitem__, self.split.findall(text.lower() if self.lower else text)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
-        if len(self.starts) > self.keep:
-            self.forget()
         out: list[np.ndarray] = []
         group: list[list[int]] = []
         held = 0
@@ -95,10 +123,12 @@ class PieceTokenizer:
             return []
         self.learn()
         per_text = np.fromiter(map(len, group), np.int64, len(group))
-        at = np.fromiter((i for g in group for i in g), np.int64, int(per_text.sum()))
+        at = np.fromiter(chain.from_iterable(group), np.int64, int(per_text.sum()))
         sizes = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.ids[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        if self.numbers[0] > self.keep:
+            self.forget()
         return np.split(flat, ends[np.cumsum(per_text)][:-1])
 
 
