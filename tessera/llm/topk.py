@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import pick
+from tessera.llm.common import partitions, pick
 from tessera.session import materialize
 
 SHARD, BATCH = 4096, 256
@@ -123,7 +123,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     shards = materialize(_packed(vectors, SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards")
     asked = materialize(_packed(vectors.where(is_query).coalesce(1 + shards.rdd.getNumPartitions() // 8), BATCH)
                         .withColumn("batch", F.monotonically_increasing_id()), "query-batches")
-    groups = min(64, max(1, shards.count()))
+    groups = min(partitions(df), max(1, shards.count()))
     pairs = shards.withColumn("g", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int")).join(
         asked.select("size", "batch", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
                      F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g")), ["g", "size"])
