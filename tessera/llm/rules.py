@@ -130,4 +130,8 @@ def keep_good(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_R
     Columns are carried as one struct, so none can clash; null texts fail the
     base and go; repeated rows stay or go alike; an empty table stays empty."""
     docs = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text_col].alias("text"))
-    return judged(docs, sample_rows).where("kept").select("row.*")
+    # a filter on ``kept`` would be pushed below the figures and work them out once per use;
+    # what a generator puts out can't be pushed
+    some = F.array(F.struct(F.lit(True).alias("stays"), "row"))
+    good = judged(docs, sample_rows).select(F.when(F.col("kept"), some).otherwise(F.slice(some, 1, 0)).alias("some"))
+    return good.select(F.inline_outer("some")).where("stays").select("row.*")
