@@ -18,6 +18,7 @@ the labels of the sample and set right for the share of label 1 in all labels.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -108,22 +109,26 @@ def telling(words: list[str], of_word: np.ndarray, doc: np.ndarray, toxic: np.nd
     """Mask over ``words``: those that mark toxic tokens.  ``of_word``, ``doc``:
     of each token; ``toxic``: of each document."""
     names: dict[str, int] = {}
-    pairs = [(i, names.setdefault(f, len(names))) for i, w in enumerate(words) for f in features(w)]
-    if not pairs or not toxic.any() or toxic.all():
+    if not words or not toxic.any() or toxic.all():
         return np.zeros(len(words), bool)
-    word, feature = np.array(pairs, np.int64).T
-    starts = np.searchsorted(word, np.arange(len(words) + 1))
+    feature, sizes = array("q"), array("q")
+    for w in words:
+        found = features(w)
+        feature.extend(names.setdefault(f, len(names)) for f in found)
+        sizes.append(len(found))
+    feature, sizes = np.array(feature), np.array(sizes)
+    word, starts = np.repeat(np.arange(len(words)), sizes), np.concatenate([[0], np.cumsum(sizes)])
     before = np.where(np.concatenate([[True], doc[1:] != doc[:-1]]), len(words), np.concatenate([[0], of_word[:-1]]))
-    keys, contexts = [], []
-    for k in range(int(np.diff(starts).max())):  # the k-th feature of each token
+    total, square = np.zeros(2 * len(names)), np.zeros(2 * len(names))
+    for k in range(int(sizes.max())):  # the k-th feature of each token: the word, then its beginnings by length
         has = np.flatnonzero(starts[of_word] + k < starts[of_word + 1])
-        keys.append(feature[starts[of_word[has]] + k] * len(toxic) + doc[has])
-        contexts.append(before[has])
-    key, first = np.unique(np.concatenate(keys), return_index=True)  # each feature once per document
-    f, label, context = key // len(toxic), toxic[key % len(toxic)], np.concatenate(contexts)[first]
-    cell, n = np.unique((f * 2 + label) * (len(words) + 1) + context, return_counts=True)
-    group = cell // (len(words) + 1)
-    total, square = (np.bincount(group, x, 2 * len(names)) for x in (n, n * n))
+        # each feature once per document
+        key, first = np.unique(feature[starts[of_word[has]] + k] * len(toxic) + doc[has], return_index=True)
+        group = key // len(toxic) * 2 + toxic[key % len(toxic)]
+        cell, n = np.unique(group * (len(words) + 1) + before[has[first]], return_counts=True)
+        group = cell // (len(words) + 1)
+        total += np.bincount(group, n, 2 * len(names))
+        square += np.bincount(group, n * n, 2 * len(names))
     effective = np.divide(total**2, square, out=np.zeros_like(total), where=square > 0).reshape(-1, 2)
     clean, bad = effective.T
     share, base = bad / np.maximum(clean + bad, 1e-9), toxic.mean()
