@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import work_dir
 
 #: Characters that separate words: space and U+0009..U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -22,7 +22,9 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
 def with_row_ids(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a unique long ``rid``, written to the shared folder: the ids
     must stay the same when a lost executor's tasks run again."""
-    return materialize(df.withColumn("rid", F.monotonically_increasing_id()), name)
+    path = work_dir(df.sparkSession, name)
+    df.withColumn("rid", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def partitions(df: DataFrame) -> int:
