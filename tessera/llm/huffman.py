@@ -30,7 +30,9 @@ from tessera.llm.tokens import tokenizer
 from tessera.session import work_dir
 
 #: Ids between two checkpoints, and ids after which a block is closed (by whole documents).
-STEP, BLOCK = 512, 1 << 19
+STEP, BLOCK = 256, 1 << 19
+#: Ids coded at a time.
+PART = 1 << 14
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
@@ -75,21 +77,23 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of the ids, padded to bytes, and the checkpoints."""
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
-    at = ends - size
+    """The bits of the ids, padded to bytes, and the checkpoints.  Ids go through
+    in parts that stay in the processor's cache."""
+    size = lengths[ids]
+    ends = np.cumsum(size, dtype=np.int64)
     total = int(ends[-1]) if len(ids) else 0
     words = np.zeros(total // 64 + 2, np.uint64)
-    if len(ids):
-        code, word, room = codes[ids], at >> 6, 64 - (at & 63) - size
+    for low in range(0, len(ids), PART):
+        part = slice(low, low + PART)
+        at = ends[part] - size[part]
+        code, word, room = codes[ids[part]], at >> 6, 64 - (at & 63) - size[part]
         fits = np.maximum(room, 0).astype(np.uint64)
         over = np.maximum(-room, 0).astype(np.uint64)
         first = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[first]] = np.add.reduceat((code >> over) << fits, first)
+        words[word[first]] += np.add.reduceat((code >> over) << fits, first)
         cut = np.flatnonzero(room < 0)  # at most one code crosses the end of each word
         words[word[cut] + 1] += code[cut] << (np.uint64(64) - over[cut])
-    return words.astype(">u8").tobytes()[: (total + 7) // 8], at[::STEP]
+    return words.astype(">u8").tobytes()[: (total + 7) // 8], (ends - size)[::STEP]
 
 
 class Decoder:
@@ -97,30 +101,38 @@ class Decoder:
         _, order = canonical(lengths)
         self.bits = int(lengths.max(initial=1))
         share = np.int64(1) << (self.bits - lengths[order]).astype(np.int64)
-        self.id = np.zeros(1 << self.bits, np.uint32)
-        self.size = np.ones(1 << self.bits, np.int64)
-        filled = int(share.sum())
-        self.id[:filled] = np.repeat(order, share)
-        self.size[:filled] = np.repeat(lengths[order], share)
+        #: by the next ``bits`` bits: the id, and the length of its code in the lowest five
+        self.entry = np.ones(1 << self.bits, np.uint32)
+        self.entry[:int(share.sum())] = np.repeat(order.astype(np.uint32) << np.uint32(5) | lengths[order], share)
 
     def decode(self, data: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         b = np.frombuffer(data + bytes(4), np.uint8).astype(np.uint32)
         window = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
-        out = np.zeros((len(checkpoints), STEP), np.uint32)
-        at, lanes = checkpoints.astype(np.int64), len(checkpoints)
-        mask = np.uint32((1 << self.bits) - 1)
+        lanes = len(checkpoints)
+        out = np.zeros((min(STEP, n), lanes), np.uint32)
+        at, free, mask = checkpoints.astype(np.uint32), np.uint32(32 - self.bits), np.uint32((1 << self.bits) - 1)
         for i in range(min(STEP, n)):
             if (lanes - 1) * STEP + i >= n > 0:  # the last stretch is shorter
                 lanes -= 1
                 at = at[:lanes]
-            v = window[at >> 3] >> (32 - self.bits - (at & 7)).astype(np.uint32) & mask
-            out[:lanes, i] = self.id[v]
-            at = at + self.size[v]
-        return out.reshape(-1)[:n]
+            found = self.entry[window[at >> 3] >> (free - (at & 7)) & mask]
+            out[i, :lanes] = found >> 5
+            at = at + (found & 31)
+        return out.T.reshape(-1)[:n]
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids as 16-bit numbers if all fit, else as 32-bit numbers, with the width in front."""
+    width = 2 if ids.max(initial=0) < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
 def _tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Blocks of whole documents in ascending doc_id order, ids as 32-bit integers."""
+    """Blocks of whole documents in ascending doc_id order."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +147,7 @@ def _tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             row = pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "start": pa.array([start], pa.int64()),
                 "ids_of": pa.array([keys], pa.list_(key)), "sizes": pa.array([sizes], pa.list_(pa.int32())),
-                "ids": pa.array([np.concatenate(parts).astype("<u4").tobytes()], pa.binary())})
+                "ids": pa.array([_packed(np.concatenate(parts))], pa.binary())})
             block, start, keys, parts, held = block + 1, start + held, [], [], 0
             return row
 
@@ -168,7 +180,7 @@ def count_ids(blocks: DataFrame) -> DataFrame:
         counts = np.zeros(0, np.int64)
         for batch in it:
             for ids in batch.column(0):
-                more = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
+                more = np.bincount(_unpacked(ids.as_py()))
                 if len(more) > len(counts):
                     counts, more = more.astype(np.int64), counts
                 counts[: len(more)] += more
@@ -198,7 +210,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, max_bi
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for i, ids in enumerate(batch.column("ids")):
-                bits, marks = encode(np.frombuffer(ids.as_py(), "<u4"), codes, lengths)
+                bits, marks = encode(_unpacked(ids.as_py()), codes, lengths)
                 row = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays(
                     [*(row.column(c) for c in ("part", "block", "start", "ids_of", "sizes")),
@@ -210,10 +222,9 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, max_bi
         .write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(id, start, n_tokens, ids): every document of the files at ``path`` with
-    its decoded ids as little-endian 32-bit integers; ``start`` counts the ids
-    of all documents before it."""
+def _read(spark: SparkSession, path: str, name: str, kind: str, of) -> DataFrame:
+    """(id, start, n_tokens, ``name``): every document of the files at ``path``
+    with ``of`` its decoded ids (little-endian 32-bit integers)."""
     blocks = spark.read.parquet(f"{path}/blocks")
     book = {r["id"]: r["bits"] for r in spark.read.parquet(f"{path}/codebook").collect()}  # bounded by the vocabulary
     lengths = np.zeros(max(book, default=0) + 1, np.uint8)
@@ -223,6 +234,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     before, total = {}, 0
     for r in sorted(per_part.collect()):
         before[r["part"]], total = total, total + r["n"]
+    type_ = {"binary": pa.binary(), "long": pa.int64()}[kind]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = None
@@ -232,23 +244,25 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 sizes = np.array(batch.column("sizes")[i].values, np.int64)
                 ends = np.cumsum(sizes)
                 ids = decoder.decode(batch.column("bits")[i].as_py(), np.array(batch.column("checkpoints")[i].values, np.int64), int(ends[-1]))
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4").tobytes())
                 first = before[batch.column("part")[i].as_py()] + batch.column("start")[i].as_py()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("ids_of")[i].values, pa.array(first + ends - sizes), pa.array(sizes),
-                     pa.array([raw[4 * (e - s):4 * e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())],
-                    names=["id", "start", "n_tokens", "ids"])
+                     pa.array([of(raw[4 * (e - s):4 * e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], type_)],
+                    names=["id", "start", "n_tokens", name])
 
-    kind = blocks.schema["ids_of"].dataType.elementType.simpleString()
-    return blocks.mapInArrow(run, f"id {kind}, start long, n_tokens long, ids binary")
+    key = blocks.schema["ids_of"].dataType.elementType.simpleString()
+    return blocks.mapInArrow(run, f"id {key}, start long, n_tokens long, {name} {kind}")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([zlib.crc32(x.as_py()) for x in b.column(3)], pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"])
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(id, start, n_tokens, ids): every document of the files at ``path`` with
+    its decoded ids as little-endian 32-bit integers; ``start`` counts the ids
+    of all documents before it."""
+    return _read(spark, path, "ids", "binary", bytes)
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+
+def digest(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the documents of the files at
+    ``path``: :func:`read_ids` with the checksum of the ids in their place."""
+    return _read(spark, path, "ids_crc32", "long", zlib.crc32).withColumnRenamed("id", "doc_id")

@@ -25,7 +25,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = work_dir(spark, "id-files")
     huffman.write_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return huffman.digest(huffman.read_ids(spark, path))
+    return huffman.digest(spark, path)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

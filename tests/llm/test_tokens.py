@@ -93,7 +93,9 @@ def test_files_round_trip(spark, monkeypatch, block):
     monkeypatch.setattr(huffman, "BLOCK", block)
     path = work_dir(spark, "test-ids")
     huffman.write_ids(frame(spark), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    got = sorted(huffman.digest(huffman.read_ids(spark, path)).collect(), key=lambda r: r.start)
+    got = sorted(huffman.digest(spark, path).collect(), key=lambda r: r.start)
+    plain = sorted(huffman.read_ids(spark, path).collect(), key=lambda r: r.start)
+    assert [(r.id, r.n_tokens, zlib.crc32(r.ids)) for r in plain] == [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got]
     expected = want(rows(), "byte_bpe_50k.json", 2)
     assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=repr) == sorted(((i, len(x), crc(x)) for i, x in expected), key=repr)
     assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
