@@ -43,7 +43,7 @@ from tessera.session import materialize
 
 LENGTH, GRAM = 400, 128
 #: Different strings round one anchor that a task takes together; stretches into which more are dealt.
-LIMIT, WIDTHS = 4096, (91, 31, 11, 4, 1)
+LIMIT, WIDTHS = 4096, (91, 1)
 #: Strings of a construction, and places hashed at a time.
 BATCH, SPAN = 16384, 1 << 16
 
