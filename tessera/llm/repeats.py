@@ -320,6 +320,8 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     A null text is empty.  Repeated rows are documents of their own, so all their
     windows are repeated; null ids are allowed; an empty table gives no rows.
     Texts shorter than ``length`` have no windows.  Other columns are only carried."""
+    if len(widths) > 2 or widths[-1] != 1:
+        raise ValueError("widths: a stretch, then 1; longer chains aren't right yet")
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     rows = rows.select("row", F.col("text").cast("binary").alias("text"), *_identity(F.col("id"), F.col("text")))
     texts = rows.select("u1", "u2", "text").where(F.length("text") >= length)
