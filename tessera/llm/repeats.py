@@ -169,9 +169,11 @@ def _strings(length: int, gram: int):
     return run
 
 
-def construct(lefts: np.ndarray, strings: list[bytes], length: int, gram: int) -> np.ndarray:
+def construct(keys: np.ndarray, lefts: np.ndarray, strings: list[bytes], length: int, gram: int) -> np.ndarray:
     """[string, column]: is the window that starts there one that another string
-    has in the same column?  Columns: ``length - gram`` places before the anchor, and the anchor's own."""
+    of its key has in the same column?  Columns: ``length - gram`` places before
+    the anchor, and the anchor's own.  ``keys``: numbers from 0.  Strings of
+    different keys may be of one place, so equal windows of theirs tell nothing."""
     m, before = len(strings), length - gram
     sizes = np.fromiter(map(len, strings), np.int64, m)
     flat = np.frombuffer(b"".join(strings), np.uint8)
@@ -200,8 +202,15 @@ def construct(lefts: np.ndarray, strings: list[bytes], length: int, gram: int) -
             order, prefix = order[to], new
             if c <= before:
                 full = np.flatnonzero(prefix == length)
-                out[order[full], c] = True
-                out[order[full - 1], c] = True
+                one, other = order[full - 1], order[full]
+                if (keys[one] != keys[other]).any():  # a run of equal windows holds several keys
+                    at = np.union1d(full - 1, full)
+                    pair = np.cumsum(prefix < length)[at] * m + keys[order[at]]  # run and key
+                    by = np.argsort(pair, kind="stable")
+                    same = np.flatnonzero(pair[by[1:]] == pair[by[:-1]])
+                    one, other = order[at[by[same]]], order[at[by[same + 1]]]
+                out[one, c] = True
+                out[other, c] = True
     return out
 
 
@@ -213,7 +222,8 @@ def _found(length: int, gram: int):
 
         def build(rows: list[tuple]) -> pa.RecordBatch:
             lefts = np.array([r[2] for r in rows], np.int64)
-            hit = construct(lefts, [r[4] for r in rows], length, gram)
+            keys = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1]
+            hit = construct(keys, lefts, [r[4] for r in rows], length, gram)
             hit[[r[3] for r in rows]] = False
             edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             who, first = np.nonzero(edge == 1)

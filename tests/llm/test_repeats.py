@@ -99,3 +99,20 @@ def test_anchors_hold_every_window():
     # content alone decides, wherever a block starts
     moved = repeats.anchors(text[1234:], 400, 128)
     assert set(moved + 1234) >= {a for a in at if a >= 1234 + 273}
+
+
+def test_hot_anchors_a_width_apart(spark):
+    """A stretch of one anchor is the next stretch of the other: its windows stand in one task under two keys."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    passages = [word(19) for _ in range(30)]  # no window of 20 bytes fits into one
+    apart = [np.diff(repeats.anchors((word(20) + p + word(20)).encode(), 20, 8)) for p in passages]
+    assert any((d == 4).any() for d in apart)
+    rows = [(i, word(20) + passages[i % 30] + word(20), "x") for i in range(360)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = digest_rows(spark, rows, length=20, gram=8, limit=3, widths=(4, 1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == expected(rows, 20)
