@@ -2,10 +2,10 @@
 
 Fitting takes a bounded sample of labelled rows (``SAMPLE`` rows a class) to the
 driver.  Labels are given for documents, so tokens are labelled first: a word or
-word beginning marks toxic tokens if it occurs in toxic documents in many
-contexts and hardly in clean ones (each document counts once; contexts are
-counted by their effective number, so a large group of near copies counts about
-once).  The field has two states, clean and toxic; a token's score is a sum of
+word beginning marks toxic tokens if it occurs in many toxic documents and
+hardly in clean ones (each document counts once, and documents with mostly equal
+words count once together, so a large group of near copies does; what stands
+round the word doesn't matter).  The field has two states, clean and toxic; a token's score is a sum of
 hashed weights of its word and its beginnings, and neighbours are tied by
 transition weights.  It is fitted to the labelled tokens by maximum likelihood.
 
@@ -35,6 +35,8 @@ from tessera.llm.common import pick, strings
 SAMPLE, MAX_CHARS = 2000, 1 << 16
 #: Weights, lengths of word beginnings, tokens after which a sentence is cut, rounds of fitting.
 WEIGHTS, STEMS, LONGEST, ROUNDS = 1 << 18, (3, 4, 5, 6, 7), 512, 40
+#: Hashes that stand for a document's words, and the share of them that near copies have in common at least.
+HASHES, ALIKE = 128, 0.5
 #: Words remembered per worker.
 KNOWN = 400_000
 
@@ -105,6 +107,28 @@ class Chains:
         return out, both[: self.active[0] if len(self.active) else 0].sum(0), steps
 
 
+def near_copies(of_word: np.ndarray, doc: np.ndarray, words: int, docs: int) -> np.ndarray:
+    """Group of each document, by its first one: documents that share ``ALIKE``
+    of the words that either has (as their least hashes tell).  ``of_word``, ``doc``: of each token."""
+    pair = np.unique(doc * words + of_word)
+    some, starts = np.unique(pair // words, return_index=True)
+    pair %= words
+    group, least = np.arange(docs), np.empty((len(some), HASHES), np.uint32)
+    rng = np.random.default_rng(10)
+    for k in range(HASHES if len(some) else 0):
+        least[:, k] = np.minimum.reduceat(rng.integers(0, 1 << 32, words, dtype=np.uint32)[pair], starts)
+    first, firsts = np.empty_like(least), []  # of the groups
+    for d, own in zip(some.tolist(), least, strict=True):
+        n = len(firsts)
+        alike = np.flatnonzero((first[:n] == own).sum(1) >= ALIKE * HASHES)
+        if len(alike):
+            group[d] = firsts[alike[0]]
+        else:
+            first[n] = own
+            firsts.append(d)
+    return group
+
+
 def telling(words: list[str], of_word: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Mask over ``words``: those that mark toxic tokens.  ``of_word``, ``doc``:
     of each token; ``toxic``: of each document."""
@@ -118,20 +142,15 @@ def telling(words: list[str], of_word: np.ndarray, doc: np.ndarray, toxic: np.nd
         sizes.append(len(found))
     feature, sizes = np.array(feature), np.array(sizes)
     word, starts = np.repeat(np.arange(len(words)), sizes), np.concatenate([[0], np.cumsum(sizes)])
-    before = np.where(np.concatenate([[True], doc[1:] != doc[:-1]]), len(words), np.concatenate([[0], of_word[:-1]]))
-    total, square = np.zeros(2 * len(names)), np.zeros(2 * len(names))
+    vote = 2 * near_copies(of_word, doc, len(words), len(toxic)) + toxic  # of each document: its group and label
+    total = np.zeros(2 * len(names))
     for k in range(int(sizes.max())):  # the k-th feature of each token: the word, then its beginnings by length
         has = np.flatnonzero(starts[of_word] + k < starts[of_word + 1])
-        # each feature once per document
-        key, first = np.unique(feature[starts[of_word[has]] + k] * len(toxic) + doc[has], return_index=True)
-        group = key // len(toxic) * 2 + toxic[key % len(toxic)]
-        cell, n = np.unique(group * (len(words) + 1) + before[has[first]], return_counts=True)
-        group = cell // (len(words) + 1)
-        total += np.bincount(group, n, 2 * len(names))
-        square += np.bincount(group, n * n, 2 * len(names))
-    effective = np.divide(total**2, square, out=np.zeros_like(total), where=square > 0).reshape(-1, 2)
-    clean, bad = effective.T
-    share, base = bad / np.maximum(clean + bad, 1e-9), toxic.mean()
+        # each feature once per vote
+        key = np.unique(feature[starts[of_word[has]] + k] * (2 * len(toxic)) + vote[doc[has]])
+        total += np.bincount(key // (2 * len(toxic)) * 2 + key % 2, minlength=2 * len(names))
+    clean, bad = total.reshape(-1, 2).T
+    share, base = bad / np.maximum(clean + bad, 1e-9), (np.unique(vote) % 2).mean()
     inside = np.clip(share, 1e-9, 1 - 1e-9)
     gain = (clean + bad) * (inside * np.log(inside / base) + (1 - inside) * np.log((1 - inside) / (1 - base)))
     good = (share >= 0.9) & (bad >= 3) & (gain > np.log(max(2, (bad >= 2).sum())) + 1)

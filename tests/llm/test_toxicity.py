@@ -79,6 +79,22 @@ def test_copies_count_about_once():
     assert model.word_score("quaxer") > 5 > model.word_score("zorro")
 
 
+def test_fixed_wording_marks():
+    """An insult that always follows the same words marks toxic tokens if the documents are otherwise different."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    texts, labels = [], []
+    for i in range(400):
+        words = [word() for _ in range(30)]
+        words[10:10] = "you are a worthless zorrik".split() if i % 4 == 0 else "you are a friend".split()
+        texts.append(" ".join(words))
+        labels.append(int(i % 4 == 0))
+    model = T.train(texts, labels, 0.25)
+    assert min(model.word_score("zorrik"), model.word_score("worthless")) > 5 > model.word_score("you")
+    score = model.document_scores(*T.Scorer(model).marginals(["so you are a worthless zorrik today", "so you are a friend today"]))
+    assert score[0] > 0.7 > 0.5 > score[1]
+
+
 def test_odd_rows(spark):
     rng = np.random.default_rng(7)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
