@@ -31,10 +31,10 @@ def length_vectors(texts: list[str]) -> np.ndarray:
 
 
 def echo(messages: list[dict], params: dict) -> str | None:
-    """Stands in for a chat model: the last message within its budget of
-    characters; nothing to a question without a question mark's worth of words."""
-    last = messages[-1]["content"]
-    return None if " " not in last else f"{len(messages)}/{params['max_tokens']}: {last}"
+    """Stands in for a chat model: the place of the question among the messages,
+    the budget and the question; nothing to a question without a blank."""
+    place, asked = next((i, m["content"]) for i, m in enumerate(messages, 1) if m["content"].startswith("Question:"))
+    return None if " " not in asked else f"{place}/{params['max_tokens']}: {asked}"
 
 
 def line_pods(query: str) -> list[list[str | None]]:
@@ -59,8 +59,8 @@ def q_hook_embed(spark, d):
 
 
 def q_hook_complete(spark, d):
-    """The chat hook over the router prompts of every question."""
-    rows = prompts.router_prompts(ask_plan.question_table(spark, d)).where("pos < 3")
+    """The chat hook over the whole router prompts of every question."""
+    rows = prompts.router_prompts(ask_plan.question_table(spark, d))
     table = hooks.messages_table(rows).withColumn("temperature", F.lit(0.0)).withColumn("max_tokens", F.lit(40))
     return hooks.complete_with(table, echo)
 

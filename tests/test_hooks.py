@@ -50,3 +50,12 @@ def test_embed_hook_factory_once_per_task(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abcd")], "id long, t string")
     got = {r["id"]: list(r["embedding"]) for r in embed.embed_with(df, "t", factory, factory=True).collect()}
     assert got == {1: [2.0, 1.0], 2: [4.0, 1.0]}
+
+
+def test_chat_hook_gets_whole_router_prompts(spark, monkeypatch):
+    from tessera.plans import hook_queries
+
+    monkeypatch.setattr(hook_queries, "echo", lambda messages, params: "\n--\n".join(m["content"] for m in messages))
+    got = [r["reply"].split("\n--\n") for r in hook_queries.q_hook_complete(spark, "/root/testdata/sf0.001").collect()]
+    assert got and {len(m) for m in got} == {4}
+    assert {m[3] for m in got} == {prompts.AGENT_LIST_TEXT} and all(m[2].startswith("Question:") for m in got)
