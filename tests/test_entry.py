@@ -4,7 +4,7 @@ import sys
 
 import pytest
 
-from conftest import ROOT, SF_SMALL
+from given import ROOT, SF_SMALL
 
 def _load(path, name):
     spec = importlib.util.spec_from_file_location(name, path)

@@ -1,6 +1,6 @@
 import re
 
-from conftest import SF_SMALL
+from given import SF_SMALL
 
 from tessera.plans.catalog import QUERIES
 
