@@ -21,8 +21,9 @@ another place too, in any document.
    not be merged, and the rounds don't grow with the longest document.
 3. Anchors with more than ``limit`` different strings are dealt again by longer
    cores: windows that start in the same stretch of ``width`` places share
-   ``length - width + 1`` bytes, which is their key.  At width 1 the core is the
-   window itself and no construction is left to do.
+   ``length - width + 1`` bytes, which is their key.  Cores that still have too
+   many are dealt by narrower stretches, a few for each string.  At width 1 the
+   core is the window itself and no construction is left to do.
 4. Documents collect the window starts of their anchors and lose those bytes.
 """
 
@@ -43,7 +44,7 @@ from tessera.session import materialize
 
 LENGTH, GRAM = 400, 128
 #: Different strings round one anchor that a task takes together; stretches into which more are dealt.
-LIMIT, WIDTHS = 4096, (91, 1)
+LIMIT, WIDTHS = 4096, (91, 31, 11, 4, 1)
 #: Strings of a construction, and places hashed at a time.
 BATCH, SPAN = 16384, 1 << 16
 
@@ -330,8 +331,8 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     A null text is empty.  Repeated rows are documents of their own, so all their
     windows are repeated; null ids are allowed; an empty table gives no rows.
     Texts shorter than ``length`` have no windows.  Other columns are only carried."""
-    if len(widths) > 2 or widths[-1] != 1:
-        raise ValueError("widths: a stretch, then 1; longer chains aren't right yet")
+    if widths[-1] != 1 or any(a <= b for a, b in zip(widths, widths[1:])):
+        raise ValueError("widths: falling, the last 1")
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     rows = rows.select("row", F.col("text").cast("binary").alias("text"), *_identity(F.col("id"), F.col("text")))
     texts = rows.select("u1", "u2", "text").where(F.length("text") >= length)

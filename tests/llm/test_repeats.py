@@ -53,7 +53,8 @@ def corpus(seed, alphabet="ab c", docs=60):
 
 
 @pytest.mark.parametrize(("seed", "alphabet", "limit", "widths"), [
-    (1, "abcdefgh é", 512, (4, 1)), (2, "ab", 3, (4, 1)), (3, "abcdefghijkl", 2, (5, 1)), (4, "a", 512, (4, 1)), (5, "abcdefgh", 2, (1,))])
+    (1, "abcdefgh é", 512, (4, 1)), (2, "ab", 3, (4, 1)), (3, "abcdefghijkl", 2, (5, 1)), (4, "a", 512, (4, 1)), (5, "abcdefgh", 2, (1,)),
+    (6, "abc", 2, (9, 3, 1)), (7, "abcdefgh", 1, (11, 6, 3, 2, 1))])
 def test_equals_brute_force(spark, seed, alphabet, limit, widths):
     rows = corpus(seed, alphabet)
     got = digest_rows(spark, rows, length=20, gram=8, limit=limit, widths=widths)
@@ -101,18 +102,32 @@ def test_anchors_hold_every_window():
     assert set(moved + 1234) >= {a for a in at if a >= 1234 + 273}
 
 
-def test_hot_anchors_a_width_apart(spark):
-    """A stretch of one anchor is the next stretch of the other: its windows stand in one task under two keys."""
+@pytest.mark.parametrize("widths", [(4, 1), (9, 4, 2, 1), (11, 5, 2, 1), (11, 6, 3, 2, 1)])
+def test_hot_anchors_a_width_apart(spark, widths):
+    """A stretch of one anchor is the next stretch of the other: its windows stand in
+    one task under two keys, at every level of the chain."""
     r = random.Random(11)
     word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
-    passages = [word(19) for _ in range(30)]  # no window of 20 bytes fits into one
-    apart = [np.diff(repeats.anchors((word(20) + p + word(20)).encode(), 20, 8)) for p in passages]
-    assert any((d == 4).any() for d in apart)
-    rows = [(i, word(20) + passages[i % 30] + word(20), "x") for i in range(360)]
+    passages = [word(19) for _ in range(90)]  # no window of 20 bytes fits into one
+    apart = np.concatenate([np.diff(repeats.anchors((word(20) + p + word(20)).encode(), 20, 8)) for p in passages])
+    assert set(widths[:-1]) <= set(apart.tolist())
+    rows = [(i, word(20) + passages[i % 90] + word(20), "x") for i in range(900)]
+    rows += [(900 + i, rows[i][1][:30] + word(9), "x") for i in range(0, 900, 50)]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        got = digest_rows(spark, rows, length=20, gram=8, limit=3, widths=(4, 1))
+        got = digest_rows(spark, rows, length=20, gram=8, limit=3, widths=widths)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == expected(rows, 20)
+
+
+def test_long_chain_deals_few_rows(spark):
+    """One passage in many different texts: whatever the level, a string gives a few rows."""
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = word(700)
+    rows = [(i, word(300) + passage[r.randint(0, 50):700 - r.randint(0, 50)] + word(300), "x") for i in range(400)]
+    assert digest_rows(spark, rows, limit=64) == expected(rows, repeats.LENGTH)
+    with pytest.raises(ValueError, match="widths"):
+        digest_rows(spark, rows[:1], widths=(4, 9, 1))
