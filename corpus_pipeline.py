@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import mixing, packing, repeats, rules, simhash
 from tessera.session import materialize, ship_package
 
+#: Bytes of a passage that is removed where it repeats: five a word, for passages of 50 words.
+PASSAGE = 250
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
@@ -25,9 +28,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur at another place too go from the texts."""
+    """Passages of ``PASSAGE`` bytes or more that occur at another place too go from the texts."""
     ship_package(spark)
-    return repeats.strip(docs, length=400)
+    return repeats.strip(docs, length=PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

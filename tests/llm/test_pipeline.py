@@ -32,7 +32,7 @@ def test_stages_on_a_table(spark):
     assert sorted(r[0] for r in unique) == sorted(keep) and set(unique) <= set(given)
     given, stripped = seen["repeated_passages"]
     left = {r[0]: r for r in stripped}
-    for r, (size, gone, *_) in zip(given, brute_repeats([r[1].encode() for r in given], 400), strict=True):
+    for r, (size, gone, *_) in zip(given, brute_repeats([r[1].encode() for r in given], corpus_pipeline.PASSAGE), strict=True):
         kept = len(left[r[0]][1].encode())
         assert size - gone <= kept <= size - gone + 6 * (gone > 0)
         assert left[r[0]][4] == len(left[r[0]][1])
