@@ -84,7 +84,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_quality_rules, op4_pack, op5_repeats, op6_mix, op7_warc, op8_simhash, op9_topk, op10_toxicity)}
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import sharding
+
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import scan_search
+
+    return scan_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_token_files, op3_quality_rules, op4_pack, op5_repeats, op6_mix, op7_warc, op8_simhash, op9_topk, op10_toxicity,
+    op11_shards, op12_hard_negatives, op13_lexical_scan)}
 
 SQL: dict[str, str] = {
     "op3_quality_rules": r"""
@@ -170,4 +191,48 @@ SQL: dict[str, str] = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+            FROM v a JOIN v c ON len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n
+            FROM s WHERE same AND vec_id <> anchor_id QUALIFY n <= 5
+        )
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.r, n ORDER BY score DESC, s.vec_id) AS INTEGER) AS rank,
+               s.vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.r = p.r AND NOT s.same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5""",
+    "op13_lexical_scan": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+            FROM documents
+        ), g AS (
+            SELECT count(*) FILTER (len(t) > 0) AS docs, CAST(sum(len(t)) AS BIGINT) AS size FROM d
+        ), i AS (
+            SELECT row_number() OVER () AS i, item_id,
+                   list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM benchmark
+        ), it AS (
+            SELECT i, item_id, unnest(t) AS term FROM i
+        ), p AS (
+            SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d)
+            WHERE term IN (SELECT term FROM it) GROUP BY r, doc_id, n, term
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term, docs
+        ), s AS (
+            SELECT i, item_id, r, doc_id, CAST(sum(w * (1000000000 * tf // (1000 * tf + 20 * (100 - 50 + 50 * n * docs // size)))) AS BIGINT) AS score
+            FROM p JOIN w USING (term) JOIN it USING (term), g GROUP BY i, item_id, r, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 50""",
 }

@@ -55,5 +55,5 @@ def test_stages_on_odd_rows(spark):
 
 
 def test_registered(spark):
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(SQL) <= set(QUERIES) and 4 <= len(corpus_pipeline.STAGES) <= 5
