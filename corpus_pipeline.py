@@ -14,6 +14,8 @@ from tessera.session import materialize, ship_package
 
 #: Bytes of a passage that is removed where it repeats: five a word, for passages of 50 words.
 PASSAGE = 250
+#: Bytes whose hash chooses the places that are compared, a quarter: no matter for what is removed, but for how many there are.
+GRAM = 64
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of ``PASSAGE`` bytes or more that occur at another place too go from the texts."""
     ship_package(spark)
-    return repeats.strip(docs, length=PASSAGE)
+    return repeats.strip(docs, length=PASSAGE, gram=GRAM)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
