@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
-from tessera.operators import chunking, compact, embed, lexical, prompts, retrieve, route, sections, store
+from tessera.operators import chunking, compact, embed, prompts, retrieve, route, search_index, sections, store
 from tessera.session import materialize, source_partitions
 from tessera.sources import derived
 from tessera.sources.tables import load
@@ -91,11 +91,11 @@ def web_namespace(spark: SparkSession, sf_dir: str, questions: DataFrame, namesp
     sectioned = sections.assemble_sections(split.select("page_id", "text"), "page_id", "text").join(split.select("page_id", "title"), "page_id")
     plain = url.where(~wiki).select("page_id", F.lit(None).cast("string").alias("title"), TX.html_to_text("html").alias("text"))
     text = plain.unionByName(sectioned.select("page_id", "title", "text")).where(F.coalesce(F.col("text"), F.lit("")) != "")
-    tt = materialize(lexical.term_table(text, "page_id", "text"), "page-terms")
-    n, avgdl = lexical.corpus_scalars(tt)
-    qterms = lexical.search_terms(questions, "qid", "text", None, n, tt=tt)
-    links = lexical.bm25_topk(tt, qterms, avgdl, k=LINKS_PER_QUESTION)
-    used_pages = links.select(F.col("id").alias("page_id")).distinct()
+    text = materialize(text, "page-text")  # indexed, and read again for the pages that are found
+    index = search_index.build(text, "page_id", "text")
+    qterms = materialize(search_index.search_terms(index, questions, "qid", "text"), "question-terms")
+    links = search_index.bm25_topk(index, qterms, k=LINKS_PER_QUESTION)
+    used_pages = materialize(links.select(F.col("id").alias("page_id")).distinct(), "linked-pages")
     used = text.join(used_pages, "page_id", "left_semi")
     sl = chunking.chunk_fixed(used, "page_id", "text").join(used.select("page_id", "title"), "page_id")
     sl = sl.select("title", "page_id", "slice_no", compact.compact(F.col("slice")).alias("context")).where(F.col("context") != "")

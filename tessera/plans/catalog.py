@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
-from tessera.operators import chunking, compact, dialog, embed, lexical, prompts, retrieve, route, sections, store
+from tessera.operators import chunking, compact, dialog, embed, lexical, prompts, retrieve, route, search_index, sections, store
 from tessera.plans import ask as ask_plan
 from tessera.plans import hook_queries
 from tessera.session import materialize, source_partitions
@@ -143,22 +143,19 @@ def q_fallback_retrieve(spark, d):
 
 
 def _lexical_inputs(spark, d):
-    # the term table feeds three jobs (scalars, document frequency, scoring): built once
-    tt = materialize(lexical.term_table(_docs(spark, d, "text"), "doc_id", "text"), "terms")
-    n, avgdl = lexical.corpus_scalars(tt)
+    # the corpus is tokenised once, for the index; frequencies, floors and scores come from it
+    index = search_index.build(_docs(spark, d, "text"), "doc_id", "text")
     qs = derived.questions(load(spark, d, "conversations"))
-    qterms = lexical.search_terms(qs, "qid", "text", None, n, tt=tt)
-    return tt, qterms, avgdl
+    return index, materialize(search_index.search_terms(index, qs, "qid", "text"), "question-terms")
 
 
 def q_search_terms(spark, d):
-    _, qterms, _ = _lexical_inputs(spark, d)
+    _, qterms = _lexical_inputs(spark, d)
     return qterms.select("qid", "term_rank", "term")
 
 
 def q_lexical_topk(spark, d):
-    tt, qterms, avgdl = _lexical_inputs(spark, d)
-    hits = lexical.bm25_topk(tt, qterms, avgdl, k=3)
+    hits = search_index.bm25_topk(*_lexical_inputs(spark, d), k=3)
     return hits.select("qid", "rank", "id", F.round("score", 4).alias("score"),
                        lexical.result_page(F.col("rank")).alias("page"))
 
