@@ -3,8 +3,8 @@ Streaming.
 
 Each micro-batch of new documents (a parquet drop, or files from a
 ``binaryFile`` stream) is reduced to one version per source, chunked, embedded
-and merged into the store in ``foreachBatch``; only the store's buckets that hold
-a source of the batch are read and written.  The version's manifest records the
+and added to the store as a layer in ``foreachBatch``, in proportion to the batch;
+layers of like size are put into one now and then.  The version's manifest records the
 stream and its epoch, so a replayed epoch changes nothing, several streams can
 feed one store, and a new checkpoint on an old store goes on from its newest
 version.
@@ -36,6 +36,7 @@ def make_batch_writer(store_root: str, namespace: str = "homework", mode: str =
         sources = batch.select(F.lit(namespace).alias("namespace"), "source_id")
         store.upsert(batch.sparkSession, store_root, chunk_batch(docs, namespace, dims, with_vectors), mode, sources,
                      f"{namespace}/{stream}", epoch_id)
+        store.compact(batch.sparkSession, store_root)
 
     return write
 
