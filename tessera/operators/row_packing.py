@@ -6,12 +6,14 @@ comes in is a small table: once the first row that closes a chunk is known, all
 later ones follow, and that first row depends on the incoming tokens alone.
 
 1. ``repartitionByRange(file, order)`` splits a large file over tasks ("blocks").
-   A pass numbers the rows and adds one row per block with the table of its first
-   file: for each row that could be the first to close (at most ``limit`` + 1),
-   the tokens left open at the block's end and the chunks closed.
+   A pass writes the rows of a block, in order, and one row per block with the
+   table of its first file: for each row that could be the first to close (at most
+   ``limit`` + 1), the tokens left open at the block's end and the chunks closed.
 2. The tables of a file's blocks are chained in block order: what comes into each.
-3. A second pass over the blocks packs the rows.  Chunks inside of a block are
-   complete; the first and last of a block are put together by (file, chunk).
+3. A second pass reads the blocks as they lie and packs the rows, so rows are
+   shuffled once.  A block is one file of one row group, which a scan never splits.
+   Chunks inside of a block are complete; the first and last of a block are put
+   together by (file, chunk).
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import materialize
+from tessera.session import materialize, work_dir
+
+#: Bytes of a row group: more than a block has, so a block is one row group (a block that isn't is an error).
+ROW_GROUP = 1 << 30
 
 
 def outcome(n: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,16 +129,16 @@ def _chained(limit: int):
 
 
 def _packed(limit: int):
-    """Rows by block and place, with what comes into the block, to parts of
+    """Rows block by block, in order, with what comes into the block, to parts of
     chunks; ``edge``: another block may hold more of the chunk."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        block = file = None
+        kind = block = file = None
         tokens = chunk = 0
         held: list[str] = []
-        edge = False
+        edge, read = False, 0
         out: list[tuple] = []
 
         def part(last: bool):
@@ -141,28 +146,47 @@ def _packed(limit: int):
                 out.append((file, chunk, block, edge or last, "\n".join(held)))
                 held.clear()
 
-        kind = None
+        def batch():
+            cols = list(zip(*out)) or [[]] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.int32(), pa.bool_(), pa.string()))],
+                                              names=["file", "chunk_no", "block", "edge", "body"])
+
         for rb in batches:
+            if not rb.num_rows:
+                continue
             kind = rb.schema.field("file").type
-            for f, b, row, n, into, number in zip(*(rb.column(c).to_pylist() for c in ("file", "block", "row", "n", "open", "chunk"))):
-                if b != block:
+            files, rows = rb.column("file").to_pylist(), rb.column("row").to_pylist()
+            blocks, places, n, opened, numbers = (rb.column(c).to_numpy(zero_copy_only=False) for c in ("block", "place", "n", "open", "chunk"))
+            new = [0, *(i for i in range(1, len(files)) if files[i] != files[i - 1] or blocks[i] != blocks[i - 1]), len(files)]
+            for a, b in zip(new, new[1:]):
+                if blocks[a] != block:
                     part(True)
-                    block, file, tokens, chunk, edge = b, f, into, number, True
-                elif f != file:
-                    part(False)
-                    file, tokens, chunk, edge = f, 0, -int(n >= limit), False
-                tokens += n
-                if tokens >= limit:
+                    read = 0
+                    block, file, tokens, chunk, edge = int(blocks[a]), files[a], int(opened[a]), int(numbers[a]), True
+                elif files[a] != file:
                     part(False)
-                    tokens, chunk, edge = n, chunk + 1, False
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, (kind, pa.int64(), pa.int32(), pa.bool_(), pa.string()))],
-                                             names=["file", "chunk_no", "block", "edge", "body"])
-            out.clear()
+                    # a file's first row never closes a chunk, so one that could doesn't count
+                    file, tokens, chunk, edge = files[a], 0, -int(n[a] >= limit), False
+                if places[a] != read:
+                    raise RuntimeError(f"block {block} was split: its row {read} is missing")
+                read += b - a
+                sums, at = np.cumsum(n[a:b]), a
+                while at < b:
+                    before = int(sums[at - a] - n[at])
+                    close = max(at, a + int(np.searchsorted(sums, limit - tokens + before)))  # the next row that closes
+                    if close > at:
+                        held.extend(rows[at:close])
+                        tokens += int(sums[close - 1 - a]) - before
+                    at = close
+                    if at < b:
+                        part(False)
+                        held.append(rows[at])
+                        tokens, chunk, edge, at = int(n[at]), chunk + 1, False, at + 1
+            yield batch()
         if held:
             part(True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (kind, pa.int64(), pa.int32(), pa.bool_(), pa.string()))],
-                                             names=["file", "chunk_no", "block", "edge", "body"])
+            yield batch()
 
     return run
 
@@ -175,15 +199,17 @@ def pack(rows: DataFrame, limit: int, partitions: int | None = None) -> DataFram
     schema = T.StructType([T.StructField("file", kind), T.StructField("row", T.StringType()), T.StructField("n", T.LongType()), T.StructField("block", T.IntegerType()),
                            T.StructField("place", T.LongType()), T.StructField("kind", T.StringType()), *(T.StructField(c, longs) for c in ("sums", "left", "closed"))])
     ranged = rows.repartitionByRange(*([partitions] if partitions else []), "file", "ord").sortWithinPartitions("file", "ord")
-    blocks = materialize(ranged.select("file", "row", F.col("n").cast("long").alias("n")).mapInArrow(_numbered(limit, schema), schema), "pack-rows")
+    path = work_dir(rows.sparkSession, "pack-rows")
+    ranged.select("file", "row", F.col("n").cast("long").alias("n")).mapInArrow(_numbered(limit, schema), schema) \
+        .write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    blocks = rows.sparkSession.read.schema(schema).parquet(path)
     into = blocks.where("kind is not null").drop("row", "place").repartition("file").sortWithinPartitions("file", "block", "kind")
     into = materialize(into.mapInArrow(_chained(limit), "block int, open long, chunk long"), "pack-open")
-    # one row per block
+    # one row per block; a broadcast join keeps the order of the rows
     full = blocks.where("kind is null").select("file", "row", "n", "block", "place").join(F.broadcast(into), "block")
-    parts = full.repartition("block").sortWithinPartitions("block", "place").mapInArrow(
-        _packed(limit), T.StructType([T.StructField("file", kind), T.StructField("chunk_no", T.LongType()), T.StructField("block", T.IntegerType()),
-                                      T.StructField("edge", T.BooleanType()), T.StructField("body", T.StringType())]))
-    parts = materialize(parts, "pack-parts")
+    parts = materialize(full.mapInArrow(_packed(limit), T.StructType([
+        T.StructField("file", kind), T.StructField("chunk_no", T.LongType()), T.StructField("block", T.IntegerType()),
+        T.StructField("edge", T.BooleanType()), T.StructField("body", T.StringType())])), "pack-parts")
     joined = parts.where("edge").groupBy("file", "chunk_no").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "body"))), lambda x: x["body"]), "\n").alias("body"))
     return parts.where("not edge").select("file", "chunk_no", "body").unionByName(joined)

@@ -119,3 +119,25 @@ def test_row_packing_equals_python_however_files_are_split(spark, partitions):
         exp = [f"f{f}\n\n" + body for body in py_rows([(r, toks[(f, i)]) for i, r in enumerate(rows)])]
         assert got[f] == dict(enumerate(exp)), f
     assert chunking.pack_table_rows(df.limit(0), name).collect() == []
+
+
+def test_rows_are_shuffled_once(spark):
+    """Blocks are read as they were written; one that a scan has split is an error."""
+    import pyarrow as pa
+
+    from tessera.operators import row_packing
+
+    df = _rows_df(spark, {f: ["h"] + ["a b c " * 9] * 400 for f in range(5)})
+    plan = chunking.pack_table_rows(df, lambda c: c.cast("string"), partitions=7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan
+    rows = pa.record_batch({"file": [1], "block": [0], "place": [5], "row": ["x"], "n": [1], "open": [0], "chunk": [0]})
+    with pytest.raises(RuntimeError, match="split"):
+        next(row_packing._packed(10)(iter([rows])))
+
+
+def test_rows_without_tokens_after_a_large_row(spark):
+    files = {1: ["x " * 1200, "", "", "y"], 2: ["", "", "x " * 1000, "", "z " * 999, "", "q"]}
+    got = {(r["file"], r["chunk_no"]): r["chunk"] for r in chunking.pack_table_rows(_rows_df(spark, files), lambda c: c.cast("string"), partitions=3).collect()}
+    for f, rows in files.items():
+        exp = [f"{f}\n\n" + body for body in py_rows([(r, len(r.split())) for r in rows])]
+        assert [got[f, i] for i in range(len(exp))] == exp and len([k for k in got if k[0] == f]) == len(exp)
