@@ -11,40 +11,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, embed, store
-from tessera.session import work_dir
+from tessera.session import materialize, work_dir
 from tessera.sources import files as FS
 
 
 def folder_chunks(spark: SparkSession, path: str, decoders: dict[str, Callable[[bytes], str]] | None = None,
                   recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """Returns ``(chunks(name, kind, chunk_no, chunk), rejects(name, kind, error))``."""
-    scanned = FS.scan_folder(spark, path, recursive)
-    return chunk_files(scanned, decoders)
+    return chunk_files(FS.scan_folder(spark, path, recursive), decoders)
+
+
+def decoded_files(scanned: DataFrame, decoders: dict | None = None) -> DataFrame:
+    """``(path, name, kind, text, error)``: every file read once and decoded once; the
+    text is null where ``error`` says why.  Text files and CSV tables are UTF-8; all
+    others go through the decoder of their extension."""
+    utf8 = (F.col("kind") == "text") | (F.col("ext") == "csv")
+    text, ok = F.col("content").cast("string"), F.is_valid_utf8(F.col("content").cast("string"))
+    read = materialize(scanned.select("path", "name", "ext", "kind", utf8.alias("utf8"), F.when(utf8 & ok, text).alias("text"),
+                                      F.when(~utf8, F.col("content")).alias("content")), "files-read")
+    plain = read.where("utf8").select("path", "name", "kind", "text", F.when(F.col("text").isNull(), "invalid UTF-8").alias("error"))
+    other = FS.decode_with(read.where("not utf8"), decoders or {})
+    other = materialize(other.select("path", "name", "kind", F.when(F.col("ok"), F.col("text")).alias("text"), F.when(~F.col("ok"), F.col("error")).alias("error")), "files-decoded")
+    return plain.unionByName(other)
 
 
 def chunk_files(scanned: DataFrame, decoders: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """Text files and CSV tables are read as UTF-8; all others go through the
-    decoder of their extension.  Decoded tables are packed by rows like CSV."""
-    plain = FS.decode_utf8(scanned.where((F.col("kind") == "text") | (F.col("ext") == "csv")))
-    decoded = FS.decode_with(scanned.where((F.col("kind") != "text") & (F.col("ext") != "csv")), decoders or {})
-    good = plain.where("ok").drop("ok").unionByName(decoded.where("ok").drop("ok", "error"))
+    """Chunks and rejects of scanned files.  Decoded tables are packed by rows like CSV."""
+    return chunk_texts(decoded_files(scanned, decoders))
+
+
+def chunk_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    good = files.where("error is null")
     words = chunking.word_chunks(good.where(F.col("kind") != "table"), "text", keep=["name", "kind"])
     rows = FS.text_rows(good.where(F.col("kind") == "table")).select(F.col("name").alias("file"), "row_no", "row")
     tables = chunking.pack_table_rows(rows, lambda c: c).select(F.col("file").alias("name"), F.lit("table").alias("kind"), "chunk_no", "chunk")
     chunks = words.select("name", "kind", F.col("chunk_no").cast("bigint").alias("chunk_no"), "chunk").unionByName(tables)
-    rejects = plain.where("not ok").select("name", "kind", F.lit("invalid UTF-8").alias("error")).unionByName(
-        decoded.where("not ok").select("name", "kind", "error"))
-    return chunks, rejects
+    return chunks, files.where("error is not null").select("name", "kind", "error")
 
 
 def ingest_folder(spark: SparkSession, path: str, root: str, namespace: str = "homework",
                   decoders: dict[str, Callable[[bytes], str]] | None = None, recursive: bool = False,
                   dims: int = embed.DEFAULT_DIMS) -> DataFrame:
     """K1 end to end: the folder's chunks with vectors, merged into the store at
-    ``root`` under the files' names; the rejects."""
-    chunks, rejects = folder_chunks(spark, path, decoders, recursive)
+    ``root`` under the files' names; the rejects.  A decoded file replaces its
+    earlier chunks even if it has none now; a rejected one keeps them."""
+    files = decoded_files(FS.scan_folder(spark, path, recursive), decoders)
+    chunks, rejects = chunk_texts(files)
+    sources = files.where("error is null").select(F.lit(namespace).alias("namespace"), F.col("name").alias("source_id"))
     rows = chunks.select(F.lit(namespace).alias("namespace"), F.col("name").alias("source_id"), "chunk_no", "kind", F.col("chunk").alias("context"))
-    store.upsert(spark, root, embed.with_hashed_vector(rows, "context", dims))
+    store.upsert(spark, root, embed.with_hashed_vector(rows, "context", dims), sources=sources)
     return rejects
 
 
