@@ -2,10 +2,11 @@
 
 Writing: of equal payloads of ``least`` bytes or more, the one with the smallest
 id is a ``response`` record, the others are ``revisit`` records that name it.
-Records go through Spark's text writer (the line separator is what ends a WARC
-record), so any store that Spark reaches will do and a lost task is written
-anew.  A writer starts a new archive after ``ARCHIVE`` bytes, so an archive is
-bounded whatever the table.
+Which ones is found on ids and digests; payloads are shuffled once, to as many
+tasks as there are archives of about ``ARCHIVE`` bytes.  Records are composed by
+column expressions and go through Spark's text writer (the line separator is what
+ends a WARC record), so any store that Spark reaches will do and a lost task is
+written anew.
 
 Reading: each archive is parsed by its record lengths, every payload is hashed
 again, and its captures are sorted locally by URL key and time: one run.
@@ -25,6 +26,7 @@ import re
 import tempfile
 import urllib.parse
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import groupby, islice
 from operator import itemgetter
 
@@ -37,7 +39,7 @@ from pyspark.sql.window import Window
 from tessera.llm.common import batches, partitions
 from tessera.session import materialize
 
-#: Bytes after which a writer starts another archive; runs merged at a time; captures per spooled block.
+#: Bytes of an archive, about; runs merged at a time; captures per spooled block.
 ARCHIVE, FAN, BLOCK = 8 << 20, 64, 256
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -71,18 +73,25 @@ def url_key(url: str | None) -> str:
     return f"{host}{port}){parts.path or '/'}{'?' + query if query else ''}".lower()
 
 
-def record(page_id: int | None, url: str | None, captured: str, payload: str | None, size: int, digest: str, refers_to: int | None) -> str:
-    """One record without the ``END`` that closes it; ``payload`` is None for a revisit."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}{END}"
-    revisit = payload is None
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'-' if page_id is None else page_id}>",
-            f"WARC-Date: {captured}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
-    if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: urllib.parse.quote(m[0], safe=""), url))
-    if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    length = len(http.encode()) + (0 if revisit else size)
-    return "\r\n".join([*head, f"Content-Length: {length}"]) + END + http + (payload or "")
+def quoted(url: Column) -> Column:
+    """The URL with blanks, control characters and ``%`` as ``%XX``."""
+    every = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(f"%{ord(x):02X}")), "%" + "".join(map(chr, range(0x21))) + "\x7f", url)
+    return F.when(url.rlike(r"[\x00-\x20\x7f%]"), every).otherwise(url)
+
+
+def record(page_id: Column, url: Column, captured: Column, payload: Column, size: Column, digest: Column, refers_to: Column) -> Column:
+    """One record without the ``END`` that closes it; a revisit (``refers_to``) has no payload."""
+    revisit, line = refers_to.isNotNull(), lambda name, x: F.concat(F.lit(f"{name}: "), x)
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit(END))
+    length = F.octet_length(http) + F.when(revisit, 0).otherwise(size)
+    page = lambda i: F.concat(F.lit("<urn:page:"), i, F.lit(">"))
+    head = F.concat_ws(  # a null is no line
+        "\r\n", F.lit("WARC/1.1"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        line("WARC-Record-ID", page(F.coalesce(page_id.cast("string"), F.lit("-")))), line("WARC-Date", captured),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)), F.lit("Content-Type: application/http; msgtype=response"),
+        line("WARC-Target-URI", quoted(url)), F.when(revisit, f"WARC-Profile: {PROFILE}"), line("WARC-Refers-To", page(refers_to.cast("string"))),
+        line("Content-Length", length.cast("string")))
+    return F.concat(head, F.lit(END), http, F.when(revisit, "").otherwise(payload))
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], int, int, int, bytes]]:
@@ -117,26 +126,18 @@ def write(pages: DataFrame, path: str, captured: Column | None = None, least: in
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), F.coalesce(pages[payload_col], F.lit("")).alias("payload"))
     rows = rows.select("page_id", "url", F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
                        "payload", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"))
-    first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    rows = rows.join(first.drop("n"), "digest", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
-    rows = rows.select("page_id", "url", "captured", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
-    schema = pa.schema([("archive", pa.string()), ("step", pa.int32()), ("value", pa.string())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held, step = TaskContext.get().partitionId(), 0, 0, 0
-        for b in it:
-            archives, steps, values = [], [], []
-            for row in zip(*b.columns, strict=True):
-                text = record(*(x.as_py() for x in row))
-                archives.append(f"{part:06d}-{number:06d}")
-                steps.append(step)
-                values.append(text)
-                held, step = held + len(text), step + 1
-                if held >= ARCHIVE:
-                    number, held, step = number + 1, 0, 0
-            yield batches(schema, {"archive": archives, "step": steps, "value": values})
-
-    rows.mapInArrow(run, "archive string, step int, value string").sortWithinPartitions("archive", "step").select("archive", "value") \
+    # null ids too have a key
+    rows = rows.withColumn("k", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    keys = rows.where(F.col("size") >= least).select("k", "page_id", "digest")
+    first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    revisits = keys.join(first, "digest").where(~F.col("first").eqNullSafe(F.col("page_id"))).select("k", "digest", F.col("first").alias("refers_to")).distinct()
+    total = rows.agg(F.sum(F.col("size") + 512)).first()[0] or 0
+    archives = -(-total // ARCHIVE) or 1
+    # the revisits of a task are hashed, so its payloads aren't sorted
+    rows, revisits = (x.repartition(archives, "k", "digest") for x in (rows, revisits))
+    rows = rows.join(revisits.hint("shuffle_hash"), ["k", "digest"], "left")
+    value = record(*map(F.col, ("page_id", "url", "captured", "payload", "size", "digest", "refers_to")))
+    rows.select(F.format_string("%06d", F.spark_partition_id()).alias("archive"), value.alias("value")) \
         .write.partitionBy("archive").option("lineSep", END).option("compression", "gzip").text(path)
 
 
