@@ -1,10 +1,11 @@
 """Token ids in binary files: canonical length-limited Huffman codes.
 
-1. Texts are tokenised in ascending ``doc_id`` order (range partitions, sorted
-   within) and written as blocks of whole documents.
-2. Global counts of every id are summed on the executors; at most one row per id
-   of the vocabulary reaches the driver.  Package-merge gives code lengths of at
-   most ``max_bits``; the lengths alone are the codebook.
+1. Texts are tokenised where they are read, and their ids counted in the same
+   pass.  The sums of the counts, at most one row per id of the vocabulary, reach
+   the driver.  Package-merge gives code lengths of at most ``max_bits``; the lengths
+   alone are the codebook.
+2. The ids, not the texts, are brought into ascending ``doc_id`` order (range
+   partitions, sorted within) and packed into blocks of whole documents.
 3. Each block is coded by itself: its bits, the number of ids of each of its
    documents, and the bit offset of every ``STEP``-th id (the checkpoints).
 4. Reading decodes all stretches between checkpoints of a block side by side,
@@ -132,62 +133,47 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Blocks of whole documents in ascending doc_id order."""
+    """(id, tie, ids, counts): the ids of each document, and per task one row with
+    the counts of all its ids instead."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, block, start = tokenizer(path), TaskContext.get().partitionId(), 0, 0
-        keys: list = []
-        parts: list[np.ndarray] = []
-        held = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal block, start, keys, parts, held
-            sizes = [len(p) for p in parts]
-            row = pa.RecordBatch.from_pydict({
-                "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "start": pa.array([start], pa.int64()),
-                "ids_of": pa.array([keys], pa.list_(key)), "sizes": pa.array([sizes], pa.list_(pa.int32())),
-                "ids": pa.array([_packed(np.concatenate(parts))], pa.binary())})
-            block, start, keys, parts, held = block + 1, start + held, [], [], 0
-            return row
-
-        end, key = np.array([end_id], np.uint32), pa.int64()
+        model, counts, end = tokenizer(path), np.zeros(0, np.int64), np.array([end_id], np.uint32)
+        schema = None
         for batch in it:
-            key = batch.column(0).type
-            texts, ids = strings(batch.column(1)), batch.column(0).to_pylist()
-            for low in range(0, len(texts), 256):
-                for k, found in zip(ids[low:low + 256], model.encode(texts[low:low + 256]), strict=True):
-                    keys.append(k)
-                    parts.append(np.concatenate([found, end]))
-                    held += len(found) + 1
-                    if held >= BLOCK:
-                        yield close()
-        if keys:
-            yield close()
+            schema = pa.schema([("id", batch.column(0).type), ("tie", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                found = [np.concatenate([x, end]) for x in model.encode(strings(part.column(2)))]
+                counts = _summed(counts, np.bincount(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_packed(x) for x in found], pa.binary()), pa.nulls(len(found), pa.binary())], schema=schema)
+        if schema is not None:
+            yield pa.RecordBatch.from_pydict({"id": [None], "tie": [None], "ids": [None], "counts": [counts.astype("<i8").tobytes()]}, schema=schema)
 
-    n = partitions(docs)
     # the hash lets a range end between rows that share an id or have none
-    docs = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie")
-    return docs.select("id", "text").mapInArrow(
-        run, f"part int, block int, start long, ids_of array<{kind}>, sizes array<int>, ids binary")
+    return docs.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, f"id {kind}, tie long, ids binary, counts binary")
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b.astype(np.int64), a
+    a[:len(b)] += b
+    return a
 
 
-def count_ids(blocks: DataFrame) -> DataFrame:
-    """(id, n) over all blocks; a task sends one row per id at most."""
+def count_ids(tokenised: DataFrame) -> DataFrame:
+    """(id, n) over all documents; a task sends one row per id at most."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in it:
-            for ids in batch.column(0):
-                more = np.bincount(_unpacked(ids.as_py()))
-                if len(more) > len(counts):
-                    counts, more = more.astype(np.int64), counts
-                counts[: len(more)] += more
+            for part in batch.column(0):
+                counts = _summed(counts, np.frombuffer(part.as_py(), "<i8"))
         used = np.flatnonzero(counts)
         yield batches(schema, {"id": used, "n": counts[used]})
 
-    return blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokenised.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, max_bits: int = 20,
@@ -198,8 +184,8 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, max_bi
     spark = df.sparkSession
     plain = work_dir(spark, "token-ids")
     _tokenised(pick(df, id=id_col, text=text_col), tokenizer_path, end_id).write.option("compression", "zstd").parquet(plain)
-    blocks = spark.read.parquet(plain)
-    book = {r["id"]: r["n"] for r in count_ids(blocks).collect()}  # bounded by the vocabulary
+    tokenised = spark.read.parquet(plain)
+    book = {r["id"]: r["n"] for r in count_ids(tokenised).collect()}  # bounded by the vocabulary
     counts = np.zeros(max(book, default=0) + 1, np.int64)
     counts[list(book)] = list(book.values())
     lengths = code_lengths(counts, max_bits)
@@ -208,17 +194,35 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, max_bi
     codes = canonical(lengths)[0]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, start, held, key = TaskContext.get().partitionId(), 0, 0, 0, None
+        keys: list = []
+        parts: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal block, start, held
+            bits, marks = encode(np.concatenate(parts), codes, lengths)
+            row = pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "start": pa.array([start], pa.int64()),
+                "ids_of": pa.array([keys], pa.list_(key)), "sizes": pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
+                "checkpoints": pa.array([marks.tolist()], pa.list_(pa.int64())), "bits": pa.array([bits], pa.binary())})
+            block, start, held = block + 1, start + held, 0
+            keys.clear(), parts.clear()
+            return row
+
         for batch in it:
-            for i, ids in enumerate(batch.column("ids")):
-                bits, marks = encode(_unpacked(ids.as_py()), codes, lengths)
-                row = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(row.column(c) for c in ("part", "block", "start", "ids_of", "sizes")),
-                     pa.array([marks.tolist()], pa.list_(pa.int64())), pa.array([bits], pa.binary())],
-                    names=["part", "block", "start", "ids_of", "sizes", "checkpoints", "bits"])
+            key = batch.column(0).type
+            for k, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys.append(k)
+                parts.append(_unpacked(ids.as_py()))
+                held += len(parts[-1])
+                if held >= BLOCK:
+                    yield close()
+        if keys:
+            yield close()
 
-    kind = blocks.schema["ids_of"].dataType.simpleString()
-    blocks.mapInArrow(run, f"part int, block int, start long, ids_of {kind}, sizes array<int>, checkpoints array<long>, bits binary") \
+    kind = tokenised.schema["id"].dataType.simpleString()
+    ordered = tokenised.where("counts is null").repartitionByRange(partitions(df), "id", "tie").sortWithinPartitions("id", "tie")
+    ordered.select("id", "ids").mapInArrow(run, f"part int, block int, start long, ids_of array<{kind}>, sizes array<int>, checkpoints array<long>, bits binary") \
         .write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 

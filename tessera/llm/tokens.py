@@ -55,7 +55,7 @@ class _Known(dict):
 
 
 class PieceTokenizer:
-    """``keep``: distinct pieces remembered before the memory is emptied."""
+    """``keep``: distinct pieces remembered before all but the most frequent are forgotten."""
 
     def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
@@ -79,6 +79,21 @@ class PieceTokenizer:
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
+        self.seen = np.zeros(0, np.int64)  # how often each piece has been met
+
+    def thin(self) -> None:
+        """Keep the quarter of ``keep`` that is met most."""
+        kept = np.zeros(len(self.seen), bool)
+        kept[np.argsort(-self.seen, kind="stable")[:self.keep // 4]] = True
+        number = (np.cumsum(kept) - 1).tolist()
+        words, parts = ({p: number[n] for p, n in known.items() if kept[n]} for known in (self.words, self.parts))
+        starts, sizes, seen, ids = self.starts[kept], self.sizes[kept], self.seen[kept], self.ids
+        self.forget()
+        self.words.update(words)
+        self.parts.update(parts)
+        self.numbers[0] = len(sizes)
+        self.starts, self.sizes, self.seen = np.cumsum(sizes) - sizes, sizes, seen // 2
+        self.ids = ids[np.repeat(starts - self.starts, sizes) + np.arange(sizes.sum())]
 
     def learn(self) -> None:
         """The ids of the new pieces."""
@@ -88,7 +103,8 @@ class PieceTokenizer:
         base, found = len(self.starts), [None] * n
         tokenize = self.library.model.tokenize
         for at, piece in self.new_words:
-            mapped = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(_BYTES)
+            # printable ASCII but the blank stands for itself
+            mapped = piece.replace(" ", _BYTES[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTES)
             found[at - base] = [t.id for t in tokenize(mapped)]
         parts = self.library.encode_batch_fast([p for _, p in self.new_parts], add_special_tokens=False)
         for (at, _), e in zip(self.new_parts, parts, strict=True):
@@ -127,8 +143,9 @@ class PieceTokenizer:
         sizes = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.ids[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        self.seen = np.bincount(at, minlength=self.numbers[0])[:self.numbers[0]] + np.pad(self.seen, (0, self.numbers[0] - len(self.seen)))
         if self.numbers[0] > self.keep:
-            self.forget()
+            self.thin()
         return np.split(flat, ends[np.cumsum(per_text)][:-1])
 
 

@@ -107,3 +107,28 @@ def test_empty_table(spark):
     path = work_dir(spark, "test-ids")
     huffman.write_ids(frame(spark).limit(0), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     assert huffman.read_ids(spark, path).collect() == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_small_memory_gives_the_same_ids(name):
+    """Pieces that were forgotten are learned again, kept ones are numbered anew."""
+    path, r = public_tokenizers.path(name), random.Random(6)
+    words = ["".join(r.choice("abcdeéü日 ") for _ in range(r.randint(1, 9))) for _ in range(400)]
+    texts = [" ".join(r.choices(words[:30], k=20) + r.choices(words, k=10)) for _ in range(200)]
+    small, plain = PieceTokenizer(path, keep=40), PieceTokenizer(path)
+    for low in range(0, 200, 10):
+        for a, b in zip(small.encode(texts[low:low + 10]), plain.encode(texts[low:low + 10]), strict=True):
+            assert a.tolist() == b.tolist()
+    assert len(small.words) + len(small.parts) < len(plain.words) + len(plain.parts)
+
+
+def test_counts_are_taken_while_tokenising(spark):
+    """The codebook has a code for each id that occurs, and the most frequent has the shortest."""
+    path = work_dir(spark, "test-ids")
+    huffman.write_ids(frame(spark), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    count = {}
+    for _, ids in want(rows(), "byte_bpe_50k.json", 2):
+        for i in ids:
+            count[i] = count.get(i, 0) + 1
+    book = {r.id: r.bits for r in spark.read.parquet(f"{path}/codebook").collect()}
+    assert set(book) == set(count) and book[max(count, key=count.get)] == min(book.values())
