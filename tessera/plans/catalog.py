@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
-from tessera.operators import centroid_index, chunking, compact, dialog, embed, lexical, prompts, retrieve, route, search_index, sections, store
+from tessera.operators import boundaries, centroid_index, chunking, compact, dialog, embed, lexical, prompts, retrieve, route, search_index, sections, store
 from tessera.plans import ask as ask_plan
 from tessera.plans import hook_queries
 from tessera.session import materialize, source_partitions
@@ -90,6 +90,19 @@ def q_sentence_trim(spark, d):
     return _docs(spark, d, "text").select("doc_id", sections.trim_to_budget(F.col("text"), TRIM_TOKENS).alias("text"))
 
 
+def q_sentence_abbreviations(spark, d):
+    """The abbreviations that the documents show."""
+    found = boundaries.fit(_docs(spark, d, "text"), "doc_id", "text").abbreviations
+    return found.select("type", "n_dot", "n_plain", F.round("score", 6).alias("score"))
+
+
+def q_sentence_trim_learned(spark, d):
+    """C8 with boundaries learned from the documents."""
+    docs = boundaries.with_sentences(_docs(spark, d, "text"), "doc_id", "text")
+    return docs.select("doc_id", F.size("sentences").alias("n_sentences"),
+                       sections.trim_to_budget(F.col("text"), TRIM_TOKENS, F.col("sentences")).alias("text"))
+
+
 def _wiki(spark, d):
     return derived.wikitext(load(spark, d, "documents", "doc_id", "text", partitions=source_partitions(spark)))
 
@@ -401,6 +414,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_count": q_token_count,
     "prompt_budget": q_prompt_budget,
     "sentence_trim": q_sentence_trim,
+    "sentence_abbreviations": q_sentence_abbreviations,
+    "sentence_trim_learned": q_sentence_trim_learned,
     "section_split": q_section_split,
     "section_prune": q_section_prune,
     "section_assemble": q_section_assemble,

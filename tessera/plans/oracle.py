@@ -10,6 +10,7 @@ from __future__ import annotations
 from tessera.functions import patterns as P
 from tessera.functions.text import AGENT_NAMES
 from tessera.operators import compact as CP
+from tessera.operators import boundaries as BD
 from tessera.operators import lexical as LX
 from tessera.operators import route as RT
 from tessera.plans import catalog as C
@@ -98,8 +99,8 @@ def sentences(x: str) -> str:
     return f"list_filter(list_transform({pcs}, lambda s_: {strip('s_')}), lambda s_: s_ <> '')"
 
 
-def trim_budget(x: str, max_tokens: int) -> str:
-    sents = sentences(x)
+def trim_budget(x: str, max_tokens: int, sents: str | None = None) -> str:
+    sents = sents or sentences(x)
     costs = f"list_transform({sents}, lambda s_: {tok('s_')} + 1)"
     cut = (
         f"list_reduce({costs}, lambda a, c: {{'tot': a.tot + c, 'i': a.i + 1, "
@@ -112,6 +113,51 @@ def trim_budget(x: str, max_tokens: int) -> str:
     )
 
 
+def boundary_ctes() -> str:
+    """The words of all documents, and what they show about periods."""
+    def part(hit: str, of: str, p: str) -> str:
+        return f"(CASE WHEN {p} <= 0 OR {p} >= 1 THEN 0 ELSE {hit} * ln({p}) + ({of} - {hit}) * ln(1 - {p}) END)"
+
+    def likelihood(a: str, b: str, both: str) -> str:
+        n, rest, other = "t.total::DOUBLE", f"(t.total - {a})::DOUBLE", f"({b} - {both})"
+        p = f"({b} / {n})"
+        return f"(-2 * ({part(both, a, p)} + {part(other, rest, p)} - {part(both, a, f'({both} / {a}::DOUBLE)')} - {part(other, rest, f'({other} / {rest})')}))"
+
+    core = f"regexp_replace(ltrim(p), {lit(BD.BEFORE)}, '')"
+    body = f"regexp_replace({core}, {lit(BD.BEHIND)}, '')"
+    return rf"""_p AS (SELECT doc_id, text, regexp_extract_all(replace(coalesce(text, ''), {NL}, ' '), {lit(BD.PIECE)}) AS p FROM documents),
+_x AS (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) - 1 AS i FROM _p),
+_y AS (SELECT doc_id, i, {core} AS core, {body} AS body, lower(regexp_replace({body}, {lit(BD.MARKS)}, '')) AS plain FROM _x),
+_z AS (SELECT doc_id, i, CASE WHEN regexp_matches(plain, {lit(BD.NUMBER)}) THEN '#' ELSE plain END AS type,
+       CASE WHEN regexp_matches(body, '[!?]$') THEN 'e' WHEN regexp_matches(body, '(\.\.|…)$') THEN 'l' WHEN ends_with(body, '.') THEN 'p' ELSE '' END AS mark,
+       CASE WHEN regexp_matches(core, '^\p{{Lu}}') THEN 'u' WHEN regexp_matches(core, '^\p{{Ll}}') THEN 'l' ELSE '' END AS kase FROM _y),
+_w AS (SELECT *, lead(type) OVER d AS next, lead(kase) OVER d AS next_case, lag(mark) OVER d AS before FROM _z WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+_c AS (SELECT type, count(*) AS n, count(*) FILTER (mark = 'p') AS n_dot, count(*) FILTER (kase = 'l') AS small,
+       count(*) FILTER (kase = 'u' AND before = '') AS within FROM _w GROUP BY type),
+_t AS (SELECT sum(n)::BIGINT AS total, sum(n_dot) / sum(n) AS share FROM _c),
+_s AS (SELECT type, n_dot, n - n_dot AS n_plain, length(replace(type, '.', ''))::DOUBLE AS size, t.share FROM _c, _t t WHERE n_dot > 0 AND regexp_matches(type, '\p{{L}}')),
+_a AS (SELECT type, n_dot, n_plain, -2 * (n_dot * ln(share) + n_plain * ln(1 - share) - n_dot * ln(0.99::DOUBLE) - n_plain * ln(0.01::DOUBLE))
+       * exp(-size) * (length(type) - size + 1) * pow(size, -n_plain) AS score FROM _s),
+_abbr AS (SELECT * FROM _a WHERE score >= {BD.ABBREVIATION}),
+_pairs AS (SELECT type, next, type IN (SELECT type FROM _abbr) AS abbr, count(*) AS "both" FROM _w WHERE mark = 'p' AND next IS NOT NULL GROUP BY type, next),
+_sure AS (SELECT next, sum("both")::BIGINT AS "both" FROM _pairs WHERE NOT abbr AND NOT regexp_matches(type, '^(\p{{L}}|#)$') GROUP BY next),
+_ends AS (SELECT greatest(1, sum("both"))::BIGINT AS a FROM _sure),
+_starters AS (SELECT next FROM _sure s JOIN _c c ON c.type = s.next, _t t, _ends e WHERE regexp_matches(next, '\p{{L}}') AND c.n >= "both"
+       AND t.total / e.a::DOUBLE > c.n / "both"::DOUBLE AND {likelihood('e.a', 'c.n', '"both"')} >= {BD.STARTER}),
+_colloc AS (SELECT p.type, p.next FROM _pairs p JOIN _c a ON a.type = p.type JOIN _c b ON b.type = p.next, _t t
+       WHERE (abbr OR regexp_matches(p.type, '^(\p{{L}}|#)$')) AND "both" > 1 AND "both" <= least(a.n, b.n) AND t.total / a.n::DOUBLE > b.n / "both"::DOUBLE
+       AND {likelihood('a.n', 'b.n', '"both"')} >= {BD.COLLOCATION}),
+_stop AS (SELECT doc_id, i, CASE WHEN mark = 'e' THEN true WHEN mark = 'l' THEN next_case = 'u'
+       WHEN (type, next) IN (SELECT (type, next) FROM _colloc) THEN false
+       WHEN (held OR type = '#') AND next_case = 'l' THEN false
+       WHEN held THEN next IN (SELECT next FROM _starters) OR (next_case = 'u' AND next IN (SELECT type FROM _c WHERE small > 0 AND within = 0)) ELSE true END AS stop
+       FROM (SELECT *, type IN (SELECT type FROM _abbr) OR regexp_matches(type, '^\p{{L}}$') AS held FROM _w WHERE mark <> '' AND next IS NOT NULL)),
+_e AS (SELECT doc_id, list(i ORDER BY i) AS ends FROM _stop WHERE stop GROUP BY doc_id),
+_cut AS (SELECT doc_id, text, p, list_concat(coalesce(ends, []), [len(p) - 1]) AS ends FROM _p LEFT JOIN _e USING (doc_id)),
+_sents AS (SELECT doc_id, text, CASE WHEN len(p) = 0 THEN [] ELSE
+       list_transform(ends, lambda e_, k_: trim(array_to_string(p[CASE WHEN k_ > 1 THEN ends[k_ - 1] ELSE -1 END + 2 : e_ + 1], ''))) END AS sents FROM _cut)"""
+
+
 def wikitext_cte() -> str:
     names = arr(D.WIKI_HEADINGS)
     para = (
@@ -428,6 +474,8 @@ SQL: dict[str, str] = {
         + " END AS agent FROM _r"
     ),
     "text_compact": f"SELECT doc_id, {compact_sql('text')} AS text FROM documents",
+    "sentence_abbreviations": f"WITH {boundary_ctes()} SELECT type, n_dot, n_plain, round(score, 6) AS score FROM _abbr",
+    "sentence_trim_learned": f"WITH {boundary_ctes()} SELECT doc_id, len(sents)::INTEGER AS n_sentences, {trim_budget('text', C.TRIM_TOKENS, 'sents')} AS text FROM _sents",
     "sentence_trim": f"SELECT doc_id, {trim_budget('text', C.TRIM_TOKENS)} AS text FROM documents",
     "section_split": f"WITH {sections_cte()} SELECT doc_id, pos, level, heading, content FROM _secs",
     "section_prune": f"WITH {prune_cte()} SELECT doc_id, pos, heading, n_tokens, content FROM _kept",
