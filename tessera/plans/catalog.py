@@ -20,6 +20,7 @@ from tessera.sources.tables import load
 
 HASH_DIMS = 256
 TRIM_TOKENS = 200
+CONDENSED = 150
 SPLIT_LIMIT = 4000
 FALLBACK_THRESHOLD = 0.3
 
@@ -86,6 +87,12 @@ def q_text_compact(spark, d):
     return _docs(spark, d, "text").select("doc_id", compact.compact(F.col("text")).alias("text"))
 
 
+def q_text_condense(spark, d):
+    """C10 by sentences: every 4,000-character slice within CONDENSED tokens."""
+    slices = chunking.chunk_fixed(_docs(spark, d, "text"), "doc_id", "text")
+    return compact.condense(slices, "slice", CONDENSED).select("doc_id", F.col("slice_no").cast("bigint").alias("slice_no"), "condensed")
+
+
 def q_sentence_trim(spark, d):
     return _docs(spark, d, "text").select("doc_id", sections.trim_to_budget(F.col("text"), TRIM_TOKENS).alias("text"))
 
@@ -413,6 +420,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_table_rows": q_chunk_table_rows,
     "token_count": q_token_count,
     "prompt_budget": q_prompt_budget,
+    "text_condense": q_text_condense,
     "sentence_trim": q_sentence_trim,
     "sentence_abbreviations": q_sentence_abbreviations,
     "sentence_trim_learned": q_sentence_trim_learned,

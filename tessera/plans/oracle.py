@@ -11,6 +11,7 @@ from tessera.functions import patterns as P
 from tessera.functions.text import AGENT_NAMES
 from tessera.operators import compact as CP
 from tessera.operators import boundaries as BD
+from tessera.operators import compact as CP
 from tessera.operators import lexical as LX
 from tessera.operators import route as RT
 from tessera.plans import catalog as C
@@ -158,6 +159,31 @@ _sents AS (SELECT doc_id, text, CASE WHEN len(p) = 0 THEN [] ELSE
        list_transform(ends, lambda e_, k_: trim(array_to_string(p[CASE WHEN k_ > 1 THEN ends[k_ - 1] ELSE -1 END + 2 : e_ + 1], ''))) END AS sents FROM _cut)"""
 
 
+def condense_sql(budget: int) -> str:
+    """Central sentences of the slices; a step of the walk is one CTE."""
+    walk = ",\n".join(
+        f"""_p{k} AS MATERIALIZED (SELECT q.doc_id, q.no, q.i, q.n, {1 - CP.DAMPING} / q.n + {CP.DAMPING} * (coalesce(x.p, 0) + coalesce(o.p, 0) / q.n) AS p
+FROM _p{k - 1} q LEFT JOIN (SELECT m.doc_id, m.no, m.j, sum(p * share) AS p FROM _m m JOIN _p{k - 1} USING (doc_id, no, i) GROUP BY ALL) x
+ON x.doc_id = q.doc_id AND x.no = q.no AND x.j = q.i
+LEFT JOIN (SELECT doc_id, no, sum(p) AS p FROM _p{k - 1} JOIN _mute USING (doc_id, no, i) GROUP BY ALL) o ON o.doc_id = q.doc_id AND o.no = q.no)""" for k in range(1, CP.STEPS + 1))
+    return f"""WITH _sl AS (SELECT doc_id, s // 4000 AS no, substring(text, s + 1, 4000) AS slice
+     FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 4000)) AS s FROM documents WHERE length(text) > 0)),
+_b AS (SELECT doc_id, no, {sentences('slice')} AS sents FROM _sl WHERE {tok('slice')} > {budget}),
+_u AS (SELECT doc_id, no, len(sents)::DOUBLE AS n, unnest(sents) AS sent, generate_subscripts(sents, 1) AS i FROM _b),
+_tf AS (SELECT doc_id, no, n, i, term, count(*) AS tf FROM (SELECT doc_id, no, n, i, unnest({terms('sent')}) AS term FROM _u) GROUP BY ALL),
+_wt AS (SELECT doc_id, no, i, term, tf * ln(1 + n / count(*) OVER (PARTITION BY doc_id, no, term)) AS w FROM _tf),
+_unit AS (SELECT doc_id, no, i, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, no, i)) AS w FROM _wt),
+_sim AS (SELECT a.doc_id, a.no, a.i, b.i AS j, sum(a.w * b.w) AS s FROM _unit a JOIN _unit b USING (doc_id, no, term) WHERE a.i <> b.i GROUP BY ALL),
+_m AS MATERIALIZED (SELECT doc_id, no, i, j, s / sum(s) OVER (PARTITION BY doc_id, no, i) AS share FROM _sim),
+_mute AS MATERIALIZED (SELECT doc_id, no, i FROM _u EXCEPT SELECT doc_id, no, i FROM _sim),
+_p0 AS MATERIALIZED (SELECT doc_id, no, i, n, 1 / n AS p FROM _u),
+{walk},
+_r AS (SELECT u.doc_id, u.no, u.i, u.sent, sum({tok('u.sent')} + 1) OVER (PARTITION BY u.doc_id, u.no ORDER BY round(p, 6) DESC, u.i) AS used
+     FROM _u u JOIN _p{CP.STEPS} USING (doc_id, no, i)),
+_k AS (SELECT doc_id, no, string_agg(sent, ' ' ORDER BY i) AS t FROM _r WHERE used <= {budget} GROUP BY ALL)
+SELECT doc_id, no::BIGINT AS slice_no, CASE WHEN {tok('slice')} <= {budget} THEN slice ELSE coalesce(t, '') END AS condensed FROM _sl LEFT JOIN _k USING (doc_id, no)"""
+
+
 def wikitext_cte() -> str:
     names = arr(D.WIKI_HEADINGS)
     para = (
@@ -474,6 +500,7 @@ SQL: dict[str, str] = {
         + " END AS agent FROM _r"
     ),
     "text_compact": f"SELECT doc_id, {compact_sql('text')} AS text FROM documents",
+    "text_condense": condense_sql(C.CONDENSED),
     "sentence_abbreviations": f"WITH {boundary_ctes()} SELECT type, n_dot, n_plain, round(score, 6) AS score FROM _abbr",
     "sentence_trim_learned": f"WITH {boundary_ctes()} SELECT doc_id, len(sents)::INTEGER AS n_sentences, {trim_budget('text', C.TRIM_TOKENS, 'sents')} AS text FROM _sents",
     "sentence_trim": f"SELECT doc_id, {trim_budget('text', C.TRIM_TOKENS)} AS text FROM documents",
