@@ -9,9 +9,12 @@ lengths alone, which has at most ``capacity`` entries whatever the corpus:
   number of sequences.  Multiplicative weights hold a price per length; a
   knapsack dynamic program over the capacity finds the fillings of highest
   price, through each length that still needs one; each round raises the prices
-  of lengths that lag behind and lowers the others.
-* The fractional solution is rounded down, and best fit in descending length
-  packs what is left, whole runs of equal pieces at a time.
+  of lengths that lag behind and lowers the others.  Rounds go on until at most
+  ``GAP`` of all tokens is uncovered.  Prices over the best filling's price are a
+  solution of the dual, so every round bounds the number of sequences from below.
+* The fractional solution is rounded down, then up by largest fraction as long as
+  there are pieces; best fit in descending length packs what is left, whole runs of
+  equal pieces at a time.
 
 The result is a list of runs (length, first rank, count, sequence, offset); a
 piece finds its run by its rank among the pieces of its length, which is counted
@@ -35,9 +38,9 @@ from tessera.llm.common import partitions, pick, strings
 from tessera.llm.tokens import tokenizer
 from tessera.session import materialize
 
-#: Rounds of the weights, their rate, the part of its remaining pieces that a
-#: filling may take in a round, and how near the best price a filling must be.
-ROUNDS, RATE, SHARE, NEAR = 24, 0.5, 0.25, 0.02
+#: Most rounds of the weights, their rate, how near the best price a filling must
+#: be, and the part of all tokens that may stay uncovered.
+ROUNDS, RATE, NEAR, GAP = 300, 0.5, 0.005, 0.01
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,33 +64,49 @@ def fill(room: int, first: np.ndarray, lengths: np.ndarray) -> list[int]:
     return out
 
 
-def linear_program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
-    """Fillings (sorted indices of lengths) and how often each is used; together
-    they use no length more often than it occurs."""
+def linear_program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], float]:
+    """Fillings (sorted indices of lengths) and how often each is used, and a lower
+    bound on the sequences.  Together the fillings use no length more often than it
+    occurs and leave at most ``GAP`` of all tokens, if ``ROUNDS`` are enough."""
     used: dict[tuple[int, ...], float] = defaultdict(float)
-    left, weight = counts.astype(float), np.ones(len(lengths))
+    left, weight, bound = counts.astype(float), np.ones(len(lengths)), 0.0
     for _ in range(ROUNDS):
-        open_ = np.flatnonzero(left >= 0.5)
-        if not len(open_):
+        open_ = np.flatnonzero(left > 1e-6)
+        if float((left * lengths).sum()) <= GAP * float((counts * lengths).sum()):
             break
         size = lengths[open_]
         price = size * weight[open_]
         best, first = knapsack(size, price, capacity)
+        bound = max(bound, float((counts[open_] * price).sum()) / float(best[capacity]))
         through = price + best[capacity - size]  # the best filling that has this length
         taken = np.zeros(len(lengths))
         for i in np.argsort(-through, kind="stable"):
             if through[i] < (1 - NEAR) * best[capacity]:
                 break
             parts, n = np.unique(open_[[int(i), *fill(capacity - int(size[i]), first, size)]], return_counts=True)
-            times = SHARE * float((left[parts] / n).min())
-            if times <= 0:
+            times = float((left[parts] / n).min())  # a fraction, where a length stands in it several times
+            if times <= 1e-9:
                 continue
             used[tuple(np.repeat(parts, n).tolist())] += times
             left[parts] -= times * n
             taken[parts] += times * n
         done = taken / counts
         weight *= np.exp(-RATE * (done - np.average(done, weights=lengths * counts)))
-    return used
+    return used, bound
+
+
+def rounded(used: dict[tuple[int, ...], float], counts: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Whole numbers of the fillings: rounded down, then one more of each by largest
+    fraction while its pieces are there; and the pieces left."""
+    left, times = counts.copy(), {f: int(x + 1e-9) for f, x in used.items()}
+    for f, n in times.items():
+        np.subtract.at(left, list(f), n)
+    for f, x in sorted(used.items(), key=lambda y: (-(y[1] - times[y[0]]), y[0])):
+        parts, n = np.unique(f, return_counts=True)
+        if x - times[f] > 1e-9 and (left[parts] >= n).all():
+            left[parts] -= n
+            times[f] += 1
+    return [(f, n) for f, n in times.items() if n], left
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -123,21 +142,20 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
     return [(f, n) for g in groups.values() for f, n in g]
 
 
-def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+def plan(histogram: dict[int, int], capacity: int, report: dict | None = None) -> tuple[np.ndarray, int]:
     """Runs as rows (length, first rank, sequence, offset), by length and rank,
-    and the number of sequences."""
+    and the number of sequences.  ``report`` gets the program's value, the dual
+    bound, and how many pieces its fillings place; whole sequences aside."""
     rows, sequence = [], 0
     rank: dict[int, int] = defaultdict(int)
     lengths = np.array(sorted(x for x in histogram if x < capacity), np.int64)
     counts = np.array([histogram[int(x)] for x in lengths], np.int64)
     fillings: list[tuple[tuple[int, ...], int]] = []
     if len(lengths):
-        left = counts.copy()
-        for filling, times in linear_program(lengths, counts, capacity).items():
-            n = int(times + 1e-9)
-            if n:
-                fillings.append((filling, n))
-                np.subtract.at(left, list(filling), n)
+        used, bound = linear_program(lengths, counts, capacity)
+        fillings, left = rounded(used, counts)
+        if report is not None:
+            report |= {"value": sum(used.values()), "bound": bound, "placed": int((counts - left).sum()), "pieces": int(counts.sum())}
         fillings += best_fit(lengths, left, capacity)
     full = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
     for sizes, n in full + [(tuple(int(lengths[i]) for i in f), n) for f, n in fillings]:

@@ -36,6 +36,32 @@ def test_plan_fills_without_gaps_and_near_the_bound(seed):
     assert n <= bound * 1.02 + 2
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_the_program_places_most_pieces(seed):
+    """Its value is near the dual bound, and rounding loses no sequence against best fit alone."""
+    rng = np.random.default_rng(seed)
+    lengths = np.clip(rng.lognormal(5, 1.2, 6000).astype(int) + 1, 1, 1023)
+    histogram = dict(zip(*map(np.ndarray.tolist, np.unique(lengths, return_counts=True)), strict=True))
+    report = {}
+    _, n = packing.plan(histogram, 1024, report)
+    some, counts = (np.array(x, np.int64) for x in zip(*sorted(histogram.items()), strict=True))
+    assert report["placed"] >= 0.6 * report["pieces"] == 0.6 * 6000
+    assert report["value"] + packing.GAP * lengths.sum() / 1024 <= report["bound"] * (1 + 2 * packing.GAP) + 1
+    assert report["bound"] <= n + 1e-9 and n <= sum(k for _, k in packing.best_fit(some, counts, 1024)) + 1
+
+
+def test_rounding_uses_no_piece_twice():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 9, 12)
+    used = {tuple(sorted(rng.integers(0, 12, 3).tolist())): float(rng.random()) for _ in range(60)}
+    used = {f: min(x, *(counts[i] / 40 for i in f)) for f, x in used.items()}
+    fillings, left = packing.rounded(used, counts)
+    again = counts.copy()
+    for f, n in fillings:
+        np.subtract.at(again, list(f), n)
+    assert (again == left).all() and (left >= 0).all()
+
+
 def test_known_optimum():
     assert packing.plan({6: 30, 4: 30, 5: 20}, 10)[1] == 40
     assert packing.plan({7: 10, 3: 10}, 10)[1] == 10
