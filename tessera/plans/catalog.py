@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
-from tessera.operators import boundaries, centroid_index, chunking, compact, dialog, embed, lexical, prompts, retrieve, route, search_index, sections, store
+from tessera.operators import boundaries, centroid_index, chunking, compact, dialog, embed, latent, lexical, prompts, retrieve, route, search_index, sections, store
 from tessera.plans import ask as ask_plan
 from tessera.plans import hook_queries
 from tessera.session import materialize, source_partitions
@@ -21,6 +21,7 @@ from tessera.sources.tables import load
 HASH_DIMS = 256
 TRIM_TOKENS = 200
 CONDENSED = 150
+LATENT_WIDTH = 64
 SPLIT_LIMIT = 4000
 FALLBACK_THRESHOLD = 0.3
 
@@ -134,6 +135,15 @@ def q_embed_hash(spark, d):
     return s.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
+def q_latent_vectors(spark, d):
+    """V2 with meaning: the documents' vectors on the leading axes of the corpus; their
+    width, and whether they have length 1."""
+    docs = _docs(spark, d, "text")
+    model = latent.fit(docs, "doc_id", "text", width=LATENT_WIDTH)
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return latent.with_vector(docs, "text", model).select("doc_id", F.size("embedding").alias("width"), (F.abs(size - 1) < 1e-9).alias("unit_length"))
+
+
 def _emb(spark, d):
     return load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
@@ -439,6 +449,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_batches": q_upsert_batches,
     "upsert_latest": q_upsert_latest,
     "upsert_by_id": q_upsert_by_id,
+    "latent_vectors": q_latent_vectors,
     "vector_topk": q_vector_topk,
     "centroid_topk_exact": q_centroid_topk_exact,
     "centroid_recall": q_centroid_recall,

@@ -527,6 +527,7 @@ SQL: dict[str, str] = {
         "SELECT 'homework' AS namespace, doc_id AS source_id, chunk_no::BIGINT AS chunk_no, max(batch_id)::BIGINT AS batch_id, "
         "arg_max(chunk, batch_id) AS context FROM _chunks GROUP BY doc_id, chunk_no"
     ),
+    "latent_vectors": f"SELECT doc_id, {C.LATENT_WIDTH}::INTEGER AS width, len({terms('text')}) > 0 AS unit_length FROM documents",
     "vector_topk": topk_sql("q.id <> c.id"),
     "centroid_topk_exact": topk_sql("q.id <> c.id"),
     "centroid_recall": "SELECT count(*) AS questions, true AS recall_90 FROM embeddings",
