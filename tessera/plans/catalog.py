@@ -208,6 +208,21 @@ def q_lexical_topk(spark, d):
                        lexical.result_page(F.col("rank")).alias("page"))
 
 
+def q_search_phrases(spark, d):
+    """The phrases of every question that the documents bear out."""
+    index, _ = _lexical_inputs(spark, d)
+    found = search_index.phrases(index, derived.questions(load(spark, d, "conversations")), "qid", "text")
+    return found.select("qid", "term", "next", "n", F.round("score", 6).alias("score"))
+
+
+def q_lexical_topk_phrases(spark, d):
+    """J4 + J5: BM25 in which a phrase counts like a term."""
+    index, qterms = _lexical_inputs(spark, d)
+    found = search_index.phrases(index, derived.questions(load(spark, d, "conversations")), "qid", "text")
+    both = materialize(search_index.with_phrases(qterms, found), "terms-and-phrases")
+    return search_index.bm25_topk(index, both, k=3).select("qid", "rank", "id", F.round("score", 4).alias("score"))
+
+
 def q_route_questions(spark, d):
     qs = derived.questions(load(spark, d, "conversations"))
     r = route.dispatch(route.route(qs, "qid", "text", HASH_DIMS))
@@ -457,6 +472,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fallback_retrieve": q_fallback_retrieve,
     "search_terms": q_search_terms,
     "lexical_topk": q_lexical_topk,
+    "search_phrases": q_search_phrases,
+    "lexical_topk_phrases": q_lexical_topk_phrases,
     "route_questions": q_route_questions,
     "assemble_prompts": q_assemble_prompts,
     "flatten_join": q_flatten_join,

@@ -13,6 +13,7 @@ from tessera.operators import compact as CP
 from tessera.operators import boundaries as BD
 from tessera.operators import compact as CP
 from tessera.operators import lexical as LX
+from tessera.operators import search_index as SI
 from tessera.operators import route as RT
 from tessera.plans import catalog as C
 from tessera.plans.ask import FALLBACK_THRESHOLD
@@ -278,6 +279,21 @@ _qt AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY idf DESC, term) A
 _sel AS (SELECT * FROM _qt WHERE term_rank <= {LX.MAX_SEARCH_TERMS})"""
 
 
+def phrase_ctes() -> str:
+    stop = arr(LX.STOP_WORDS)
+    pairs = lambda x: f"list_zip({x}[1 : len({x}) - 1], {x}[2 : len({x})])"
+    return f"""{lexical_ctes()},
+_qw AS (SELECT qid, {terms('text')} AS t FROM _q),
+_ask AS (SELECT DISTINCT qid, b[1] AS term, b[2] AS next FROM (SELECT qid, unnest({pairs('t')}) AS b FROM _qw WHERE len(t) > 1)
+         WHERE NOT list_contains({stop}, b[1]) AND NOT list_contains({stop}, b[2])),
+_two AS (SELECT id, b[1] AS term, b[2] AS next FROM (SELECT id, unnest({pairs('t')}) AS b FROM _tt WHERE len(t) > 1)),
+_n2 AS (SELECT term, next, count(*) AS n, count(DISTINCT id)::DOUBLE AS df FROM _two WHERE (term, next) IN (SELECT (term, next) FROM _ask) GROUP BY ALL),
+_n1 AS (SELECT term, count(*)::DOUBLE AS n FROM (SELECT unnest(t) AS term FROM _tt) GROUP BY term),
+_npmi AS (SELECT p.term, p.next, p.n, ln(p.n * l.l / (a.n * b.n)) / -ln(p.n / l.l) AS score, ln(1.0::DOUBLE + (s.n - p.df + 0.5::DOUBLE) / (p.df + 0.5::DOUBLE)) AS idf
+          FROM _n2 p JOIN _n1 a ON a.term = p.term JOIN _n1 b ON b.term = p.next, _stats s, (SELECT sum(dl) AS l FROM _dl) l WHERE p.n >= {SI.MIN_PAIRS} AND p.n < l.l),
+_phr AS (SELECT qid, term, next, n, score, idf FROM _ask JOIN _npmi USING (term, next) WHERE score >= {SI.MIN_SCORE})"""
+
+
 def chunk_store_cte() -> str:
     return f"""{chunk_cte()},
 _cs AS (SELECT doc_id * 1000000 + chunk_no AS id, chunk FROM _chunks),
@@ -540,6 +556,15 @@ _good AS (SELECT qid FROM _r WHERE tier = 1 AND rank = 1 AND s >= {C.FALLBACK_TH
 SELECT qid, tier::BIGINT AS tier, rank::BIGINT AS rank, id, round(s, 6) AS score FROM _r
 WHERE rank <= 3 AND ((tier = 1 AND qid IN (SELECT qid FROM _good)) OR (tier = 2 AND qid NOT IN (SELECT qid FROM _good)))""",
     "search_terms": f"WITH {lexical_ctes()} SELECT qid, term_rank::BIGINT AS term_rank, term FROM _sel",
+    "search_phrases": f"WITH {phrase_ctes()} SELECT qid, term, next, n, round(score, 6) AS score FROM _phr",
+    "lexical_topk_phrases": f"""WITH {phrase_ctes()},
+_post AS (SELECT id, term, NULL AS next, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(t) AS term FROM _tt) GROUP BY id, term
+          UNION ALL SELECT id, term, next, count(*)::DOUBLE AS tf FROM _two GROUP BY id, term, next),
+_all AS (SELECT qid, term, NULL AS next, idf FROM _sel UNION ALL SELECT qid, term, next, idf FROM _phr),
+_sc AS (SELECT s.qid, p.id, round(sum(s.idf * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / st.avgdl))), 9) AS score
+        FROM _all s JOIN _post p ON p.term = s.term AND p.next IS NOT DISTINCT FROM s.next JOIN _dl l ON l.id = p.id, _stats st GROUP BY s.qid, p.id),
+_r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM _sc WHERE score > 0)
+SELECT qid, rank::BIGINT AS rank, id, round(score, 4) AS score FROM _r WHERE rank <= 3""",
     "lexical_topk": f"""WITH {lexical_ctes()},
 _post AS (SELECT id, term, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(t) AS term FROM _tt) GROUP BY id, term),
 _sc AS (SELECT s.qid, p.id, round(sum(s.idf * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / st.avgdl))), 9) AS score
