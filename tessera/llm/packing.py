@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,12 +55,12 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np
     return best, first
 
 
-def fill(room: int, first: np.ndarray, lengths: np.ndarray) -> list[int]:
+def fill(room: int, first: list[int], lengths: list[int]) -> list[int]:
     """Indices of the lengths that the dynamic program puts into ``room``."""
     out = []
-    while first[room] >= 0:
-        out.append(int(first[room]))
-        room -= int(lengths[out[-1]])
+    while (i := first[room]) >= 0:
+        out.append(i)
+        room -= lengths[i]
     return out
 
 
@@ -79,18 +79,18 @@ def linear_program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tu
         best, first = knapsack(size, price, capacity)
         bound = max(bound, float((counts[open_] * price).sum()) / float(best[capacity]))
         through = price + best[capacity - size]  # the best filling that has this length
-        taken = np.zeros(len(lengths))
-        for i in np.argsort(-through, kind="stable"):
-            if through[i] < (1 - NEAR) * best[capacity]:
-                break
-            parts, n = np.unique(open_[[int(i), *fill(capacity - int(size[i]), first, size)]], return_counts=True)
-            times = float((left[parts] / n).min())  # a fraction, where a length stands in it several times
+        near = np.flatnonzero(through >= (1 - NEAR) * best[capacity])
+        first, sizes, names, rest = first.tolist(), size.tolist(), open_.tolist(), left.tolist()
+        for i in near[np.argsort(-through[near], kind="stable")].tolist():
+            filling = sorted(names[j] for j in (i, *fill(capacity - sizes[i], first, sizes)))
+            parts = Counter(filling)
+            times = min(rest[j] / n for j, n in parts.items())  # a fraction, where a length stands in it several times
             if times <= 1e-9:
                 continue
-            used[tuple(np.repeat(parts, n).tolist())] += times
-            left[parts] -= times * n
-            taken[parts] += times * n
-        done = taken / counts
+            used[tuple(filling)] += times
+            for j, n in parts.items():
+                rest[j] -= times * n
+        done, left = (left - rest) / counts, np.array(rest)
         weight *= np.exp(-RATE * (done - np.average(done, weights=lengths * counts)))
     return used, bound
 

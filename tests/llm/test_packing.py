@@ -75,7 +75,7 @@ def test_knapsack_is_best():
     for room in range(10):
         brute = max(2.0 * a + 3.5 * b + 5.6 * c for a in range(5) for b in range(4) for c in range(2) if 2 * a + 3 * b + 5 * c <= room)
         assert abs(best[room] - brute) < 1e-9
-        assert abs(sum(prices[packing.fill(room, first, lengths)]) - brute) < 1e-9
+        assert abs(sum(prices[packing.fill(room, first.tolist(), lengths.tolist())]) - brute) < 1e-9
 
 
 def test_pieces_of_odd_rows(spark):
