@@ -46,7 +46,7 @@ class Notice:
 
     @cached_property
     def pattern(self):
-        return regex.compile(rf"(?b)(?<!\S)(?:{regex.escape(self.words)}){{e<={self.edits}}}(?!\S)")
+        return regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(self.words)}){{e<={self.edits}}}(?![^ ])")
 
 
 #: The three base phrases, whose exact places are counted, and longer notices with labels of their own.

@@ -53,3 +53,12 @@ def test_fuzzy_places_equal_a_search_of_the_whole_text():
             for s, e, edits in spans:
                 m = regex.fullmatch(rf"(?:{regex.escape(notice.words)}){{e<={notice.edits}}}", text[s:e].decode())
                 assert m and edits <= notice.edits
+
+
+def test_only_blanks_part_words_of_a_normalised_text():
+    """U+00A0 and U+3000 belong to words, so a place neither starts nor ends at one."""
+    mit = licenses.NOTICES[0]
+    for glue in (" ", "　", "X"):
+        for raw in (f"foo{glue}mit licence bar", f"foo mit licence{glue}bar"):
+            assert licenses.spans_of(licenses.normalise(raw.encode())[0], mit) == []
+    assert len(licenses.spans_of(licenses.normalise("foo mit licence bar x".encode())[0], mit)) == 1
