@@ -5,9 +5,12 @@ a query reads a list from its largest or smallest end, depending on the sign of
 its own component, so the contributions it reads never rise.  After reading all
 lists to some depth, a vector's lower bound is what was read of it plus the least
 that the unread lists hold; its upper bound takes instead what was read last of
-each.  Vectors whose upper bound is under the k-th lower bound are out.  Reading
-goes on, twice as deep each time, until few vectors are left in for every query;
-their final scores are then summed in whole numbers.
+each.  Where that is tighter, both take the product of the lengths of what is unread
+of query and vector (a vector's length is stored beside the lists).  Vectors whose
+upper bound is under the k-th lower bound, or under the k-th score that the task has
+found in earlier shards, are out.  Reading goes on, twice as deep each time and in
+sixteenths beyond the half, until few vectors are left in for every query; their
+final scores are then summed in whole numbers.
 
 All queries of a batch read together: "read to this depth" is a mask over the
 shard, so bounds are matrix products.  Each pair of a shard and a query batch is
@@ -40,15 +43,16 @@ class Lists:
         self.rank = np.empty_like(order)  # 0: smallest
         np.put_along_axis(self.rank, order, np.arange(n)[:, None], axis=0)
         self.top = np.abs(x.astype(np.float64)).max(initial=0)
+        self.depths: list[int] = []  # how deep each query has read
 
-    def search(self, queries: np.ndarray, k: int, barred: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, k: int, barred: np.ndarray, floor: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, rows, scores): a set that holds the k best rows of each query,
-        all that tie with the k-th included; ``barred`` rows (a mask per query) are out."""
+        all that tie with the k-th included; ``barred`` rows (a mask per query) are
+        out, and rows that score under the query's ``floor`` may be missing."""
         n, d = self.x.shape
         exact = float(self.top) * float(np.abs(queries.astype(np.float64)).max(initial=0)) * max(d, 1) < 2.0**52
         number = np.float64 if exact else object  # products of doubles are exact below 2^53
         up, down = np.maximum(queries, 0).T.astype(number), np.minimum(queries, 0).T.astype(number)
-        floor = self.sorted[0].astype(number) @ up + self.sorted[-1].astype(number) @ down
         open_, x, depth = np.arange(len(queries)), self.x.astype(number), max(4 * k, n // 16)
         while len(open_):
             depth = min(depth, n)
@@ -56,20 +60,33 @@ class Lists:
             u, v = up[:, open_], down[:, open_]
             read = (x * high) @ u + (x * low) @ v
             next_high, next_low = self.sorted[n - depth].astype(number), self.sorted[depth - 1].astype(number)
-            upper = read + (~high * next_high) @ u + (~low * next_low) @ v
-            lower = read + (~high * self.sorted[0].astype(number)) @ u + (~low * self.sorted[-1].astype(number)) @ v
-            still = []
+            most = (~high * next_high) @ u + (~low * next_low) @ v
+            least = (~high * self.sorted[0].astype(number)) @ u + (~low * self.sorted[-1].astype(number)) @ v
+            if exact:
+                unread = self._unread(x, high, low, u, v)
+                most, least = np.minimum(most, unread), np.maximum(least, -unread)
+            upper, lower, still = read + most, read + least, []
             for c, q in enumerate(open_):
                 inside = np.flatnonzero(~barred[q])
+                kth = -np.inf if floor is None else floor[q]
                 if len(inside) > k:
-                    least = lower[inside, c]
-                    kth = np.partition(least, len(least) - k)[len(least) - k] if exact else sorted(least)[len(least) - k]
-                    inside = inside[upper[inside, c] >= kth]
-                if depth == n or len(inside) <= max(4 * k, n // 64):
+                    bounds = lower[inside, c]
+                    kth = max(kth, np.partition(bounds, len(bounds) - k)[len(bounds) - k] if exact else sorted(bounds)[len(bounds) - k])
+                inside = inside[upper[inside, c] >= kth]
+                if depth == n or len(inside) <= max(4 * k, n // 16):
+                    self.depths.append(depth)
                     yield int(q), inside, _scores(self.x[inside], queries[q], exact)
                 else:
                     still.append(q)
-            open_, depth = np.array(still, np.int64), depth * 2
+            open_, depth = np.array(still, np.int64), depth * 2 if 4 * depth <= n else depth + max(1, n // 16)
+
+    @staticmethod
+    def _unread(x: np.ndarray, high: np.ndarray, low: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """(rows, queries): the length of what is unread of the row times that of the
+        query, rounded up; components on which the query is 0 don't matter."""
+        of_query = ~high @ (u * u) + ~low @ (v * v)
+        of_row = (x * x * ~high) @ (u > 0) + (x * x * ~low) @ (v < 0)
+        return np.ceil(np.sqrt(of_query * of_row) * (1 + 1e-9))
 
 
 def _scores(x: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
@@ -130,6 +147,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, lists, ids = None, None, None
+        kept: dict[int, np.ndarray] = {}  # by batch of queries: the k best scores so far, ascending
         for b in it:
             for i in range(b.num_rows):
                 size, shard, batch = (b.column(c)[i].as_py() for c in ("size", "shard", "batch"))
@@ -139,8 +157,11 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
                 q_ids = np.frombuffer(b.column("q_ids")[i].as_py(), "<i8")
                 queries = np.frombuffer(b.column("q_data")[i].as_py(), "<i8").reshape(-1, size)
                 cols: list[list] = [[], [], [], [], []]
-                for q, rows, scores in lists.search(queries, k, q_ids[:, None] == ids[None, :]):
+                held = kept.setdefault(batch, np.full((len(queries), k), -np.inf))
+                for q, rows, scores in lists.search(queries, k, q_ids[:, None] == ids[None, :], held[:, 0].copy()):
                     best = np.lexsort((ids[rows], -scores))[:k]
+                    held[q] = np.sort(np.concatenate([held[q], scores[best].astype(np.float64)]))[-k:]
+                    best = best[scores[best] >= held[q, 0]]
                     for c, x in zip(cols, ([batch] * len(best), [q] * len(best), [q_ids[q]] * len(best), ids[rows[best]], scores[best]), strict=True):
                         c.extend(map(int, x))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["batch", "q", "query_id", "vec_id", "score"])

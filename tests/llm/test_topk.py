@@ -66,3 +66,42 @@ def test_bounds_shut_out_rows_before_the_lists_end():
     (q, rows, scores), = lists.search(np.array([[5, 6, 7]]), 10, np.zeros((1, 4096), bool))
     assert len(rows) < 4096 and set(np.argsort(-(x @ [5, 6, 7]))[:10]) <= set(rows.tolist())
     assert (scores == x[rows] @ [5, 6, 7]).all()
+
+
+def _given():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.floor(1024 * np.array(t["embedding"].to_pylist(), np.float32).astype(np.float64)).astype(np.int64)
+    return t["vec_id"].to_numpy(), x
+
+
+def test_reading_stops_before_the_ends_of_the_given_lists():
+    ids, x = _given()
+    lists, asked = topk.Lists(x), x[ids % 100 == 0]
+    barred = ids[ids % 100 == 0][:, None] == ids[None, :]
+    for q, rows, scores in lists.search(asked, 10, barred):
+        exact = x @ asked[q]
+        exact[barred[q]] = -(1 << 60)
+        assert set(np.argsort(-exact, kind="stable")[:10]) <= set(rows.tolist()) and (scores == x[rows] @ asked[q]).all()
+    assert len(lists.depths) == len(asked) and max(lists.depths) < len(x)
+
+
+def test_a_floor_of_earlier_shards_shuts_out_rows():
+    ids, x = _given()
+    lists, asked, none = topk.Lists(x), x[:8], np.zeros((8, len(x)), bool)
+    list(lists.search(asked, 10, none))
+    free, lists.depths = lists.depths, []
+    best = np.sort(asked @ x.T, axis=1)[:, -3].astype(float)
+    for q, rows, scores in lists.search(asked, 10, none, best):
+        assert set(np.flatnonzero(x @ asked[q] >= best[q])) <= set(rows.tolist())
+    assert sum(lists.depths) < sum(free)
+
+
+def test_bounds_of_the_unread_part():
+    rng = np.random.default_rng(9)
+    x, q = rng.integers(-50, 50, (60, 7)).astype(float), rng.integers(-50, 50, (4, 7))
+    u, v = np.maximum(q, 0).T.astype(float), np.minimum(q, 0).T.astype(float)
+    high, low = rng.random((60, 7)) < 0.5, rng.random((60, 7)) < 0.5
+    left = (x * ~high) @ u + (x * ~low) @ v
+    assert (np.abs(left) <= topk.Lists._unread(x, high, low, u, v)).all()
