@@ -223,6 +223,22 @@ def q_lexical_topk_phrases(spark, d):
     return search_index.bm25_topk(index, both, k=3).select("qid", "rank", "id", F.round("score", 4).alias("score"))
 
 
+def q_fused_namespaces(spark, d):
+    """Both namespaces' hits on one scale instead of a threshold."""
+    st, qs = _ns_store(spark, d), _emb(spark, d).withColumnRenamed("id", "qid")
+    tiers = {ns: retrieve.namespace_topk(st, qs, ns, exclude_self=True) for ns in ("homework", "googlestuff")}
+    return retrieve.fuse_scores(tiers, ["id"]).select("qid", "rank", "id", "tier", F.round("score", 4).alias("score"))
+
+
+def q_fused_vector_lexical(spark, d):
+    """Ten hits by vector and ten by words for every question, fused by rank."""
+    docs, qs = _docs(spark, d, "text"), derived.questions(load(spark, d, "conversations"))
+    index, qterms = _lexical_inputs(spark, d)
+    vectors = embed.hashed_dense(docs.withColumnRenamed("doc_id", "id"), "id", "text", HASH_DIMS)
+    near = retrieve.vector_topk(vectors, embed.hashed_dense(qs, "qid", "text", HASH_DIMS), k=10).where("score > 0")
+    return retrieve.fuse_ranks({"vector": near, "words": search_index.bm25_topk(index, qterms, k=10)}, ["id"])
+
+
 def q_route_questions(spark, d):
     qs = derived.questions(load(spark, d, "conversations"))
     r = route.dispatch(route.route(qs, "qid", "text", HASH_DIMS))
@@ -470,6 +486,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "centroid_recall": q_centroid_recall,
     "namespace_topk": q_namespace_topk,
     "fallback_retrieve": q_fallback_retrieve,
+    "fused_namespaces": q_fused_namespaces,
+    "fused_vector_lexical": q_fused_vector_lexical,
     "search_terms": q_search_terms,
     "lexical_topk": q_lexical_topk,
     "search_phrases": q_search_phrases,

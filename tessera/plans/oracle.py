@@ -555,6 +555,23 @@ _r AS (SELECT *, row_number() OVER (PARTITION BY qid, tier ORDER BY s DESC, id)
 _good AS (SELECT qid FROM _r WHERE tier = 1 AND rank = 1 AND s >= {C.FALLBACK_THRESHOLD})
 SELECT qid, tier::BIGINT AS tier, rank::BIGINT AS rank, id, round(s, 6) AS score FROM _r
 WHERE rank <= 3 AND ((tier = 1 AND qid IN (SELECT qid FROM _good)) OR (tier = 2 AND qid NOT IN (SELECT qid FROM _good)))""",
+    "fused_namespaces": f"""WITH {vec_cte()},
+_pairs AS (SELECT q.id AS qid, c.id AS id, CASE WHEN c.label % 2 = 0 THEN 'homework' ELSE 'googlestuff' END AS tier,
+                  round(list_dot_product(q.v, c.v) / (q.nv * c.nv), 9) AS s FROM _e q JOIN _e c ON q.id <> c.id),
+_h AS (SELECT * FROM _pairs QUALIFY row_number() OVER (PARTITION BY qid, tier ORDER BY s DESC, id) <= 3),
+_z AS (SELECT qid, id, tier, round(coalesce((s - avg(s) OVER (PARTITION BY tier)) / nullif(stddev_pop(s) OVER (PARTITION BY tier), 0), 0), 9) AS z FROM _h),
+_r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY z DESC, tier, id) AS rank FROM _z)
+SELECT qid, rank::BIGINT AS rank, id, tier, round(z, 4) AS score FROM _r WHERE rank <= 3""",
+    "fused_vector_lexical": f"""WITH {lexical_ctes()}, {hashed_cte('documents', 'doc_id', 'text', '_hd')}, {hashed_cte('_q', 'qid', 'text', '_hq')},
+_near AS (SELECT q.id AS qid, d.id, round(sum(q.weight * d.weight), 9) AS s FROM _hq q JOIN _hd d USING (bucket) GROUP BY ALL),
+_post AS (SELECT id, term, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(t) AS term FROM _tt) GROUP BY id, term),
+_sc AS (SELECT s.qid, p.id, round(sum(s.idf * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / st.avgdl))), 9) AS s
+        FROM _sel s JOIN _post p USING (term) JOIN _dl l ON l.id = p.id, _stats st GROUP BY s.qid, p.id),
+_both AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM _near WHERE s > 0
+          UNION ALL SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM _sc WHERE s > 0),
+_f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM _both WHERE rank <= 10 GROUP BY ALL),
+_r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM _f)
+SELECT qid, rank::BIGINT AS rank, id, score FROM _r WHERE rank <= 3""",
     "search_terms": f"WITH {lexical_ctes()} SELECT qid, term_rank::BIGINT AS term_rank, term FROM _sel",
     "search_phrases": f"WITH {phrase_ctes()} SELECT qid, term, next, n, round(score, 6) AS score FROM _phr",
     "lexical_topk_phrases": f"""WITH {phrase_ctes()},
