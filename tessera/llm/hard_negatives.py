@@ -31,7 +31,7 @@ from tessera.llm.common import partitions, pick
 from tessera.session import materialize
 
 #: Rows and queries of a block; components of the finest segments.
-ROWS, QUERIES, FINEST = 4096, 256, 4
+ROWS, QUERIES, FINEST = 4096, 256, 2
 #: Bounds are widened by this part of the product of the lengths, against rounding.
 ROUNDING = 1e-9
 _FAR = 1 << 62
