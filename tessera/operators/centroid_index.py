@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import retrieve
-from tessera.session import materialize, work_dir
+from tessera.session import BLOCK_ROWS, materialize, work_dir
 
 SAMPLE_BYTES = 64 << 20  # of vectors that the centroids are fitted on, about
 MOST_LISTS = 4096
@@ -36,6 +36,7 @@ ROUNDS = 12  # of k-means
 RECALL, ASKED = 0.97, 1024  # of the calibration, and the rows of the sample that are asked
 BLOCK, SPLIT = 4096, 16  # rows of a block, blocks of a salt
 QUESTIONS = 1024
+CELLS = 1 << 20  # scores that the driver holds at once while it fits and calibrates
 
 
 @dataclass(frozen=True)
@@ -65,33 +66,55 @@ def fit(sample: np.ndarray, lists: int, seed: int = 0) -> np.ndarray:
         nearest = np.maximum(nearest, rows @ centres[-1])
     c = np.array(centres)
     for _ in range(ROUNDS):
-        score = rows @ c.T
-        own = score.argmax(axis=1)
+        own, score = _own(rows, c)
         sums = np.zeros_like(c)
-        np.add.at(sums, own, rows)
+        for part in _parts(len(rows), rows.shape[1]):
+            np.add.at(sums, own[part], rows[part])
         for lost in np.flatnonzero(np.bincount(own, minlength=lists) == 0):
-            worst = score[np.arange(len(rows)), own].argmin()
-            sums[lost], own[worst] = rows[worst], lost
-            score[worst, lost] = np.inf
+            worst = score.argmin()
+            sums[lost], own[worst], score[worst] = rows[worst], lost, np.inf
         c = retrieve._normalise(sums)
     return c
 
 
+def _parts(n: int, width: int):
+    """Slices of ``n`` rows with about ``CELLS`` cells each."""
+    step = max(1, CELLS // max(1, width))
+    return (slice(lo, lo + step) for lo in range(0, n, step))
+
+
+def _own(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row, and its score."""
+    own, best = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    for part in _parts(len(rows), len(centres)):
+        score = rows[part] @ centres.T
+        own[part], best[part] = score.argmax(axis=1), score.max(axis=1)
+    return own, best
+
+
 def calibrated(sample: np.ndarray, centres: np.ndarray, k: int, target: float) -> int:
     """The least number of lists probed that finds ``target`` of the ``k`` nearest rows."""
     rows = retrieve._normalise(np.asarray(sample, np.float64))
-    own, asked = (rows @ centres.T).argmax(axis=1), rows[:ASKED]
-    score = asked @ rows.T
-    score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    own, asked = _own(rows, centres)[0], rows[:ASKED]
     k = min(k, len(rows) - 1)
     if k < 1:
         return len(centres)
-    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
-    places = np.sort(place[np.arange(len(asked))[:, None], own[near]].ravel())
+    places = []
+    for part in _parts(len(asked), len(rows)):
+        score = -(asked[part] @ rows.T)
+        score[np.arange(len(score)), np.arange(part.start, part.start + len(score))] = np.inf
+        near = np.argpartition(score, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(asked[part] @ centres.T), axis=1), axis=1)
+        places.append(place[np.arange(len(place))[:, None], own[near]].ravel())
+    places = np.sort(np.concatenate(places))
     return int(places[int(np.ceil(target * len(places))) - 1]) + 1
 
 
+def _matrix(vectors: DataFrame) -> np.ndarray:
+    """The vectors of a bounded frame of one column, one per row."""
+    return retrieve._vectors(vectors.toArrow().column(0).combine_chunks())
+
+
 def _nearest(centres: np.ndarray, probes: int, vec: str, out: str):
     """Adds ``out``: the numbers of the ``probes`` nearest centroids, nearest first."""
 
@@ -152,9 +175,10 @@ def write(corpus: DataFrame, path: str, id_col: str | list[str] = "id", vec_col:
     if n:
         most = max(1, SAMPLE_BYTES // (8 * max(1, dims)))
         # by a hash of the ids: the same rows in every run
-        kept = rows.where(F.pmod(F.xxhash64(*ids), F.lit(-(-n // most))) == 0).orderBy(F.xxhash64(F.lit(1), *ids)).select("vec").limit(most).collect()
-        kept = kept or rows.select("vec").limit(1).collect()
-        sample = np.array([r.vec for r in kept])
+        kept = rows.where(F.pmod(F.xxhash64(*ids), F.lit(-(-n // most))) == 0).orderBy(F.xxhash64(F.lit(1), *ids)).select("vec").limit(most)
+        # as Arrow: on the driver no row is an object
+        sample = _matrix(kept)
+        sample = sample if len(sample) else _matrix(rows.select("vec").limit(1))
         centres = fit(sample, min(MOST_LISTS, lists or max(1, round(n**0.5))))
         probes = calibrated(sample, centres, retrieve.TOP_K, RECALL)
     else:
@@ -173,7 +197,7 @@ def write(corpus: DataFrame, path: str, id_col: str | list[str] = "id", vec_col:
     schema = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("salt", T.IntegerType()),
                            *(T.StructField(f.name, T.ArrayType(f.dataType)) for f in rows.schema.fields)])
     salted.repartition(tasks, "list", "salt").sortWithinPartitions("list", "salt").mapInArrow(_blocks(ids), schema) \
-        .write.parquet(os.path.join(path, "lists"))
+        .write.options(**BLOCK_ROWS).parquet(os.path.join(path, "lists"))
     return index
 
 

@@ -89,3 +89,15 @@ def test_fit_uses_every_centroid():
     assert sorted(map(tuple, np.round(c, 6))) == sorted(map(tuple, np.eye(3)))
     with pytest.raises(ValueError):
         centroid_index.fit(np.zeros((0, 3)), 2)
+
+
+def test_the_driver_holds_no_table_of_all_scores():
+    """Fitting and calibration hold little beside the sample, whatever its size."""
+    import tracemalloc
+
+    x = np.random.default_rng(6).normal(size=(20_000, 8))
+    tracemalloc.start()
+    probes = centroid_index.calibrated(x, centroid_index.fit(x, 60), 3, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < probes <= 60 and peak < 60 << 20  # 1,024 x 20,000 scores are 160 MB
