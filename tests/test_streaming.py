@@ -78,3 +78,24 @@ def test_session_state_stream_equals_batch(spark, tmp_path):
         q.awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(out).select("session_id", "seq", "text", "model").collect())
     assert got == exp == [(1, 1, "what", "fast"), (1, 3, "why", "smart"), (2, 1, "q", "fast"), (2, 3, "r", "fast")]
+
+
+def test_a_step_sorts_arrays_not_frames(monkeypatch):
+    """Most sessions are short, where a frame's own sort costs more than the rest of the step."""
+    import pandas as pd
+
+    from tessera.streaming import session_state
+
+    class State:
+        exists, kept = False, None
+
+        def update(self, x):
+            self.kept = x
+
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    ts = pd.to_datetime(["2024-01-01 00:00:02", "2024-01-01 00:00:01", "2024-01-01 00:00:01"])
+    rows = pd.DataFrame({"session_id": [5] * 3, "ts": ts, "event_id": [1, 3, 2], "text": ["c", "Smart Tutor", None]})
+    state = State()
+    out = pd.concat(session_state._step((5,), iter([rows]), state))
+    assert [tuple(r) for r in out[["session_id", "seq", "model", "late"]].itertuples(index=False)] == [(5, 1, "fast", False), (5, 3, "smart", False)]
+    assert state.kept[:3] == ("smart", 0, 3)
