@@ -5,15 +5,22 @@ rejects table.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
+from itertools import groupby
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, embed, store
-from tessera.session import materialize, work_dir
+from tessera.session import file_system, materialize, work_dir
 from tessera.sources import files as FS
 
+#: Folders that a document table's files are spread over.
+FOLDERS = 256
+
 
 def folder_chunks(spark: SparkSession, path: str, decoders: dict[str, Callable[[bytes], str]] | None = None,
                   recursive: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -27,8 +34,9 @@ def decoded_files(scanned: DataFrame, decoders: dict | None = None) -> DataFrame
     others go through the decoder of their extension."""
     utf8 = (F.col("kind") == "text") | (F.col("ext") == "csv")
     text, ok = F.col("content").cast("string"), F.is_valid_utf8(F.col("content").cast("string"))
-    read = materialize(scanned.select("path", "name", "ext", "kind", utf8.alias("utf8"), F.when(utf8 & ok, text).alias("text"),
-                                      F.when(~utf8, F.col("content")).alias("content")), "files-read")
+    with FS.small_files(scanned.sparkSession):
+        read = materialize(scanned.select("path", "name", "ext", "kind", utf8.alias("utf8"), F.when(utf8 & ok, text).alias("text"),
+                                          F.when(~utf8, F.col("content")).alias("content")), "files-read")
     plain = read.where("utf8").select("path", "name", "kind", "text", F.when(F.col("text").isNull(), "invalid UTF-8").alias("error"))
     other = FS.decode_with(read.where("not utf8"), decoders or {})
     other = materialize(other.select("path", "name", "kind", F.when(F.col("ok"), F.col("text")).alias("text"), F.when(~F.col("ok"), F.col("error")).alias("error")), "files-decoded")
@@ -63,11 +71,55 @@ def ingest_folder(spark: SparkSession, path: str, root: str, namespace: str = "h
     return rejects
 
 
+def file_of_name(name: str | None) -> str:
+    """``<folder>/<file>`` for a name: the file is the name with all but letters, digits
+    and ``_.-~`` as percent escapes (and never hidden), the folder one of ``FOLDERS`` by
+    its hash.  :func:`tessera.sources.files.name_of_path` gives the name back."""
+    name = name or "__HIVE_DEFAULT_PARTITION__"  # what a partitioned writer calls it
+    file = quote(name, safe="")
+    if file[0] in "._":
+        file = f"%{ord(file[0]):02X}{file[1:]}"
+    return f"part-{zlib.crc32(name.encode()) % FOLDERS:03d}/{file}"
+
+
+def _file_writer(path: str):
+    """Arrow batches ``(name, text)``, ordered by name, to files; yields how many."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(path)
+        made, n = set(), 0
+        rows = ((name, text) for rb in batches for name, text in zip(*(c.to_pylist() for c in rb.columns)))
+        for name, same in groupby(rows, key=lambda r: r[0]):
+            folder, file = file_of_name(name).split("/")
+            if folder not in made:
+                fs.create_dir(f"{base}/{folder}")
+                made.add(folder)
+            # under a hidden name of its own first, so that another attempt of the task never leaves half a file
+            draft = f"{base}/{folder}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(draft) as out:
+                for _, text in same:
+                    out.write(((text or "") + "\n").encode())
+            fs.move(draft, f"{base}/{folder}/{file}")
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return run
+
+
 def write_documents_as_files(docs: DataFrame, name_col: str = "f", text_col: str = "text") -> str:
-    """Lay a document table out as a folder of files (one file per name,
-    under ``f=<name>/``) in the shared scratch folder; returns the folder."""
+    """Lay a document table out as a folder of files (one file per name, a line end
+    behind each text) in the shared scratch folder; returns the folder.
+
+    Every file is written by exactly one task, and the tasks write in parallel: a
+    partitioned writer makes a folder per name, and its commit moves them one by one
+    on the driver.  The files lie in ``FOLDERS`` folders, so that Spark's listing is
+    spread over tasks too."""
     path = work_dir(docs.sparkSession, "files")
-    # one row per name, hashed by name: every file is written by exactly one
-    # task, and the tasks write in parallel
-    docs.select(name_col, text_col).repartition(name_col).write.partitionBy(name_col).text(path)
+    rows = docs.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text"))
+    rows = rows.select(F.when(F.col("name") != "", F.col("name")).alias("name"), "text")
+    rows.repartition("name").sortWithinPartitions("name", "text").mapInArrow(_file_writer(path), "n long").agg(F.sum("n")).first()
+    file_system(docs.sparkSession, path)[0].mkdirs(file_system(docs.sparkSession, path)[1])  # there without rows, too
     return path

@@ -9,6 +9,7 @@ fills with a ``bytes -> str`` function per extension.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import file_extension, file_kind
 
+#: Bytes that opening a file is worth in a scan of a folder.
+OPEN_COST = 64 * 1024
+
 
 def name_of_path(path_col) -> object:
     """File name: the last path segment, or the value of a ``f=<name>``
@@ -39,6 +43,20 @@ def scan_folder(spark: SparkSession, path: str, recursive: bool = False) -> Data
     return with_kind(df)
 
 
+@contextmanager
+def small_files(spark: SparkSession):
+    """While a folder is read: a file counts for its bytes and ``OPEN_COST``, not for
+    4 MB more, by which a task of some megabytes has 32 files and a folder of many
+    small ones as many tasks (and as many files of their rows)."""
+    name = "spark.sql.files.openCostInBytes"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_COST))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def with_kind(df: DataFrame) -> DataFrame:
     name = name_of_path(F.col("path"))
     return df.select("path", name.alias("name"), "length", "content").select(

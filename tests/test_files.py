@@ -45,3 +45,21 @@ def test_decoder_failure_is_rejected(spark, tmp_path):
 def test_csv_render_doubles_quotes(spark):
     df = spark.createDataFrame([('q"t', "b")], "a string, b string")
     assert FS.csv_render(df).first()["row"] == '"q""t",b'
+
+
+def test_documents_are_laid_out_in_few_folders(spark):
+    """A folder per file is moved by the driver one by one, and a task per 32 small files is most of a scan."""
+    odd = ["_h.txt", ".d.txt", "a+b c.txt", "x/y%41.txt", "é:*.txt", None, ""]
+    rows = [(f"doc_{i}.txt", f"text {i}") for i in range(600)] + [(n, "odd") for n in odd] + [("twice.txt", "b"), ("twice.txt", "a"), ("null.txt", None)]
+    path = ingest.write_documents_as_files(spark.createDataFrame(rows, "f string, text string"))
+    local = path.removeprefix("file:")
+    assert len(os.listdir(local)) <= ingest.FOLDERS and not [f for _, _, fs in os.walk(local) for f in fs if f.startswith((".", "_"))]
+    scanned = FS.scan_folder(spark, path, recursive=True)
+    got = {r["name"]: bytes(r["content"]).decode() for r in scanned.collect()}
+    want = {n: f"{t}\n" for n, t in rows if n and n not in ("twice.txt", "null.txt")}
+    assert got == want | {"__HIVE_DEFAULT_PARTITION__": "odd\nodd\n", "twice.txt": "a\nb\n", "null.txt": "\n"}
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    with FS.small_files(spark):
+        assert FS.scan_folder(spark, path, recursive=True).rdd.getNumPartitions() <= 8
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == was
+    assert FS.scan_folder(spark, ingest.write_documents_as_files(spark.createDataFrame([], "f string, text string")), recursive=True).count() == 0
