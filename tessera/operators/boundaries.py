@@ -35,6 +35,10 @@ ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 #: A word with the white space before it; what isn't part of a word before and behind it; what ends it.
 PIECE, BEFORE, BEHIND, MARKS = r"\s*\S+", r"^[^\p{L}\p{N}]+", r"[\"'”’»)\]]+$", r"[.,;:!?…]+$"
 NUMBER = r"^[0-9][0-9.,]*$"
+#: A word of small letters alone (to the very end: ``$`` also stands before a last line separator).
+SMALL = r"^ *\p{Ll}+\z"
+#: How a word begins that begins with a capital.
+CAPITAL = r"^[^\p{L}\p{N}]*\p{Lu}"
 
 
 def pieces(text: Column) -> Column:
@@ -44,13 +48,22 @@ def pieces(text: Column) -> Column:
 
 def word(piece: Column) -> Column:
     """(type, mark, case) of a word: ``type`` small, without edges, ``#`` for numbers;
-    ``mark`` p: period, l: several, e: ``!`` or ``?``; ``case`` u, l or nothing."""
-    core = F.regexp_replace(F.ltrim(piece), BEFORE, "")
-    body = F.regexp_replace(core, BEHIND, "")
-    plain = F.lower(F.regexp_replace(body, MARKS, ""))
-    mark = F.when(body.rlike(r"[!?]$"), "e").when(body.rlike(r"(\.\.|…)$"), "l").when(body.endswith("."), "p").otherwise("")
-    case = F.when(core.rlike(r"^\p{Lu}"), "u").when(core.rlike(r"^\p{Ll}"), "l").otherwise("")
-    return F.struct(F.when(plain.rlike(NUMBER), "#").otherwise(plain).alias("type"), mark.alias("mark"), case.alias("case"))
+    ``mark`` p: period, l: several, e: ``!`` or ``?``; ``case`` u, l or nothing.
+
+    A word of small letters, as most are, is its own type; for others each step is an
+    array of one, as an expression that is named twice in a lambda is worked out twice."""
+    core = F.transform(F.array(piece), lambda x: F.regexp_replace(F.ltrim(x), BEFORE, ""))
+    body = F.transform(core, lambda x: F.struct(x.alias("core"), F.regexp_replace(x, BEHIND, "").alias("body")))
+    plain = F.transform(body, lambda x: F.struct(x["core"].alias("core"), x["body"].alias("body"), F.lower(F.regexp_replace(x["body"], MARKS, "")).alias("plain")))
+
+    def parts(x: Column) -> Column:
+        core, body, plain = x["core"], x["body"], x["plain"]
+        mark = F.when(body.rlike(r"[!?]$"), "e").when(body.rlike(r"(\.\.|…)$"), "l").when(body.endswith("."), "p").otherwise("")
+        case = F.when(core.rlike(r"^\p{Lu}"), "u").when(core.rlike(r"^\p{Ll}"), "l").otherwise("")
+        return F.struct(F.when(plain.rlike(NUMBER), "#").otherwise(plain).alias("type"), mark.alias("mark"), case.alias("case"))
+
+    small = F.struct(F.ltrim(piece).alias("type"), F.lit("").alias("mark"), F.lit("l").alias("case"))
+    return F.when(piece.rlike(SMALL), small).otherwise(F.get(F.transform(plain, parts), 0))
 
 
 @dataclass(frozen=True)
@@ -64,19 +77,58 @@ class Model:
     collocations: DataFrame
 
 
-def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, w): the words of each document, written once as all passes read them."""
-    rows = docs.select(F.col(id_col).alias("id"), pieces(F.coalesce(F.col(text_col), F.lit(""))).alias("p"))
-    return materialize(rows.select("id", F.transform("p", word).alias("w")), "sentence-words")
+def _marked(piece: Column) -> Column:
+    """Whether a word holds what a mark is made of.  Every word is asked, so by bytes, not by patterns."""
+    return F.contains(piece, F.lit(".")) | F.contains(piece, F.lit("!")) | F.contains(piece, F.lit("?")) | F.contains(piece, F.lit("…"))
 
 
-def _places(words: DataFrame) -> DataFrame:
-    """(id, i, type, mark, case, next, next_case, before): a row per word; ``next`` is
-    null at the end, ``before`` the mark of the word before, null at the start."""
-    at = F.transform("w", lambda x, i: F.struct(
-        i.alias("i"), x["type"].alias("type"), x["mark"].alias("mark"), x["case"].alias("case"), F.get("w", i + 1)["type"].alias("next"),
-        F.get("w", i + 1)["case"].alias("next_case"), F.when(i > 0, F.get("w", i - 1)["mark"]).alias("before")))
-    return words.select("id", F.explode(at).alias("x")).select("id", "x.*")
+def _capital(piece: Column) -> Column:
+    """Whether a word begins with a capital; the pattern is for words that are not of small ASCII letters."""
+    return ((F.lower(piece) != piece) | (F.octet_length(piece) > F.length(piece))) & piece.rlike(CAPITAL)
+
+
+@dataclass(frozen=True)
+class Words:
+    """What all passes read, written once: ``texts(id, p)``, the pieces of each document,
+    and ``marked(id, i, type, mark, next, next_case)``, its words with a mark and a word after them."""
+
+    texts: DataFrame
+    marked: DataFrame
+
+
+def _words(docs: DataFrame, id_col: str, text_col: str) -> Words:
+    texts = materialize(docs.select(F.col(id_col).alias("id"), pieces(F.coalesce(F.col(text_col), F.lit(""))).alias("p")), "sentence-words")
+    # few pieces hold a character that makes a mark: only these and their next ones are looked into
+    rows = _pick(texts, 0, F.size("p") - 2, lambda i: _marked(F.get("p", i)), lambda i: (F.get("p", i).alias("p"), F.get("p", i + 1).alias("q")))
+    rows = rows.select("id", "i", word(F.col("p")).alias("w"), word(F.col("q")).alias("v"))
+    rows = rows.select("id", "i", "w.type", "w.mark", F.col("v.type").alias("next"), F.col("v.case").alias("next_case"))
+    return Words(texts, materialize(rows, "sentence-marks").where(F.col("mark") != ""))  # here: before it, ``word`` would run twice
+
+
+def _pick(texts: DataFrame, first: int, last: Column, wanted, fields) -> DataFrame:
+    """(id, i, fields): a row per place of ``first`` to ``last`` that is wanted; other
+    places don't leave their document's array."""
+    places = F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
+    rows = F.transform(F.filter(places, wanted), lambda i: F.struct(i.alias("i"), *fields(i)))
+    # outer: for a plain generator Spark adds a filter on the array's size, which works the array out once more
+    return texts.select("id", F.inline_outer(rows)).where("i is not null")
+
+
+def _counts(texts: DataFrame) -> DataFrame:
+    """(type, n, n_dot, lower, inner).  Pieces are counted as written, then what was
+    found is looked into, once each: a vocabulary, not every word."""
+    known = texts.select(F.explode("p").alias("p")).groupBy(F.ltrim("p").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    known = known.select("n", word(F.col("p")).alias("w")).select("w.*", "n")
+    if_ = lambda c: F.when(c, F.col("n")).otherwise(0)
+    known = known.select("type", "n", if_(F.col("mark") == "p").alias("n_dot"), if_(F.col("case") == "l").alias("lower"), F.lit(0).cast("bigint").alias("inner"))
+    # a capital inside of a sentence: behind a word without a mark
+    pair = _pick(texts, 1, F.size("p") - 1, lambda i: _capital(F.get("p", i)), lambda i: (
+        F.ltrim(F.get("p", i)).alias("p"), F.when(_marked(F.get("p", i - 1)), F.get("p", i - 1)).alias("before")))
+    pair = pair.groupBy("p", "before").agg(F.count(F.lit(1)).alias("n"))
+    pair = pair.where(F.col("before").isNull() | (word(F.col("before"))["mark"] == "")).select(word(F.col("p")).alias("w"), "n")
+    none = F.lit(0).cast("bigint")
+    inner = pair.where(F.col("w.case") == "u").select("w.type", none.alias("n"), none.alias("n_dot"), none.alias("lower"), F.col("n").alias("inner"))
+    return known.unionByName(inner).groupBy("type").agg(*[F.sum(c).alias(c) for c in ("n", "n_dot", "lower", "inner")])
 
 
 def _likelihood(a: Column, b: Column, both: Column, n: Column) -> Column:
@@ -97,12 +149,10 @@ def _weak(c: Column) -> Column:
     return c.rlike(r"^(\p{L}|#)$")
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, words: DataFrame | None = None) -> Model:
+def fit(docs: DataFrame, id_col: str, text_col: str, words: Words | None = None) -> Model:
     """The model of all documents; null texts have no words."""
-    places = _places(_words(docs, id_col, text_col) if words is None else words)
-    counts = materialize(places.groupBy("type").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("mark") == "p").alias("n_dot"), F.count_if(F.col("case") == "l").alias("lower"),
-        F.count_if((F.col("case") == "u") & (F.col("before") == "")).alias("inner")), "sentence-counts")
+    words = _words(docs, id_col, text_col) if words is None else words
+    counts = materialize(_counts(words.texts), "sentence-counts")
     total, dots = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_dot"), F.lit(0))).first()
     share = F.lit(min(max(dots / total, 1e-12), 1 - 1e-12) if total else 0.5)
     dot, plain = F.col("n_dot").cast("double"), (F.col("n") - F.col("n_dot")).cast("double")
@@ -113,7 +163,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, words: DataFrame | None = N
         "type", "n_dot", (F.col("n") - F.col("n_dot")).alias("n_plain"), score.alias("score")).where(F.col("score") >= ABBREVIATION)
     abbreviations = materialize(abbreviations, "abbreviations")
 
-    dotted = places.where((F.col("mark") == "p") & F.col("next").isNotNull()).select("type", "next")
+    dotted = words.marked.where(F.col("mark") == "p").select("type", "next")
     dotted = dotted.join(abbreviations.select("type", F.lit(True).alias("abbr")), "type", "left")
     pairs = materialize(dotted.groupBy("type", "next", F.coalesce("abbr", F.lit(False)).alias("abbr")).agg(F.count(F.lit(1)).alias("both")), "sentence-pairs")
     n = F.lit(float(total))
@@ -129,9 +179,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, words: DataFrame | None = N
                  materialize(collocations.select("type", "next"), "sentence-collocations"))
 
 
-def ends(words: DataFrame, model: Model) -> DataFrame:
+def ends(words: Words, model: Model) -> DataFrame:
     """(id, ends): the places of the words that end a sentence inside of a document, ascending."""
-    rows = _places(words.where(F.exists("w", lambda x: x["mark"] != ""))).where((F.col("mark") != "") & F.col("next").isNotNull())
+    rows = words.marked
     yes = lambda name: F.lit(True).alias(name)
     rows = rows.join(model.abbreviations.select("type", yes("abbr")), "type", "left")
     rows = rows.join(model.collocations.select("type", "next", yes("pair")), ["type", "next"], "left")

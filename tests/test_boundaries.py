@@ -60,3 +60,28 @@ def test_an_empty_corpus(spark):
     docs = spark.createDataFrame([], "id long, text string")
     assert boundaries.with_sentences(docs, "id", "text").collect() == []
     assert boundaries.fit(docs, "id", "text").abbreviations.collect() == []
+
+
+def test_counts_of_the_vocabulary_are_those_of_all_words(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "The  Rain fell. The rain\tFell! iPhone ÉTÉ 𝐀b E.g. the Rain, rain... No. 7"), (2, "rain Rain"), (3, ""), (4, None), (5, "Rain")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    words = boundaries._words(docs, "id", "text")
+    got = {r["type"]: tuple(r)[1:] for r in boundaries._counts(words.texts).collect()}
+    want = {}
+    for r in words.texts.select("id", F.transform("p", boundaries.word).alias("w")).collect():
+        for i, w in enumerate(r["w"]):
+            c = want.setdefault(w["type"], [0, 0, 0, 0])
+            new = 1, w["mark"] == "p", w["case"] == "l", w["case"] == "u" and i > 0 and r["w"][i - 1]["mark"] == ""
+            want[w["type"]] = [a + int(b) for a, b in zip(c, new)]
+    assert got == {k: tuple(v) for k, v in want.items()} and got["rain"][3] == 2
+
+
+def test_arrays_are_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.createDataFrame([(1, ["a", "b."])], "id long, p array<string>")
+    plan = boundaries._pick(texts, 0, F.size("p") - 1, lambda i: F.get("p", i) != "", lambda i: (F.get("p", i).alias("x"),))
+    assert [tuple(r) for r in plan.collect()] == [(1, 0, "a"), (1, 1, "b.")]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction") <= 4
