@@ -110,8 +110,7 @@ def _pick(texts: DataFrame, first: int, last: Column, wanted, fields) -> DataFra
     places don't leave their document's array."""
     places = F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
     rows = F.transform(F.filter(places, wanted), lambda i: F.struct(i.alias("i"), *fields(i)))
-    # outer: for a plain generator Spark adds a filter on the array's size, which works the array out once more
-    return texts.select("id", F.inline_outer(rows)).where("i is not null")
+    return texts.select("id", F.explode(rows).alias("x")).select("id", "x.*")
 
 
 def _counts(texts: DataFrame) -> DataFrame:
