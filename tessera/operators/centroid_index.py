@@ -8,13 +8,15 @@ holds ``RECALL`` of their nearest rows of the sample (in the whole corpus nearer
 ones exist, so less is missed).  With all lists probed the result is the exact one.
 
 A list is stored in blocks of ``BLOCK`` rows and a large one is split by salt over
-several tasks.  The questions that probe a list meet its blocks in packs of about
-``QUESTIONS``, by an equi-join on (list, salt), so neither a list with a third of
-the rows nor one that all questions probe stays in one task, and no (question, row)
-pair is a row of the plan.  A task keeps the best ``k`` of each question.
+several tasks.  Blocks of ``QUESTIONS`` questions, with the lists that each probes,
+meet the lists' blocks on a grid (:mod:`tessera.operators.blocks`), and a task scores
+a block for the questions that probe its list.  A question is copied once per row of the
+grid, however many lists it probes; neither a list with a third of the rows nor one that
+all questions probe stays in one task, and no (question, list) or (question, row) pair is a
+row of the plan.  A task keeps the best ``k`` of each question.
 
 ``path/centroids``  (list, centre, n, salts, probes), ``probes`` the calibrated number
-``path/lists``      (list, salt, id columns and vec as arrays)
+``path/lists``      (shard, list, id columns as arrays, vec as bytes), ``shard`` numbers the blocks
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import os
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import retrieve
+from tessera.operators.blocks import meet
 from tessera.session import BLOCK_ROWS, materialize, work_dir
 
 SAMPLE_BYTES = 64 << 20  # of vectors that the centroids are fitted on, about
@@ -35,7 +39,7 @@ MOST_LISTS = 4096
 ROUNDS = 12  # of k-means
 RECALL, ASKED = 0.97, 1024  # of the calibration, and the rows of the sample that are asked
 BLOCK, SPLIT = 4096, 16  # rows of a block, blocks of a salt
-QUESTIONS = 1024
+QUESTIONS = 4096  # of a block
 CELLS = 1 << 20  # scores that the driver holds at once while it fits and calibrates
 
 
@@ -132,20 +136,37 @@ def _nearest(centres: np.ndarray, probes: int, vec: str, out: str):
     return run
 
 
+def _probed(centres: np.ndarray, probes: int):
+    """Adds to blocks of questions ``lists``: the numbers of the ``probes`` nearest
+    centroids of each, as the bytes of 16-bit numbers."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rb in batches:
+            for i in range(rb.num_rows):
+                q = retrieve._matrix(rb, i, "qvec", len(rb.column("qid")[i].values))
+                parts = (np.argsort(-np.round(q[part] @ centres.T, 9), axis=1, kind="stable")[:, :probes] for part in _parts(len(q), len(centres)))
+                near = np.concatenate([*parts]).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in rb.columns), pa.array([near.tobytes()], pa.binary())], names=[*rb.schema.names, "lists"])
+
+    return run
+
+
 def _blocks(ids: list[str]):
     """Rows that follow one another by (list, salt) to blocks."""
 
     def run(batches):
         import pyarrow as pa
 
-        held, key = [], None
+        number, held, key = TaskContext.get().partitionId() << 33, [], None
 
         def block():
-            rows = pa.concat_batches(held)
+            nonlocal number
+            number += 1
+            cells = retrieve._vector_block([[rb.column(c) for c in ids] for rb in held], [rb.column("vec") for rb in held], True)
             held.clear()
-            ends = pa.array([0, rows.num_rows], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, rows.column(c)) for c in (*ids, "vec")]
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), *lists], names=["list", "salt", *ids, "vec"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([key[0]], pa.int32()), *cells], names=["shard", "list", *ids, "vec"])
 
         for rb in batches:
             at, salt = (rb.column(c).to_numpy(zero_copy_only=False) for c in ("list", "salt"))
@@ -194,8 +215,8 @@ def write(corpus: DataFrame, path: str, id_col: str | list[str] = "id", vec_col:
     salts = F.broadcast(index.centroids(spark).select("list", "salts"))
     salted = placed.join(salts, "list").withColumn("salt", F.pmod(F.xxhash64(*ids), "salts").cast("int")).select("list", "salt", *ids, "vec")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("salt", T.IntegerType()),
-                           *(T.StructField(f.name, T.ArrayType(f.dataType)) for f in rows.schema.fields)])
+    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("list", T.IntegerType()),
+                           *(T.StructField(c, T.ArrayType(T.LongType())) for c in ids), T.StructField("vec", T.BinaryType())])
     salted.repartition(tasks, "list", "salt").sortWithinPartitions("list", "salt").mapInArrow(_blocks(ids), schema) \
         .write.options(**BLOCK_ROWS).parquet(os.path.join(path, "lists"))
     return index
@@ -220,17 +241,10 @@ def topk(index: CentroidIndex, questions: DataFrame, k: int = retrieve.TOP_K, pr
     rows = questions.select(F.col(qid_col).alias("qid"), F.col(qvec_col).cast("array<double>").alias("qvec"))
     if not centres:
         return retrieve.rank_topk(spark.createDataFrame([], T.StructType([rows.schema["qid"], *(T.StructField(c, T.LongType()) for c in ids), T.StructField("score", T.DoubleType())])), ids, k)
-    schema = T.StructType([*rows.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))])
-    asked = materialize(rows.mapInArrow(_nearest(np.array(centres), probes or len(centres), "qvec", "lists"), schema), "probed")
-    packs = max(1, -(-asked.count() // QUESTIONS))
-    asked = asked.select("qid", "qvec", F.explode("lists").alias("list")).join(F.broadcast(centroids.where("salts > 0").select("list", "salts")), "list")
-    asked = asked.withColumn("pack", F.pmod(F.xxhash64("qid"), F.lit(packs)))
-    asked = asked.groupBy("list", "salts", "pack").agg(F.collect_list(F.struct("qid", "qvec")).alias("x"))  # about QUESTIONS
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.xxhash64("list", "pack").alias("qblock"),
-                         F.col("x.qid").alias("qid"), F.col("x.qvec").alias("qvec"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, asked = (x.repartition(tasks, "list", "salt") for x in (index.lists(spark), asked))  # the work isn't in the bytes
-    found = retrieve.best_rows(asked.join(blocks.hint("merge"), ["list", "salt"]), rows.schema["qid"].dataType, ids, k,
+    asked = retrieve.pack_vectors(rows, ["qid"], "qvec", QUESTIONS, "question-blocks", "qblock")
+    if probes and probes < len(centres):
+        asked = materialize(asked.mapInArrow(_probed(np.array(centres), probes), T.StructType([*asked.schema.fields, T.StructField("lists", T.BinaryType())])), "probed", BLOCK_ROWS)
+    found = retrieve.best_rows(meet(index.lists(spark), asked, "shard", "qblock"), rows.schema["qid"].dataType, ids, k,
                                retrieve.cosine_pairs(ids, exclude_self, retrieve.CELL_BUDGET))
     return retrieve.rank_topk(found, ids, k)
 

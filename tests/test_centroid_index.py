@@ -101,3 +101,15 @@ def test_the_driver_holds_no_table_of_all_scores():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert 0 < probes <= 60 and peak < 60 << 20  # 1,024 x 20,000 scores are 160 MB
+
+
+def test_a_question_is_not_copied_per_list(spark):
+    """However many lists are probed: a question is in one block, with the numbers of its lists."""
+    corpus = _frame(spark, _clusters(300))
+    questions = _frame(spark, _clusters(40, seed=2), 1000, "qid long, embedding array<double>")
+    index = centroid_index.build(corpus, lists=30)
+    for probes in (3, 29, None):
+        plan = centroid_index.topk(index, questions, probes=probes)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "explode(lists" not in plan
+    some, exact = (centroid_index.topk(index, questions, probes=p) for p in (29, None))
+    assert centroid_index.recall(some, exact, ["id"]) > 0.9
