@@ -146,7 +146,8 @@ def _search(rows: DataFrame, queries: DataFrame, same: bool, k: int, groups: int
     ``queries`` carries ``asked``: (anchor, windows) of each query."""
     dealt = queries.select("size", F.col("block").alias("asked_by"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "labels", "data", "stored")], "asked",
                            F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    pairs = rows.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).join(dealt, ["g", "size"])
+    # by merging: the queries look small enough for a broadcast, which would hold all their copies, one per group, on the driver
+    pairs = rows.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).join(dealt.hint("merge"), ["g", "size"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, asked, best = None, [], []

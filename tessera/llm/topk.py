@@ -141,9 +141,9 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     asked = materialize(_packed(vectors.where(is_query).coalesce(1 + shards.rdd.getNumPartitions() // 8), BATCH)
                         .withColumn("batch", F.monotonically_increasing_id()), "query-batches")
     groups = min(partitions(df), max(1, shards.count()))
-    pairs = shards.withColumn("g", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int")).join(
-        asked.select("size", "batch", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
-                     F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g")), ["g", "size"])
+    dealt = asked.select("size", "batch", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    # by merging: the batches look small enough for a broadcast, which would hold all their copies, one per group, on the driver
+    pairs = shards.withColumn("g", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int")).join(dealt.hint("merge"), ["g", "size"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, lists, ids = None, None, None

@@ -101,3 +101,14 @@ def test_finer_levels_see_fewer_rows():
     assert set(np.argsort(-(x[1:] @ q[0]))[:5] + 1) <= set(rows.tolist()) and no == 0
     assert (scores == x[rows] @ q[0]).all()
     assert looked[0] == 3999 and looked[-1] < 100 and (np.diff(looked) <= 0).all()
+
+
+def test_no_copies_of_the_queries_on_the_driver(spark):
+    """A broadcast would collect every block of queries once per group of blocks, however small its file."""
+    df = spark.createDataFrame([(i, [0.5, float(i)], i % 3) for i in range(40)], "vec_id long, embedding array<float>, label int")
+    rows = H._packed(H.quantised(df).select("vec_id", "label", "v", F.lit(0).alias("none")), 16, "none", "int")
+    ask = "struct<anchor: bigint, windows: array<struct<low: bigint, high: bigint>>>"
+    one = F.struct("vec_id", F.array(F.struct(F.lit(0).alias("low"), F.lit(9).alias("high")))).cast(ask)
+    asked = H._packed(H.quantised(df).select("vec_id", "label", "v", one.alias("asked")), 16, "asked", ask)
+    plan = H._search(rows, asked, True, 3, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan

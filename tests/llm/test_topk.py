@@ -105,3 +105,10 @@ def test_bounds_of_the_unread_part():
     high, low = rng.random((60, 7)) < 0.5, rng.random((60, 7)) < 0.5
     left = (x * ~high) @ u + (x * ~low) @ v
     assert (np.abs(left) <= topk.Lists._unread(x, high, low, u, v)).all()
+
+
+def test_no_copies_of_the_queries_on_the_driver(spark):
+    """A broadcast would collect every batch once per group of shards, however small its file."""
+    df = spark.createDataFrame([(i, [0.5, float(i)], 0, 2, "x") for i in range(40)], SCHEMA)
+    plan = topk.search(df, F.col("vec_id") % 5 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
