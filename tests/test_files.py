@@ -63,3 +63,24 @@ def test_documents_are_laid_out_in_few_folders(spark):
         assert FS.scan_folder(spark, path, recursive=True).rdd.getNumPartitions() <= 8
     assert spark.conf.get("spark.sql.files.openCostInBytes") == was
     assert FS.scan_folder(spark, ingest.write_documents_as_files(spark.createDataFrame([], "f string, text string")), recursive=True).count() == 0
+
+
+def test_tasks_list_and_read_the_folders(spark, tmp_path):
+    """The driver lists no folder but the first: a status per file would grow with the files."""
+    from tessera.sources import files
+
+    held = {"a.txt": b"one", "x/b%20c.csv": b"1,2", "x/y/z/d.tar.gz": b"no gzip", "x/y/z/empty.txt": b"", "x/y/f=q.txt/part": b"p", "w/\u00fc \u00df.txt": b"\xff\x00",
+            "_part=1/e.txt": b"e", "_hidden.txt": b"h", ".dot/k.txt": b"k", "x/_more/l.txt": b"l", "x/.m.txt": b"m", "x/_SUCCESS": b""}
+    for name, raw in held.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    (tmp_path / "empty").mkdir()
+    columns = ("path", "name", "ext", "kind", "length", "content")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        got = files.scan_folder(spark, path, recursive=True)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "binaryFile" not in plan and "MapInArrow" in plan
+        want = files.with_kind(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+        rows = sorted(tuple(r[c] for c in columns) for r in got.collect())
+        assert rows == sorted(tuple(r[c] for c in columns) for r in want.collect()) and len(rows) == 6
+    assert files.scan_folder(spark, str(tmp_path / "empty"), recursive=True).collect() == []
